@@ -99,9 +99,17 @@ def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) ->
     """The texts of a column in slices of at most ``limit`` bytes, or one text where it alone is longer."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    yield from _slices(column.cast(pa.large_string()).fill_null(""), limit)
+
+
+def text_slices_binary(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
+    """The same for byte strings."""
+    yield from _slices(column.cast(pa.large_binary()).fill_null(b""), limit)
+
+
+def _slices(column: pa.Array, limit: int) -> Iterator[Slice]:
     if not len(column):
         return
-    column = column.cast(pa.large_string()).fill_null("")
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
