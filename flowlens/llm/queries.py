@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens.llm.bpe import decode, encode
+from flowlens.llm.minhash_dedup import near_duplicates
+from flowlens.llm.packing import pack
 from flowlens.llm.substring_dedup import remove_repeated_words
 from flowlens.llm.suffix_dedup import remove_repeated_bytes
 
@@ -22,6 +25,21 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = decode(encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "token_ids"))
+    return coded.select(
+        "doc_id", (F.octet_length("token_ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, percent=80)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeated_bytes(docs).select(
@@ -32,7 +50,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_bpe": op7_bpe,
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
