@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens.llm import language_id, quality
 from flowlens.llm.bpe import decode, encode
 from flowlens.llm.minhash_dedup import near_duplicates
 from flowlens.llm.packing import pack
@@ -18,6 +19,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.apply_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return out.select("doc_id", *[F.col(f"quality_{c}").alias(c) for c in counts])
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_id.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return out.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeated_words(docs).select(
@@ -49,6 +61,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality_rules": op4_quality_rules,
+    "op6_language_id": op6_language_id,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_bpe": op7_bpe,
     "op8_minhash_dedup": op8_minhash_dedup,
@@ -56,4 +70,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": quality.ORACLE_SQL}
