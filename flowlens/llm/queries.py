@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlens.llm import language_id, quality
 from flowlens.llm.bpe import decode, encode
+from flowlens.llm.embedding_dedup import near_duplicate_vectors
 from flowlens.llm.minhash_dedup import near_duplicates
 from flowlens.llm.packing import pack
 from flowlens.llm.substring_dedup import remove_repeated_words
@@ -19,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.apply_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -61,6 +66,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op6_language_id": op6_language_id,
     "op5_substring_dedup": op5_substring_dedup,
