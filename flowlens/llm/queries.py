@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowlens.llm import language_id, quality
 from flowlens.llm.bpe import decode, encode
 from flowlens.llm.embedding_dedup import near_duplicate_vectors
+from flowlens.llm.html_extract import main_text
 from flowlens.llm.minhash_dedup import near_duplicates
 from flowlens.llm.packing import pack
 from flowlens.llm.substring_dedup import remove_repeated_words
@@ -24,6 +25,11 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.apply_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -67,6 +73,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op3_html_extract": op3_html_extract,
     "op4_quality_rules": op4_quality_rules,
     "op6_language_id": op6_language_id,
     "op5_substring_dedup": op5_substring_dedup,
