@@ -49,9 +49,14 @@ class Spec:
     unit: str  # "word" or "byte"
     window: int
     gram: int
-    parts: int  # buckets, shards and blocks
+    parts: int  # buckets and blocks
     hot: int = 256  # least number of distinct segments in one task that makes an anchor hot
 
+    @property
+    def shards(self) -> int:
+        """More than buckets, as an index takes several times the memory of its text."""
+        return 4 * self.parts
+
     @property
     def reach(self) -> int:
         return self.window - self.gram + 1
@@ -125,7 +130,7 @@ def _segments(spec: Spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             rows.append((-1 - block, blobs.pack(ids[doc[i]], tags[doc[i]], start[i], count[i])))
         keep = order[np.concatenate([[True], ~same])]
         key, content, doc, start, count = (x[keep] for x in (key, content, doc, start, count))
-        least = max(spec.hot, 4 * len(key) // spec.parts)
+        least = max(spec.hot, len(key) // spec.parts)
         edges = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0, [True]]))
         sizes = np.diff(edges)
         hot = np.repeat(sizes >= least, sizes)
@@ -252,7 +257,7 @@ def _contents(spec: Spec) -> Callable[[pa.Table, pa.Table], pa.Table]:
                     i, windows, begin, place, route = (x[order] for x in (i, windows, begin, place, route))
                 end = begin + windows + spec.window - 1
                 lo, hi = (begin, end) if found_words is None else (found_words.starts[begin], found_words.ends[end - 1])
-                for shard, j in blobs.by_target((route % np.uint64(spec.parts)).astype(np.int64)):
+                for shard, j in blobs.by_target((route % np.uint64(spec.shards)).astype(np.int64)):
                     size = hi[j] - lo[j]
                     text = part.data[tb.ranges(lo[j], size)]
                     rows.append((shard, blobs.pack(ids[i[j]], tags[i[j]], place[j].astype(np.int64), size.astype(np.uint32), text)))
@@ -364,5 +369,5 @@ def remove_repeats(docs: DataFrame, spec: Spec, index: Callable, render: Callabl
 
 
 def parts_for(docs: DataFrame) -> int:
-    """Buckets, shards and blocks: an odd number, a few for each shuffle partition."""
-    return 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
+    """Buckets and blocks: an odd number, about one for each shuffle partition."""
+    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) | 1
