@@ -32,8 +32,9 @@ def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (shingles of five words, similarity 0.8): its smallest id."""
-    kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = near_duplicates(docs.select("doc_id", "text")).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    one = docs.select(COLUMNS).join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d"))
+    return one.select("doc_id", "d.*").select(COLUMNS).unionByName(docs.where("doc_id IS NULL").select(COLUMNS))  # without an id nothing is told apart
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
