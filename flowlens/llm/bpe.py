@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from flowlens.llm import textbytes as tb
 
-REMEMBERED = 200_000
+REMEMBERED = 150_000
+_CONTROLS = regex.compile(r"[\x1c-\x1f]")
 
 
 def default_vocabulary() -> str:
@@ -65,8 +66,8 @@ class WordBPE:
         self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.letters = _byte_letters()
         # a symbol for each byte, and another for a byte that ends a word
-        self.symbol = [chr(0xE000 + b) for b in range(256)]
-        self.last = [chr(0xE100 + b) for b in range(256)]
+        self.symbol = [chr(b) for b in range(256)]
+        self.last = [chr(256 + b) for b in range(256)]
         back = {c: b for b, c in enumerate(self.letters)}
 
         def spell(token: str) -> str:
@@ -96,7 +97,9 @@ class WordBPE:
         for text, i in spelled.items():
             self.shorter[i] = next((spelled[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in spelled), -1)
         self.fits = lru_cache(1 << 17)(self._fits)
+        self.packed = [i.to_bytes(4, "little") for i in range(size)]
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         names = [""] * size
         for t, i in vocab.items():
             names[i] = t
@@ -127,34 +130,35 @@ class WordBPE:
     def encode_piece(self, piece: str) -> list[int]:
         """Tokens of one piece (at least one character)."""
         raw = piece.encode()
-        spelled = "".join([self.symbol[b] for b in raw[:-1]]) + self.last[raw[-1]]
-        n = len(spelled)
+        spelled = raw[:-1].decode("latin-1") + self.last[raw[-1]]
+        n, length, fits = len(spelled), self.length, self.fits
+        out = [i for _, i in self.automaton.iter_long(spelled)]  # the longest at each place, taken in turn
+        if all(map(fits, out, out[1:])):
+            return out
         longest = [-1] * n
         for end, i in self.automaton.iter(spelled):
-            start = end - self.length[i] + 1
-            if longest[start] < 0 or self.length[longest[start]] < self.length[i]:
-                longest[start] = i
+            longest[end - length[i] + 1] = i  # later ends are longer
         alive = [True] * (n + 1)
-        out: list[int] = []
+        out = []
         at, token = 0, longest[0]
         while at < n:
             before = out[-1] if out else -1
-            while token >= 0 and not (alive[at + self.length[token]] and (before < 0 or self.fits(before, token))):
+            while token >= 0 and not (alive[at + length[token]] and (before < 0 or fits(before, token))):
                 token = self.shorter[token]
             if token >= 0:
                 out.append(token)
-                at += self.length[token]
+                at += length[token]
                 token = longest[at] if at < n else -1
             else:
                 alive[at] = False
                 token = out.pop()
-                at -= self.length[token]
+                at -= length[token]
                 token = self.shorter[token]
         return out
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        if self.cut is None or "<|" not in text and not self.cut.search(text):
+        if not any(s in text for s in self.special):
             return self._encode_plain(text)
         out, at = [], 0
         for m in self.cut.finditer(text):
@@ -167,21 +171,30 @@ class WordBPE:
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ")  # lower-casing is by character: no final sigma
-        pieces, memory = self.pattern.findall(text.lower()), self.memory
-        try:
-            return b"".join([memory[p] for p in pieces])
-        except KeyError:
-            out = []
-            for p in pieces:
-                ids = memory.get(p)
+        text = text.lower()
+        # no piece crosses white space, and most of what stands between is one piece (str.split also cuts at four
+        # control characters that the pattern keeps)
+        chunks = text.split() if not _CONTROLS.search(text) else self.pattern.findall(text)
+        out = list(map(self.memory.get, chunks))
+        if None in out:
+            for i, ids in enumerate(out):
                 if ids is None:
-                    ids = np.array(self.encode_piece(p), dtype="<u4").tobytes()
-                    if len(p) <= 64:
-                        if len(memory) >= REMEMBERED:
-                            memory.clear()
-                        memory[p] = ids
-                out.append(ids)
-            return b"".join(out)
+                    c = chunks[i]
+                    if c.isalpha():
+                        out[i] = self._remember(c)
+                        continue
+                    pieces = (c[:-1], c[-1]) if c[-1] in ".,!" and c[:-1].isalpha() else self.pattern.findall(c)
+                    out[i] = b"".join([self.memory.get(p) or self._remember(p) for p in pieces])
+        return b"".join(out)
+
+    def _remember(self, piece: str) -> bytes:
+        ids = self.older.get(piece) or b"".join([self.packed[i] for i in self.encode_piece(piece)])
+        if len(piece) <= 64:
+            if len(self.memory) >= REMEMBERED:  # two generations: what was not met lately is forgotten
+                self.older = self.memory
+                self.memory = {}
+            self.memory[piece] = ids
+        return ids
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and offsets of the texts whose ids lie between ``ends``."""
