@@ -1,7 +1,7 @@
 """Scalar, list and bit functions as column expressions."""
 
-from __future__ import annotations
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,23 +86,20 @@ def override(*levels: Column) -> Column:
     return F.coalesce(*reversed(levels))
 
 
+def _double_hash(values: pd.Series) -> pd.Series:
+    def one(raw):
+        if raw is None:
+            return None
+        with np.errstate(over="ignore"):
+            add = mul = np.uint64(0)
+            for b in np.frombuffer(bytes(raw), dtype=np.uint8).astype(np.uint64):
+                add = add * np.uint64(11) + b
+                mul = mul * np.uint64(7) ^ b
+        return f"{int(add)}{int(mul)}"
+
+    return values.map(one)
+
+
 def double_hash(items: Column) -> Column:
     """Additive and multiplicative hashes of bytes, wrapping at 64 bits, as two decimal numbers joined."""
-    import numpy as np
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        def one(raw):
-            if raw is None:
-                return None
-            with np.errstate(over="ignore"):
-                add = mul = np.uint64(0)
-                for b in np.frombuffer(bytes(raw), dtype=np.uint8).astype(np.uint64):
-                    add = add * np.uint64(11) + b
-                    mul = mul * np.uint64(7) ^ b
-            return f"{int(add)}{int(mul)}"
-
-        return values.map(one)
-
-    return run(items)
+    return F.pandas_udf(_double_hash, "string")(items)
