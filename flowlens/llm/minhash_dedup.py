@@ -7,13 +7,15 @@ shift of k for coordinate k. Coordinates are banded; documents that share a band
 every link is confirmed on the full sets of 64-bit shingle hashes.
 
 * Equal sets are one class first, so groups of copies cost one member.
-* A band's bucket of few classes compares all pairs. A large bucket compares its members with one
-  leader, merges what is linked, and repeats with other leaders while it holds several components;
-  what then remains compares all pairs of different components. Only pairs inside one component,
-  which cannot change the result, are never compared.
+* In a round each bucket has a leader, and each member is compared with one of its leaders (the one it
+  shares most buckets with); what is linked becomes one component, and buckets inside one component
+  close. Other rounds take other leaders. What then remains in open buckets compares all pairs of
+  different components whose sizes and sketches allow a link. Only pairs inside one component, which
+  cannot change the result, are never compared, and a round fetches one text for each member at most.
+* Sets too small to reach the similarity with any other set are not compared.
 * Before texts are fetched, pairs whose one-bit sketches (256 coordinates) differ in more than
   ``sketch_limit`` bits are dropped. With similarity 0.8 the mean is 25.6 and the deviation 4.8 bits;
-  the limit of 52 is 5.5 deviations away. A pair of similarity 0.8 shares none of the 32 bands with
+  the limit of 48 is 4.7 deviations away. A pair of similarity 0.8 shares none of the 32 bands with
   probability 5e-8.
 
 Defined results: null or wordless texts have 0 shingles and link with nothing; fewer words than a
@@ -41,9 +43,8 @@ SHINGLE = 5
 SIMILARITY = 80
 BANDS, ROWS, COORDINATES = 32, 4, 256
 PLACES = 1 << 20
-SMALL = 8
 ROUNDS = 4
-SKETCH_LIMIT = 52
+SKETCH_LIMIT = 48
 
 _SIGNATURE = "id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>, sketch array<bigint>"
 
@@ -131,19 +132,30 @@ class _Verifier:
     def __init__(self, texts: DataFrame, marks: DataFrame, shingle: int, percent: int, sketch_limit: int):
         self.texts, self.marks, self.shingle, self.percent, self.limit = texts, marks, shingle, percent, sketch_limit
 
+    def _close(self):
+        """Whether sizes and sketches of (na, sa) and (nb, sb) allow a link."""
+        apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(COORDINATES // 64)), F.lit(0))
+        return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent) & (apart <= self.limit)
+
+    def close_pairs(self, buckets: DataFrame) -> DataFrame:
+        """Pairs of different components in a bucket, of close sizes and sketches."""
+        known = buckets.join(self.marks.withColumnRenamed("id", "rep"), "rep")
+        left = known.select("key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
+        right = known.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
+        same = left["key"] == right["key"]
+        return left.join(right, same & (F.col("la") < F.col("lb")) & self._close()).select("a", "b")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are similar."""
         left = self.marks.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
         right = self.marks.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
-        near = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
-        apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(COORDINATES // 64)), F.lit(0))
-        near = near.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent) & (apart <= self.limit)).select("a", "b")
+        near = pairs.select("a", "b").distinct().join(left, "a").join(right, "b").where(self._close()).select("a", "b")
         text = self.texts
         near = near.join(text.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         return near.select("a", "b", "ta", "tb").mapInArrow(_similar(self.shingle, self.percent), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = SIMILARITY, small: int = SMALL, rounds: int = ROUNDS, sketch_limit: int = SKETCH_LIMIT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = SIMILARITY, rounds: int = ROUNDS, sketch_limit: int = SKETCH_LIMIT) -> DataFrame:
     """One row for each row of ``docs``: id (named as given), n_shingles, component_id, kept.
 
     Documents are linked where 100 * intersection >= ``percent`` * union of their shingle sets;
@@ -156,32 +168,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = written(source.mapInArrow(_signatures(shingle), _SIGNATURE))
     some = marks.where("n_shingles > 0")
     classes = written(some.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    members = classes.select("rep", F.explode("bands").alias("key"))
-    crowded = members.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("leader")).where("size > 1")
-    buckets = written(members.join(crowded, "key"))
+    # a set can only be linked with another one if its size and the next are similar enough
+    members = classes.where(F.col("n_shingles") * 100 >= (F.col("n_shingles") + 1) * percent).select("rep", F.explode("bands").alias("key"))
+    crowded = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    buckets = written(members.join(crowded, "key").select("key", "rep"))
     texts = written(source.join(buckets.select(F.col("rep").alias("id")).distinct(), "id"))
     check = _Verifier(texts, classes.select(F.col("rep").alias("id"), "n_shingles", "sketch"), shingle, percent, sketch_limit)
 
-    few = buckets.where(F.col("size") <= small)
-    pairs = few.select("key", F.col("rep").alias("a")).join(few.select("key", F.col("rep").alias("b")), "key").where("a > b")
-    many = buckets.where(F.col("size") > small)
-    pairs = pairs.select("a", "b").union(many.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")))
-    links = checkpointed(check.links(pairs))
-    labels = checkpointed(components(links))
-    open_buckets = checkpointed(_still_open(many, labels))
+    open_buckets, links, labels = buckets.withColumn("label", F.col("rep")), None, None
     for turn in range(rounds + 1):
         if open_buckets.isEmpty():
             break
-        if turn < rounds:  # another leader for each bucket
+        if turn < rounds:  # each member meets one leader: the one it shares most buckets with
             order = F.xxhash64(F.col("rep"), F.lit(turn))
             lead = open_buckets.groupBy("key").agg(F.min_by("rep", order).alias("b"), F.min_by("label", order).alias("lb"))
-            pairs = open_buckets.join(lead, "key").where("label <> lb").select(F.col("rep").alias("a"), "b")
-        else:  # exact rest: all pairs of different components
-            other = open_buckets.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"))
-            pairs = open_buckets.join(other, "key").where("label < lb").select(F.col("rep").alias("a"), "b")
-        links = checkpointed(links.union(check.links(pairs)).distinct())
+            met = open_buckets.join(lead, "key").where("label <> lb").groupBy("rep", "b").agg(F.count("*").alias("n"))
+            pairs = met.groupBy(F.col("rep").alias("a")).agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+        else:
+            pairs = check.close_pairs(open_buckets)
+        found = check.links(pairs)
+        links = checkpointed(found if links is None else links.union(found).distinct())
         labels = checkpointed(components(links))
         open_buckets = checkpointed(_still_open(open_buckets, labels))
+    if labels is None:
+        labels = components(marks.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
     placed = marks.join(classes.select("f1", "f2", "n_shingles", "rep"), ["f1", "f2", "n_shingles"], "left")
     out = placed.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     if repeated:
