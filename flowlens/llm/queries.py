@@ -15,6 +15,7 @@ from flowlens.llm.minhash_dedup import near_duplicates
 from flowlens.llm.packing import pack
 from flowlens.llm.substring_dedup import remove_repeated_words
 from flowlens.llm.suffix_dedup import remove_repeated_bytes
+from flowlens.llm.token_counts import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
@@ -73,6 +78,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_token_counts": op2_token_counts,
     "op3_html_extract": op3_html_extract,
     "op4_quality_rules": op4_quality_rules,
     "op6_language_id": op6_language_id,
