@@ -75,10 +75,11 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         THEN CAST(right({p}g[k], 10) AS int) END), v -> v IS NOT NULL))""").alias(f"{p}at"))
     step = step.select("*", F.expr(f"aggregate(transform({p}at, (v, k) -> CAST(least(3, coalesce(get({p}at, k + 1) - v, 3)) AS bigint)), 0L, (a, b) -> a + b)").alias(f"{p}n_repeat_words"))
     keep = ["text", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
-    # a filter on a feature stops at this one-element array; pushed further down, it would hold a copy of all
+    # a filter on a feature stops at this one-element array (an outer explode: an inner one brings a filter of its
+    # own); pushed further down, it would hold a copy of all
     # steps for each mention of a feature
     boxed = step.select(*[F.col(f"`{c}`") for c in own], F.array(F.struct(*[F.col(f"{p}{k}").alias(k) for k in keep])).alias(f"{p}box"))
-    opened = boxed.select(*[F.col(f"`{c}`") for c in own], F.explode(f"{p}box").alias(f"{p}f"))
+    opened = boxed.select(*[F.col(f"`{c}`") for c in own], F.explode_outer(f"{p}box").alias(f"{p}f"))
     return opened.select(*[F.col(f"`{c}`") for c in own], *[F.col(f"{p}f.{k}").alias(f"{p}{k}") for k in keep])
 
 
