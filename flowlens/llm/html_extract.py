@@ -5,7 +5,8 @@ content (``article``, ``main``), in an element that is furniture by its kind or
 footers of the page, sidebars, notices, adverts, forms, reader comments), or elsewhere. Pages of a host
 are paired with the neighbour whose URL path is nearest; the two pages' lines are aligned by longest
 common subsequence, and shared lines are template. A page's text is its lines without furniture and
-without template. Inside declared main content shared lines stay: articles quote, copy and license one
+without template. The neighbour is the nearest page whose lines differ: a repeated row, or the same article under
+another query string, would share every line, and a page without lines none. Inside declared main content shared lines stay: articles quote, copy and license one
 another (5 % of the article lines of the test pages also stand in the nearest page), and furniture often
 differs between neighbours (95 % of such lines there are shared with neither), so differencing alone
 is not right in either direction and the markup decides where a page declares it.
@@ -201,16 +202,23 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)],
     )
     marks = source.select("key", "html", "host", "path").mapInArrow(_marked, "key bigint, host string, path string, lines array<bigint>")
-    # one sort over all hosts; ranges split large hosts
-    ranged = marks.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
+    # one sort over all hosts; ranges split large hosts; pages of equal lines stand together in each path
+    marks = marks.where(F.size("lines") > 0).withColumn("content", F.xxhash64("lines"))
+    ranged = marks.repartitionByRange("host", "path", "content", "key").sortWithinPartitions("host", "path", "content", "key")
     placed = written(ranged.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
-    own = Window.partitionBy("part").orderBy("at")
-    page = F.struct("host", "path", "lines")
-    edges = placed.groupBy("part").agg(F.min_by(page, "at").alias("first"), F.max_by(page, "at").alias("last"))
-    every = Window.orderBy("part")  # one row for each range
-    edges = edges.select("part", F.lag("last").over(every).alias("before"), F.lead("first").over(every).alias("after"))
-    near = placed.withColumn("prev", F.lag(page).over(own)).withColumn("next", F.lead(page).over(own)).join(edges, "part")
-    near = near.withColumn("prev", F.coalesce("prev", "before")).withColumn("next", F.coalesce("next", "after"))
+    placed = placed.select("part", "at", "key", "host", "path", F.struct("host", "path", "lines").alias("page"))
+    # a run is a row of copies in that order; its pages take the pages just before and after it
+    forth, back = Window.partitionBy("part").orderBy("at"), Window.partitionBy("part").orderBy(F.desc("at"))
+    near = placed.withColumn("prev", _other(F.lag("page").over(forth), F.col("page"))).withColumn("next", _other(F.lead("page").over(forth), F.col("page")))
+    near = near.withColumn("prev", F.last("prev", True).over(forth)).withColumn("next", F.last("next", True).over(back))
+    ends = [F.min_by("page", "at").alias("first"), F.min_by("next", "at").alias("second"), F.max_by("page", "at").alias("last"), F.max_by("prev", "at").alias("last_but")]
+    every, reverse = Window.orderBy("part"), Window.orderBy(F.desc("part"))  # one row for each range
+    edges = near.groupBy("part").agg(*ends).select(
+        "part", F.coalesce(_other(F.lag("last").over(every), F.col("first")), F.lag("last_but").over(every)).alias("before"),
+        F.coalesce(_other(F.lead("first").over(every), F.col("last")), F.lead("second").over(every)).alias("after"),
+    )
+    edges = edges.select("part", F.last("before", True).over(every).alias("before"), F.last("after", True).over(reverse).alias("after"))
+    near = near.join(edges, "part").withColumn("prev", F.coalesce("prev", "before")).withColumn("next", F.coalesce("next", "after"))
     prev, following = (F.when(F.col(f"{side}.host") == F.col("host"), _common(F.col(f"{side}.path"), F.col("path"))).otherwise(-1) for side in ("prev", "next"))
     chosen = F.when(F.greatest(prev, following) < 0, F.lit(None)).when(prev >= following, F.col("prev.lines")).otherwise(F.col("next.lines"))
     paired = near.groupBy("key").agg(F.first(chosen).alias("other"))
@@ -220,6 +228,11 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     return out.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], F.col("extracted").alias(out_col))
 
 
+def _other(neighbour, page):
+    """The neighbour, or null where it holds the page's own lines."""
+    return F.when((neighbour["host"] != page["host"]) | (neighbour["lines"] != page["lines"]), neighbour)
+
+
 def _common(a, b):
     """Length of the common beginning of two paths, in whole segments weighted over characters."""
     segments = F.zip_with(F.split(a, "/"), F.split(b, "/"), lambda x, y: F.when(x == y, F.lit(1)).otherwise(0))

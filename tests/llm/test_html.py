@@ -55,3 +55,21 @@ def test_template_lines_go_where_nothing_is_declared(spark, parts):
         assert got == {i: f"own text {i}" for i in range(40)} | {100: "Menu\nown"}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_copies_are_no_partners(spark, parts):
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        page = "<div>Menu</div><p>own text {}</p><div>Contact</div>".format
+        rows = [(i, f"https://site.example/{i // 2}/{i:03d}", page(i)) for i in range(10)]
+        rows += [rows[3]] * 3 + [(20 + i, f"https://site.example/2/004{end}", page(4)) for i, end in enumerate(["?utm_source=feed", "#top", "/", "a"])]
+        rows += [(30 + i, f"https://copies.example/{i}", page(30)) for i in range(20)] + [(60, "https://copies.example/x", page(60)), (61, "https://copies.example/0", "")]
+        rows += [(70 + i, "https://one.example/x", page(70)) for i in range(2)]
+        got = h.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            own = 4 if 20 <= r.page_id < 30 else 30 if 30 <= r.page_id < 60 else r.page_id
+            assert r.main_text == ("" if r.page_id == 61 else "Menu\nown text 70\nContact" if r.page_id >= 70 else f"own text {own}"), r
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
