@@ -6,10 +6,13 @@ footers of the page, sidebars, notices, adverts, forms, reader comments), or els
 are paired with the neighbour whose URL path is nearest; the two pages' lines are aligned by longest
 common subsequence, and shared lines are template. A page's text is its lines without furniture and
 without template. The neighbour is the nearest page whose lines differ: a repeated row, or the same article under
-another query string, would share every line, and a page without lines none. Inside declared main content shared lines stay: articles quote, copy and license one
-another (5 % of the article lines of the test pages also stand in the nearest page), and furniture often
-differs between neighbours (95 % of such lines there are shared with neither), so differencing alone
-is not right in either direction and the markup decides where a page declares it.
+another query string, would share every line, and a page without lines none. Alignment decides each line
+by itself, also on pages that declare main content: a line that is not shared stays wherever it stands,
+and a shared one stays only inside declared main content, as articles quote, copy and license one another
+(5 % of the article lines of the test pages also stand in the nearest page). Furniture often differs
+between neighbours (95 % of such lines there are shared with neither), so it goes by its markup. An
+``article`` or ``main`` is content also inside an element whose class or id alone looks like furniture
+(a layout wrapper), unless that element lies in declared content (reader comments, teasers).
 
 Pages are sorted across tasks by (host, path), so a host of very many pages is split; only hashes of
 lines move for the pairing.
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 from flowlens.llm.lineage import written
 
 FURNITURE, OTHER, MAIN = 0, 1, 2
+_NAMED = 3  # furniture by class or id only, outside declared content; an article in it is content
 
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol "
@@ -48,16 +52,21 @@ _NAMES = re.compile(
     r"popup|promo\w*|recommend\w*|related|reply|replies|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?=$|[\s_-])"
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)[_-]\S*")  # says what stands beside the element, not what it is
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
-def _named_furniture(attributes: str) -> bool:
+def _attribute_furniture(attributes: str) -> int:
+    """FURNITURE for hidden elements and roles, _NAMED for classes and ids, else OTHER."""
+    found = OTHER
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         name = name.lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _ROLES or name in ("class", "id") and _NAMES.search(value):
-            return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _ROLES:
+            return FURNITURE
+        if name in ("class", "id") and _NAMES.search(_LAYOUT.sub("", value)):
+            found = _NAMED
+    return found
 
 
 def page_lines(page: str) -> list[tuple[int, str]]:
@@ -71,7 +80,7 @@ def page_lines(page: str) -> list[tuple[int, str]]:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
-                out.append((mark, text))
+                out.append((FURNITURE if mark == _NAMED else mark, text))
             held.clear()
 
     while True:
@@ -113,11 +122,13 @@ def page_lines(page: str) -> list[tuple[int, str]]:
         if name in _VOID or m[3].endswith("/"):
             continue
         inside = mark
-        if inside != FURNITURE:
-            if name in _FURNITURE or name == "header" and mark != MAIN or name not in ("article", "main", "body", "html") and _named_furniture(m[3]):
-                inside = FURNITURE
-            elif name in ("article", "main"):
+        if name in ("article", "main"):
+            if mark in (OTHER, MAIN) or mark == _NAMED and _attribute_furniture(m[3]) == OTHER:
                 inside = MAIN
+        elif inside != FURNITURE:
+            by = FURNITURE if name in _FURNITURE or name == "header" and mark != MAIN else _attribute_furniture(m[3]) if name not in ("body", "html") else OTHER
+            if by != OTHER:
+                inside = FURNITURE if mark == MAIN else min(mark, by) if mark == _NAMED else by
         if name in _BLOCKS or inside != mark:
             if inside != mark:
                 close()
@@ -186,8 +197,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for page, other in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 lines = page_lines(page or "")
                 template = shared_lines([_hash(t) for _, t in lines], other) if other else [False] * len(lines)
-                declared = any(mark == MAIN for mark, _ in lines)
-                texts.append("\n".join(t for (mark, t), shared in zip(lines, template, strict=True) if mark == MAIN or mark == OTHER and not declared and not shared))
+                texts.append("\n".join(t for (mark, t), shared in zip(lines, template, strict=True) if mark == MAIN or mark == OTHER and not shared))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "extracted"])
 
 

@@ -73,3 +73,29 @@ def test_copies_are_no_partners(spark, parts):
             assert r.main_text == ("" if r.page_id == 61 else "Menu\nown text 70\nContact" if r.page_id >= 70 else f"own text {own}"), r
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_markup_does_not_replace_the_alignment(spark):
+    page = "<div>Menu</div><div class=body><p>own text {0}</p></div><article><h2>teaser {0}</h2><p>licence</p></article><div>Contact</div>".format
+    rows = [(i, f"https://site.example/{i}", page(i)) for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r.page_id: r.main_text for r in h.main_text(df).collect()} == {i: f"own text {i}\nteaser {i}\nlicence" for i in range(8)}
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div class='has-sidebar'><article><p>text</article><p>more</div>", [(h.MAIN, "text"), (h.OTHER, "more")]),
+        ("<div class='page no-sidebar'><main><p>text</main></div>", [(h.MAIN, "text")]),
+        ("<div id=modal><p>x<article><p>text</article><p>y</div>", [(h.FURNITURE, "x"), (h.MAIN, "text"), (h.FURNITURE, "y")]),
+        ("<div class=widget><div class=sidebar><main>text</main></div></div>", [(h.MAIN, "text")]),
+        ("<div class=widget><nav><article>x</article></nav></div>", [(h.FURNITURE, "x")]),
+        ("<div id=comments><article class=comment>x</article></div>", [(h.FURNITURE, "x")]),
+        ("<main><p>text</p><div class=related><article>x</article></div></main>", [(h.MAIN, "text"), (h.FURNITURE, "x")]),
+        ("<p>one <a title='hidden gem' href=/x>two</a> three", [(h.OTHER, "one two three")]),
+        ("<div style='overflow:hidden' data-role=menu data-hidden><p>text</div>", [(h.OTHER, "text")]),
+        ("<div hidden><article>x</article></div><div title=a class='sidebar'>y</div><p>z", [(h.FURNITURE, "x"), (h.FURNITURE, "y"), (h.OTHER, "z")]),
+    ],
+)
+def test_marks(page, want):
+    assert h.page_lines(page) == want
