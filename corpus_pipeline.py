@@ -14,6 +14,7 @@ from flowlens.llm.lineage import written
 from flowlens.llm.minhash_dedup import near_duplicates
 from flowlens.llm.packing import pack
 from flowlens.llm.quality import apply_rules
+from flowlens.llm.repeats import NO_ID
 from flowlens.llm.substring_dedup import remove_repeated_words
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,10 +32,16 @@ def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (shingles of five words, similarity 0.8): its smallest id."""
-    kept = near_duplicates(docs.select("doc_id", "text")).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    one = docs.select(COLUMNS).join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d"))
-    return one.select("doc_id", "d.*").select(COLUMNS).unionByName(docs.where("doc_id IS NULL").select(COLUMNS))  # without an id nothing is told apart
+    """One document of each group of near duplicates (shingles of five words, similarity 0.8): its smallest id.
+
+    Rows of one id and one text are one document. Of several texts under one id, or without an id (ordered
+    after all ids), each is a document, and the one whose text has the smallest hash comes first.
+    """
+    marks = near_duplicates(docs.select("doc_id", "text"), hash_col="tag").where("kept")
+    known = F.coalesce("doc_id", F.lit(NO_ID)).alias("id")
+    rows = docs.select(known, F.xxhash64("text").alias("tag"), *COLUMNS).join(marks.select(known, "tag").distinct(), ["id", "tag"], "left_semi")
+    one = rows.groupBy("id", "tag", "text").agg(F.min(F.struct("doc_id", "lang", "source", "n_chars")).alias("d"))
+    return one.select("text", "d.*").select(COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,8 +19,8 @@ every link is confirmed on the full sets of 64-bit shingle hashes.
   probability 5e-8.
 
 Defined results: null or wordless texts have 0 shingles and link with nothing; fewer words than a
-shingle count as one shingle; rows with the same id are one document, whose text is
-the smallest of theirs; a null id is ordered after all
+shingle count as one shingle; rows with one id and one text are one document; rows with one id and
+different texts are documents of their own, ordered by a hash of the text; a null id is ordered after all
 ids; an empty table gives an empty table. Other columns are ignored.
 """
 
@@ -46,7 +46,7 @@ PLACES = 1 << 20
 ROUNDS = 4
 SKETCH_LIMIT = 48
 
-_SIGNATURE = "id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>, sketch array<bigint>"
+_SIGNATURE = "id bigint, tag bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>, sketch array<bigint>"
 
 
 @cache
@@ -104,8 +104,8 @@ def _signatures(size: int):
                 at = np.concatenate([[0], np.cumsum((counts > 0).astype(np.int32))]).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(at * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).view(np.int64).ravel())) for x in (key, bits)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[part.first : part.first + len(part)]), pa.array(counts), *(pa.array(p.view(np.int64)) for p in prints), *lists],
-                    names=["id", "n_shingles", "f1", "f2", "bands", "sketch"],
+                    [pa.array(ids[part.first : part.first + len(part)]), batch.column(2).slice(part.first, len(part)), pa.array(counts), *(pa.array(p.view(np.int64)) for p in prints), *lists],
+                    names=["id", "tag", "n_shingles", "f1", "f2", "bands", "sketch"],
                 )
 
     return run
@@ -155,17 +155,23 @@ class _Verifier:
         return near.select("a", "b", "ta", "tb").mapInArrow(_similar(self.shingle, self.percent), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = SIMILARITY, rounds: int = ROUNDS, sketch_limit: int = SKETCH_LIMIT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = SIMILARITY, rounds: int = ROUNDS, sketch_limit: int = SKETCH_LIMIT, hash_col: str | None = None) -> DataFrame:
     """One row for each row of ``docs``: id (named as given), n_shingles, component_id, kept.
 
+    With ``hash_col`` a column of that name holds xxhash64 of the row's text, which tells apart rows of one id.
+
     Documents are linked where 100 * intersection >= ``percent`` * union of their shingle sets;
-    component_id is the smallest id reachable by links, kept is whether it is the document's own.
+    component_id is the id of the smallest document reachable by links (by id, then by a hash of the text),
+    kept is whether that is the row's own document.
     """
     source = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows, repeated = source, not source.groupBy("id").count().where("count > 1").isEmpty()
-    if repeated:
-        source = source.groupBy("id").agg(F.min("text").alias("text"))
-    marks = written(source.mapInArrow(_signatures(shingle), _SIGNATURE))
+    known = None
+    if not source.groupBy("id").count().where("count > 1").isEmpty():  # ids do not tell documents apart: number them in order
+        counted = source.groupBy("id", "text").agg(F.count("*").alias("n_rows")).withColumn("tag", F.xxhash64("text"))
+        ranged = counted.repartitionByRange("id", "tag", "text").sortWithinPartitions("id", "tag", "text")
+        numbered = written(ranged.select(F.monotonically_increasing_id().alias("node"), "id", "n_rows", "text"))
+        known, source = numbered.select("node", F.col("id").alias("name"), "n_rows"), numbered.select(F.col("node").alias("id"), "text")
+    marks = written(source.withColumn("tag", F.xxhash64("text")).mapInArrow(_signatures(shingle), _SIGNATURE))
     some = marks.where("n_shingles > 0")
     classes = written(some.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     # a set can only be linked with another one if its size and the next are similar enough
@@ -194,11 +200,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = components(marks.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
     placed = marks.join(classes.select("f1", "f2", "n_shingles", "rep"), ["f1", "f2", "n_shingles"], "left")
     out = placed.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    if repeated:
-        out = rows.select("id").join(out, "id")
-    component = F.coalesce("component", "rep", "id")
-    own = F.when(F.col("id") != NO_ID, F.col("id"))
-    return out.select(own.alias(id_col), "n_shingles", F.when(component != NO_ID, component).alias("component_id"), (F.col("id") == component).alias("kept"))
+    out = out.withColumn("low", F.coalesce("component", "rep", "id")).select("id", "tag", "n_shingles", "low", (F.col("id") == F.col("low")).alias("kept"))
+    if known is not None:
+        out = out.join(known.withColumnRenamed("node", "id"), "id").drop("id").join(known.select(F.col("node").alias("low"), F.col("name").alias("low_name")), "low")
+        out = out.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("n_rows")))).select(F.col("name").alias("id"), "tag", "n_shingles", F.col("low_name").alias("low"), "kept")
+    named = [F.when(F.col(c) != NO_ID, F.col(c)).alias(n) for c, n in (("id", id_col), ("low", "component_id"))]
+    return out.select(named[0], "n_shingles", named[1], "kept", *([F.col("tag").alias(hash_col)] if hash_col else []))
 
 
 def _still_open(buckets: DataFrame, labels: DataFrame) -> DataFrame:

@@ -66,6 +66,21 @@ def test_repeated_null_and_empty(spark):
     assert m.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_texts_under_one_id_are_documents(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    near = b + " more"
+    rows = [(1, a), (1, b), (1, b), (2, near), (None, c), (None, c + " more"), (None, d), (None, a), (None, None), (9, d)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = m.near_duplicates(df, hash_col="tag")
+    texts = {r.tag: r.text for r in df.selectExpr("xxhash64(text) tag", "text").distinct().collect()}
+    seen = sorted((r.doc_id or 99, texts[r.tag] or "", r.n_shingles, r.component_id) for r in got.collect())
+    want = [(1, a, 56, 1), (1, b, 56, 1), (1, b, 56, 1), (2, near, 57, 1), (9, d, 56, 9), (99, "", 0, None), (99, a, 56, 1), (99, c, 56, None), (99, c + " more", 57, None), (99, d, 56, 9)]
+    assert seen == want
+    kept = [(r.doc_id, texts[r.tag]) for r in got.where("kept").collect()]
+    assert [x for x in kept if x[0]] == [x for x in kept if x in [(1, a), (1, b), (9, d)]] and len(kept) == 6
+    assert sum(x in kept for x in [(None, c), (None, c + " more")]) == 1 and (None, None) in kept
+
+
 def test_signature_is_circulant():
     table = m.shifted_permutation()
     assert sorted(table[:, 0][: m.PLACES].tolist()) == list(range(m.PLACES))

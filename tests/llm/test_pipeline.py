@@ -61,3 +61,12 @@ def test_run_and_hostile_rows(spark, tmp_path):
     assert out.count() > 0
     docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_minhash_stage_keeps_one_of_each_group(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (1, b), (2, b + " more"), (None, c), (None, c), (None, c + " more"), (None, a), (None, d), (5, d), (5, d)]
+    df = spark.createDataFrame([(i, t, "en", f"s{n}", 1) for n, (i, t) in enumerate(rows)], docs.schema)
+    got = sorted((r.doc_id or 99, r.text.split(" more")[0]) for r in corpus_pipeline.minhash_dedup(spark, df, SF).collect())
+    assert got == [(1, a), (1, b), (5, d), (99, c)]
