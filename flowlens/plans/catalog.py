@@ -195,9 +195,11 @@ def trace_compact(t: Tables) -> DataFrame:
 
 @query("""SELECT p_size::BIGINT AS version, p_partkey AS line_no FROM part UNION ALL SELECT p_size::BIGINT, -1 FROM part GROUP BY 1""")
 def explode_list(t: Tables) -> DataFrame:
-    """A fault map written as ``{v: (l,...,-1,)}`` text and read again."""
-    text = t.part.groupBy("p_size").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list("p_partkey")), lambda x: F.concat(x.cast("string"), F.lit(",")))).alias("l"))
-    return readers.read_fault_map(text.select(F.format_string("{%d: (%s-1,)}", "p_size", "l").alias("line")))
+    """A fault map written as ``{v: (l,...,)}`` lines of at most 4,096 keys and one ``{v: (-1,)}`` for each version, and read again."""
+    parts = t.part.select("p_size", "p_partkey")
+    text = parts.groupBy("p_size", F.floor(F.col("p_partkey") / 4096)).agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list("p_partkey")), lambda x: F.concat(x.cast("string"), F.lit(",")))).alias("l"))
+    text = text.select("p_size", "l").union(parts.select("p_size", F.lit("-1,")).distinct())
+    return readers.read_fault_map(text.select(F.format_string("{%d: (%s)}", "p_size", "l").alias("line")))
 
 
 @query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'SCG' WHEN 'view' THEN 'UB' ELSE 'TB' END AS tag FROM events WHERE event_type IN ('click', 'view', 'error')""")

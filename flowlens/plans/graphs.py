@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.llm.lineage import shared_folder
 from flowlens.operators import graph, taint
 from flowlens.plans import views
 from flowlens.plans.registry import Tables, query
@@ -232,13 +233,22 @@ def control_dep(t: Tables) -> DataFrame:
 
 
 def _run(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream has given once all files are read."""
+    """What a stream has given once all files are read. The rows are on the driver: for results of few rows only."""
     name = f"stream_{uuid.uuid4().hex}"
     handle = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     handle.awaitTermination()
     return stream.sparkSession.table(name)
 
 
+def _appended(stream: DataFrame) -> DataFrame:
+    """What a stream has appended once all files are read, as files in the shared folder."""
+    spark = stream.sparkSession
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    handle = stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
+    handle.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+
+
 @query("SELECT event_type AS node, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def stream_count(t: Tables) -> DataFrame:
     """Running counts of trace nodes; the result has one row for each node."""
@@ -247,4 +257,7 @@ def stream_count(t: Tables) -> DataFrame:
 
 @query("""SELECT user_id, event_id, (dense_rank() OVER (PARTITION BY user_id ORDER BY first) - 1)::BIGINT AS node_id FROM (SELECT *, min(event_id) OVER (PARTITION BY user_id, event_type) AS first FROM events)""")
 def stream_dict(t: Tables) -> DataFrame:
-    return _run(traces.encode_events(traces.read_events(t.spark, f"{t.folder}/events*")), "append")
+    """The stream writes the dictionary; the ids then meet the events."""
+    files = f"{t.folder}/events*"
+    known = _appended(traces.node_dictionary(traces.read_events(t.spark, files)))
+    return traces.encode_events(t.spark.read.schema(traces.EVENT).parquet(files), known)
