@@ -13,10 +13,10 @@ every link is confirmed on the full sets of 64-bit shingle hashes.
   different components whose sizes and sketches allow a link. Only pairs inside one component, which
   cannot change the result, are never compared, and a round fetches one text for each member at most.
 * Sets too small to reach the similarity with any other set are not compared.
-* Before texts are fetched, pairs whose one-bit sketches (256 coordinates) differ in more than
-  ``sketch_limit`` bits are dropped. With similarity 0.8 the mean is 25.6 and the deviation 4.8 bits;
-  the limit of 48 is 4.7 deviations away. A pair of similarity 0.8 shares none of the 32 bands with
-  probability 5e-8.
+* Before texts are fetched, pairs whose one-bit sketches (256 coordinates) differ in too many bits are
+  dropped. ``plan`` derives bands and that limit from the similarity: as if coordinates were independent, a
+  pair just at it shares no band with probability 5e-8 at most and is dropped by its sketch with
+  probability 1e-9 at most (at 0.8: 32 bands of 4, 58 bits).
 
 Defined results: null or wordless texts have 0 shingles and link with nothing; fewer words than a
 shingle count as one shingle; rows with one id and one text are one document; rows with one id and
@@ -26,6 +26,7 @@ ids; an empty table gives an empty table. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -41,14 +42,32 @@ from flowlens.llm.repeats import NO_ID, ids_of
 
 SHINGLE = 5
 SIMILARITY = 80
-BANDS, ROWS, COORDINATES = 32, 4, 256
+COORDINATES = 256
 PLACES = 1 << 20
 ROUNDS = 4
-SKETCH_LIMIT = 48
+BANDS_MISS, SKETCH_MISS = 5e-8, 1e-9
 
 _SIGNATURE = "id bigint, tag bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>, sketch array<bigint>"
 
 
+@cache
+def plan(percent: int) -> tuple[int, int, int]:
+    """(bands, rows of a band, sketch limit) that lose a pair of that similarity with BANDS_MISS and SKETCH_MISS at most."""
+    same, differ = percent / 100, (1 - percent / 100) / 2
+    for rows in (4, 3, 2, 1):
+        bands = next((n for n in range(1, COORDINATES // rows + 1) if (1 - same**rows) ** n <= BANDS_MISS), None)
+        if bands:
+            break
+    else:
+        raise ValueError(f"{COORDINATES} coordinates cannot find pairs of similarity {percent} %")
+    tail = 0.0
+    for limit in range(COORDINATES, -1, -1):  # tail: more than limit bits differ
+        tail += math.comb(COORDINATES, limit) * differ**limit * (1 - differ) ** (COORDINATES - limit)
+        if tail > SKETCH_MISS:
+            return bands, rows, limit
+    return bands, rows, 0
+
+
 @cache
 def shifted_permutation() -> np.ndarray:
     """Row i holds the second permutation at places i, i + 1, ... (circular), one for each coordinate."""
@@ -82,7 +101,7 @@ def signature(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signatures(size: int):
+def _signatures(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = ids_of(batch.column(0))
@@ -91,9 +110,9 @@ def _signatures(size: int):
                 counts = np.array([len(s) for s in sets], dtype=np.int64)
                 some = np.flatnonzero(counts)
                 marks = np.stack([signature(sets[i]) for i in some]) if len(some) else np.zeros((0, COORDINATES), np.uint32)
-                grouped = marks[:, : BANDS * ROWS].astype(np.uint64).reshape(len(some), BANDS, ROWS)
-                key = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-                for r in range(ROWS):
+                grouped = marks[:, : bands * rows].astype(np.uint64).reshape(len(some), bands, rows)
+                key = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+                for r in range(rows):
                     key = tb.mix(key + grouped[:, :, r] + np.uint64(1))
                 bits = np.packbits((marks & 1).astype(np.uint8), axis=1).view(np.int64)
                 zero = np.zeros(len(sets), dtype=np.uint64)
@@ -155,7 +174,7 @@ class _Verifier:
         return near.select("a", "b", "ta", "tb").mapInArrow(_similar(self.shingle, self.percent), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = SIMILARITY, rounds: int = ROUNDS, sketch_limit: int = SKETCH_LIMIT, hash_col: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = SIMILARITY, rounds: int = ROUNDS, sketch_limit: int | None = None, hash_col: str | None = None) -> DataFrame:
     """One row for each row of ``docs``: id (named as given), n_shingles, component_id, kept.
 
     With ``hash_col`` a column of that name holds xxhash64 of the row's text, which tells apart rows of one id.
@@ -165,13 +184,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept is whether that is the row's own document.
     """
     source = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    bands, band_rows, limit = plan(percent)
+    sketch_limit = limit if sketch_limit is None else sketch_limit
     known = None
     if not source.groupBy("id").count().where("count > 1").isEmpty():  # ids do not tell documents apart: number them in order
         counted = source.groupBy("id", "text").agg(F.count("*").alias("n_rows")).withColumn("tag", F.xxhash64("text"))
         ranged = counted.repartitionByRange("id", "tag", "text").sortWithinPartitions("id", "tag", "text")
         numbered = written(ranged.select(F.monotonically_increasing_id().alias("node"), "id", "n_rows", "text"))
         known, source = numbered.select("node", F.col("id").alias("name"), "n_rows"), numbered.select(F.col("node").alias("id"), "text")
-    marks = written(source.withColumn("tag", F.xxhash64("text")).mapInArrow(_signatures(shingle), _SIGNATURE))
+    marks = written(source.withColumn("tag", F.xxhash64("text")).mapInArrow(_signatures(shingle, bands, band_rows), _SIGNATURE))
     some = marks.where("n_shingles > 0")
     classes = written(some.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     # a set can only be linked with another one if its size and the next are similar enough

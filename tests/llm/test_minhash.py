@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -91,3 +92,18 @@ def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100)] + [(200 + i, 200) for i in range(1, 30)]
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 103)} | {i: 200 for i in range(200, 230)}
+
+
+@pytest.mark.parametrize("percent", [7, 30, 50, 60, 70, 80, 90, 100])
+def test_plan_follows_the_similarity(percent):
+    bands, rows, limit = m.plan(percent)
+    p = (1 - percent / 100) / 2
+    assert bands * rows <= m.COORDINATES and (1 - (percent / 100) ** rows) ** bands <= 5e-8
+    assert sum(math.comb(256, k) * p**k * (1 - p) ** (256 - k) for k in range(limit + 1, 257)) <= 1e-9
+
+
+def test_lower_similarity_finds_all_pairs(spark):
+    # of two texts of 200 words, 153 windows of 1 word are shared: 153 / 247 = 0.62
+    rows = [(2 * i + side, " ".join(f"{i}w{k}" if k < 153 else f"{i}s{side}w{k}" for k in range(200))) for i in range(60) for side in (0, 1)]
+    got = m.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=1, percent=60).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in got) and len(got) == 120
