@@ -1,10 +1,11 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
 ``with_features`` adds the counts that rules read; ``cascade`` gives the name of the first rule that a
-document fails (null: it passes all). A rule's expression stands in a branch of one CASE, so a document
-that an earlier rule rejects never pays for the later ones. The order comes from a sample of
-``sample_rows`` documents: each rule's time and rejections are measured there, and rules are sorted by
-rejections per second. The verdict does not depend on the order, only the name of the first rule does.
+document fails (null: it passes all). The counts are part of the result, so every document pays for all of
+them; a rule's expression stands in a branch of one CASE, so an earlier rejection saves only what later
+rules compute beyond the counts (few_letters, capitals). The order comes from a sample of ``sample_rows``
+documents: each rule's time, without that of its counts, and rejections are measured there, and rules are
+sorted by rejections per second. The verdict does not depend on the order, only the name of the first rule does.
 
 Defined results: null text is empty text (no words, base_failed, not kept); words are
 ``[^\\x20\\x09-\\x0D]+`` of the whole text; repeated rows get a result each; an empty table gives an
