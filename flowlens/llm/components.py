@@ -7,18 +7,28 @@ labels never leave Spark; the driver sees one count and one sum for each round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from flowlens.llm.lineage import checkpointed
+from flowlens.llm.lineage import Tables
 
 ROUNDS = 60
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tables: Tables | None = None) -> DataFrame:
     """(node, component) of all nodes of ``links(a, b)``; component is the smallest node reachable."""
+    links = contracted(links, tables or Tables(links.sparkSession))
+    nodes = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return nodes.union(links.select("b", "b").distinct())
+
+
+def contracted(links: DataFrame, tables: Tables) -> DataFrame:
+    """A table (a, b) of all nodes a that are not the smallest of their component, b."""
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    links, before = checkpointed(links), None
+    seen = Observation()
+    links, before = tables.write(links.observe(seen, F.count("*").alias("n"))), None
+    if not seen.get["n"]:
+        return links
     for _ in range(ROUNDS):
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
@@ -27,12 +37,12 @@ def components(links: DataFrame) -> DataFrame:
         # each node's smaller neighbours, and the node, move to the smallest of them
         low = larger.groupBy("a").agg(F.min("b").alias("low"))
         smaller = larger.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("x"))
-        links = checkpointed(smaller.select("x.a", "x.b").where("a <> b").distinct())
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003)).first())
+        seen = Observation()
+        turned = smaller.select("x.a", "x.b").where("a <> b").distinct()
+        turned = tables.write(turned.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1000003).alias("sum")))
+        tables.drop(links)
+        links, now = turned, seen.get
         if now == before:
-            break
+            return links
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
-    nodes = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes.union(links.select("b", "b").distinct())
+    raise RuntimeError(f"components did not settle in {ROUNDS} rounds")

@@ -19,15 +19,32 @@ def shared_folder(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get().rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder, read again: nothing before it is computed twice."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of the shared folder."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Tables:
+    """Tables of one job in the shared folder. ``write`` gives a table read again, so nothing before it is
+    computed twice; ``drop`` deletes tables that no later step reads. What a result still reads stays."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
 
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/table-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, for the small tables of loops; Spark removes it when nothing refers to it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            remove(self.spark, self.paths.pop(id(table))[1])
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder that stays."""
+    return Tables(df.sparkSession).write(df)

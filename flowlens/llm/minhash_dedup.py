@@ -4,19 +4,25 @@ A document's set holds its distinct shingles of ``shingle`` words (words ``[^\\x
 lowered). All signature coordinates come from two permutations: the first (a 64-bit mixer reduced to a
 table of places) spreads the shingles, the second (a random permutation table) is read with a circular
 shift of k for coordinate k. Coordinates are banded; documents that share a band are candidates, and
-every link is confirmed on the full sets of 64-bit shingle hashes.
+every link is confirmed on the full sets of shingle hashes (64 bits, each mixed from hashes of its words).
 
 * Equal sets are one class first, so groups of copies cost one member.
-* In a round each bucket has a leader, and each member is compared with one of its leaders (the one it
-  shares most buckets with); what is linked becomes one component, and buckets inside one component
-  close. Other rounds take other leaders. What then remains in open buckets compares all pairs of
-  different components whose sizes and sketches allow a link. Only pairs inside one component, which
-  cannot change the result, are never compared, and a round fetches one text for each member at most.
-* Sets too small to reach the similarity with any other set are not compared.
-* Before texts are fetched, pairs whose one-bit sketches (256 coordinates) differ in too many bits are
-  dropped. ``plan`` derives bands and that limit from the similarity: as if coordinates were independent, a
-  pair just at it shares no band with probability 5e-8 at most and is dropped by its sketch with
-  probability 1e-9 at most (at 0.8: 32 bands of 4, 58 bits).
+* In a round each bucket has a leader (in the first round the member that shares most buckets with others,
+  as originals do with their copies), and each member is compared with one of its leaders. What is linked
+  becomes one component, and buckets inside one component close.
+* What then remains in open buckets meets by an exact prefix filter: shingles are ordered from rare to
+  frequent, and two sets that are similar enough share one among the first of each. In a crowd of documents
+  that hold one passage, or of copies edited too much to be linked, the first shingles are those of the
+  document alone, so such a bucket does not make all its pairs. Of the pairs that the filter leaves, one of
+  each document and component is checked first, and then those that still join different components.
+* Before texts are fetched, a pair must pass a bound that no link misses: of two sets that may differ in d
+  shingles, bitmaps of parities differ in d bits at most.
+* Only pairs inside one component, which cannot change the result, are never compared. A leader's text
+  travels once for each ``CHUNK`` of its members. Sets too small to reach the similarity with any other set
+  are not compared. Tables of a round are deleted in the next one.
+
+``plan`` derives the bands from the similarity: as if coordinates were independent, a pair just at it shares no
+band with probability 5e-8 at most (at 0.8: 32 bands of 4). Nothing else can lose a link.
 
 Defined results: null or wordless texts have 0 shingles and link with nothing; fewer words than a
 shingle count as one shingle; rows with one id and one text are one document; rows with one id and
@@ -26,7 +32,6 @@ ids; an empty table gives an empty table. Other columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -36,36 +41,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm import textbytes as tb
-from flowlens.llm.components import components
-from flowlens.llm.lineage import checkpointed, written
+from flowlens.llm.components import contracted
+from flowlens.llm.lineage import Tables
 from flowlens.llm.repeats import NO_ID, ids_of
 
 SHINGLE = 5
 SIMILARITY = 80
 COORDINATES = 256
 PLACES = 1 << 20
-ROUNDS = 4
-BANDS_MISS, SKETCH_MISS = 5e-8, 1e-9
+ROUNDS = 2
+BANDS_MISS = 5e-8
+BITS = 1024  # of a bitmap of parities
+SLOTS = 1 << 16  # counters of shingles, for their order only
+CHUNK = 256
 
-_SIGNATURE = "id bigint, tag bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>, sketch array<bigint>"
+_SIGNATURE = "id bigint, tag bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>, bitmap array<bigint>"
 
 
 @cache
-def plan(percent: int) -> tuple[int, int, int]:
-    """(bands, rows of a band, sketch limit) that lose a pair of that similarity with BANDS_MISS and SKETCH_MISS at most."""
-    same, differ = percent / 100, (1 - percent / 100) / 2
+def plan(percent: int) -> tuple[int, int]:
+    """(bands, rows of a band) that lose a pair of that similarity with probability BANDS_MISS at most."""
+    same = percent / 100
     for rows in (4, 3, 2, 1):
         bands = next((n for n in range(1, COORDINATES // rows + 1) if (1 - same**rows) ** n <= BANDS_MISS), None)
         if bands:
-            break
-    else:
-        raise ValueError(f"{COORDINATES} coordinates cannot find pairs of similarity {percent} %")
-    tail = 0.0
-    for limit in range(COORDINATES, -1, -1):  # tail: more than limit bits differ
-        tail += math.comb(COORDINATES, limit) * differ**limit * (1 - differ) ** (COORDINATES - limit)
-        if tail > SKETCH_MISS:
-            return bands, rows, limit
-    return bands, rows, 0
+            return bands, rows
+    raise ValueError(f"{COORDINATES} coordinates cannot find pairs of similarity {percent} %")
 
 
 @cache
@@ -75,32 +76,46 @@ def shifted_permutation() -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(np.concatenate([table, table[:COORDINATES]]), COORDINATES)
 
 
+def _chained(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every ``size`` consecutive word hashes."""
+    n = len(hashes) - size + 1
+    out = hashes[:n].copy()
+    for k in range(1, size):
+        out = tb.mix(out * np.uint64(0xD6E8FEB86659FD93) + hashes[k : k + n])
+    return out
+
+
 def shingle_sets(part: tb.Slice, size: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text of a slice."""
     found = tb.words(part)
     hashes = tb.word_hashes(part, found, tb.lower_ascii(part.data))
-    prefix = tb.prefix_hash(hashes)
-    windows = tb.window_hash(prefix, size)
-    whole = tb.span_hash(prefix, found.offsets[:-1], found.offsets[1:])
+    windows = _chained(hashes, size) if len(hashes) >= size else hashes[:0]
     out = []
-    for i, (begin, end) in enumerate(zip(found.offsets[:-1].tolist(), found.offsets[1:].tolist(), strict=True)):
+    for begin, end in zip(found.offsets[:-1].tolist(), found.offsets[1:].tolist(), strict=True):
         if end - begin >= size:
-            out.append(np.unique(windows[begin : end - size + 1]) if end - size + 1 <= len(windows) else np.unique(np.append(windows[begin:], tb.span_hash(prefix, np.array([end - size]), np.array([end])))))
-        else:
-            out.append(whole[i : i + 1] if end > begin else whole[:0])
+            each = np.sort(windows[begin : end - size + 1])
+            out.append(each[np.concatenate([[True], each[1:] != each[:-1]])])
+        else:  # fewer words than a shingle are one shingle
+            out.append(_chained(hashes[begin:end], end - begin) if end > begin else hashes[:0])
     return out
 
 
-def signature(values: np.ndarray) -> np.ndarray:
-    """All coordinates of one set."""
+def signature(values: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
+    """The first ``coordinates`` coordinates of one set."""
     places = (tb.mix(values ^ np.uint64(0xA5A5F00D12345678)) % np.uint64(PLACES)).astype(np.int64)
-    table = shifted_permutation()
-    out = np.full(COORDINATES, np.iinfo(np.uint32).max, dtype=np.uint32)
+    table = shifted_permutation()[:, :coordinates]
+    out = np.full(coordinates, np.iinfo(np.uint32).max, dtype=np.uint32)
     for i in range(0, len(places), 2048):
         np.minimum(out, table[places[i : i + 2048]].min(axis=0), out=out)
     return out
 
 
+def parities(values: np.ndarray) -> np.ndarray:
+    """BITS bits: whether an odd number of the set's shingles falls on each."""
+    spots = (tb.mix(values ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(BITS)).astype(np.int64)
+    return np.packbits((np.bincount(spots, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _signatures(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,72 +124,167 @@ def _signatures(size: int, bands: int, rows: int):
                 sets = shingle_sets(part, size)
                 counts = np.array([len(s) for s in sets], dtype=np.int64)
                 some = np.flatnonzero(counts)
-                marks = np.stack([signature(sets[i]) for i in some]) if len(some) else np.zeros((0, COORDINATES), np.uint32)
-                grouped = marks[:, : bands * rows].astype(np.uint64).reshape(len(some), bands, rows)
+                marks = np.stack([signature(sets[i], bands * rows) for i in some]) if len(some) else np.zeros((0, bands * rows), np.uint32)
+                bitmaps = np.stack([parities(sets[i]) for i in some]) if len(some) else np.zeros((0, BITS // 64), np.int64)
+                grouped = marks.astype(np.uint64).reshape(len(some), bands, rows)
                 key = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
                 for r in range(rows):
                     key = tb.mix(key + grouped[:, :, r] + np.uint64(1))
-                bits = np.packbits((marks & 1).astype(np.uint8), axis=1).view(np.int64)
                 zero = np.zeros(len(sets), dtype=np.uint64)
                 prints = [zero, zero.copy()]
                 for i in some:
                     spread = tb.mix(sets[i] ^ np.uint64(0x5851F42D4C957F2D))
                     prints[0][i], prints[1][i] = spread.sum(dtype=np.uint64), np.bitwise_xor.reduce(spread)
                 at = np.concatenate([[0], np.cumsum((counts > 0).astype(np.int32))]).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(at * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).view(np.int64).ravel())) for x in (key, bits)]
+                lists = [pa.ListArray.from_arrays(pa.array(at * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).view(np.int64).ravel())) for x in (key, bitmaps)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[part.first : part.first + len(part)]), batch.column(2).slice(part.first, len(part)), pa.array(counts), *(pa.array(p.view(np.int64)) for p in prints), *lists],
-                    names=["id", "tag", "n_shingles", "f1", "f2", "bands", "sketch"],
+                    names=["id", "tag", "n_shingles", "f1", "f2", "bands", "bitmap"],
                 )
 
     return run
 
 
-def _similar(size: int, percent: int):
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two sorted sets."""
+    both = np.concatenate([a, b])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return common > 0 and 100 * common >= percent * (len(both) - common)
+
+
+def _confirm(size: int, percent: int):
+    """Links of rows (lead, member, la, lb, text) sorted so that a lead's own row (no member) comes before its members."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead, held = None, None
         for batch in batches:
-            left, right = ([s for part in tb.text_slices(batch.column(i)) for s in shingle_sets(part, size)] for i in (2, 3))
-            keep = []
-            for a, b in zip(left, right, strict=True):
-                both = np.concatenate([a, b])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common) and common > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            leads, members = np.asarray(batch.column(0)), batch.column(1).to_pylist()
+            keep = np.zeros(len(batch), dtype=bool)
+            for part in tb.text_slices(batch.column(4)):
+                for i, own in enumerate(shingle_sets(part, size), part.first):
+                    if members[i] is None:
+                        lead, held = leads[i], own
+                    else:
+                        keep[i] = lead == leads[i] and similar(held, own, percent)
+            yield pa.RecordBatch.from_arrays(batch.columns[2:4], names=["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
-class _Verifier:
-    """Confirms candidate pairs of classes on the texts of their representatives."""
+def _slots(size: int):
+    """How many sets of a task hold shingles of each counter."""
 
-    def __init__(self, texts: DataFrame, marks: DataFrame, shingle: int, percent: int, sketch_limit: int):
-        self.texts, self.marks, self.shingle, self.percent, self.limit = texts, marks, shingle, percent, sketch_limit
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            for part in tb.text_slices(batch.column(2)):
+                for own in shingle_sets(part, size):
+                    counts += np.bincount((own % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS) if len(own) > 4096 else 0
+                    if len(own) <= 4096:
+                        np.add.at(counts, (own % np.uint64(SLOTS)).astype(np.int64), 1)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["slot", "n"])
 
-    def _close(self):
-        """Whether sizes and sketches of (na, sa) and (nb, sb) allow a link."""
-        apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(COORDINATES // 64)), F.lit(0))
-        return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent) & (apart <= self.limit)
+    return run
 
-    def close_pairs(self, buckets: DataFrame) -> DataFrame:
-        """Pairs of different components in a bucket, of close sizes and sketches."""
-        known = buckets.join(self.marks.withColumnRenamed("id", "rep"), "rep")
-        left = known.select("key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-        right = known.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
-        same = left["key"] == right["key"]
-        return left.join(right, same & (F.col("la") < F.col("lb")) & self._close()).select("a", "b")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets are similar."""
-        left = self.marks.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-        right = self.marks.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
-        near = pairs.select("a", "b").distinct().join(left, "a").join(right, "b").where(self._close()).select("a", "b")
-        text = self.texts
-        near = near.join(text.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        return near.select("a", "b", "ta", "tb").mapInArrow(_similar(self.shingle, self.percent), "a bigint, b bigint")
+def _prefixes(size: int, percent: int, frequency: np.ndarray):
+    """(token, rep, label, n, at, short): the first shingles of each set, rare ones first."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps, labels = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for part in tb.text_slices(batch.column(2)):
+                found = []
+                for i, own in enumerate(shingle_sets(part, size), part.first):
+                    n = len(own)
+                    first = own[np.argsort(frequency[(own % np.uint64(SLOTS)).astype(np.int64)], kind="stable")][: n - -(-percent * n // 100) + 1]
+                    found.append((first, np.full(len(first), i), np.full(len(first), n), np.arange(len(first))))
+                token, row, n, at = (np.concatenate(x) for x in zip(*found, strict=True))
+                short = at <= n - -(-2 * percent * n // (100 + percent))
+                columns = [token.view(np.int64), reps[row], labels[row], n.astype(np.int32), at.astype(np.int32), short]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "rep", "label", "n", "at", "short"])
+
+    return run
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = SIMILARITY, rounds: int = ROUNDS, sketch_limit: int | None = None, hash_col: str | None = None) -> DataFrame:
+
+class _Open:
+    """The members of buckets, their components so far (``members``: rep, label), and how links are found."""
+
+    def __init__(self, tables: Tables, buckets: DataFrame, texts: DataFrame, marks: DataFrame, shingle: int, percent: int):
+        self.tables, self.buckets, self.texts, self.marks, self.shingle, self.percent = tables, buckets, texts, marks, shingle, percent
+        self.members = tables.write(buckets.select("rep", F.col("rep").alias("label")).distinct())
+
+    def open_buckets(self) -> DataFrame:
+        """(key, rep, label, hits) of buckets that hold several components."""
+        known = self.buckets.join(self.members, "rep")
+        mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+        return known.join(mixed, "key")
+
+    def bounded(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, la, lb) whose sizes and bitmaps allow a link, and how many bits differ."""
+        left, right = (self.marks.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("bitmap").alias(f"m{c}")) for c in "ab")
+        apart = sum((F.bit_count(F.col("ma")[i].bitwiseXOR(F.col("mb")[i])) for i in range(BITS // 64)), F.lit(0))
+        sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent
+        known = pairs.join(left, "a").join(right, "b").where(sizes).select("a", "b", "la", "lb", apart.alias("apart"), (F.col("na") + F.col("nb")).alias("both"))
+        return known.where(F.col("apart") * (100 + self.percent) <= F.col("both") * (100 - self.percent)).select("a", "b", "la", "lb", "apart")
+
+    def absorb(self, pairs: DataFrame) -> None:
+        """Confirms a table of pairs on the texts, and joins the components of those linked. ``b`` leads."""
+        chunks = F.ceil(F.count("*") / CHUNK).cast("bigint").alias("chunks")
+        leads = pairs.groupBy("b").agg(chunks)
+        mine = pairs.join(leads, "b").select("b", F.pmod(F.xxhash64("a"), "chunks").alias("chunk"), "a", "la", "lb")
+        text = self.texts.select("id", "text")
+        members = mine.join(text.withColumnRenamed("id", "a"), "a").select("b", "chunk", "a", "la", "lb", "text")
+        own = leads.join(text.withColumnRenamed("id", "b"), "b")
+        none = F.lit(None).cast("bigint")
+        own = own.select("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), none.alias("a"), none.alias("la"), none.alias("lb"), "text")
+        met = members.union(own).repartition("b", "chunk").sortWithinPartitions("b", "chunk", F.col("a").asc_nulls_first())
+        found = met.select("b", "a", "la", "lb", "text").mapInArrow(_confirm(self.shingle, self.percent), "a bigint, b bigint")
+        moved = contracted(found, self.tables)
+        before = self.members
+        now = before.join(moved.select(F.col("a").alias("label"), F.col("b").alias("low")), "label", "left")
+        self.members = self.tables.write(now.select("rep", F.coalesce("low", "label").alias("label")))
+        self.tables.drop(before, moved)
+
+    def meet_leaders(self, turn: int) -> None:
+        """Each member of an open bucket is compared with one leader."""
+        opened = self.tables.write(self.open_buckets())
+        order = F.struct(F.lit(0).alias("hits") if turn else F.col("hits"), F.xxhash64(F.col("rep"), F.lit(turn)))
+        lead = opened.groupBy("key").agg(F.max_by("rep", order).alias("b"), F.max_by("label", order).alias("lb"))
+        met = opened.join(lead, "key").where("label <> lb").groupBy("rep", "b").agg(F.count("*").alias("n"), F.first("label").alias("la"), F.first("lb").alias("lb"))
+        best = met.groupBy(F.col("rep").alias("a")).agg(F.max_by(F.struct("b", "la", "lb"), F.struct("n", "b")).alias("x")).select("a", "x.b", "x.la", "x.lb")
+        pairs = self.tables.write(self.bounded(best))
+        self.absorb(pairs)
+        self.tables.drop(opened, pairs)
+
+    def meet_by_prefix(self) -> None:
+        """All pairs of different components that are left in open buckets and may be linked."""
+        reps = self.open_buckets().select("rep", "label").distinct()
+        texts = self.tables.write(reps.join(self.texts.withColumnRenamed("id", "rep"), "rep").select("rep", "label", "text"))
+        counts = texts.mapInArrow(_slots(self.shingle), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
+        frequency = np.zeros(SLOTS, dtype=np.int64)
+        frequency[np.asarray(counts["slot"].combine_chunks())] = np.asarray(counts["n"].combine_chunks())
+        first = texts.mapInArrow(_prefixes(self.shingle, self.percent, frequency), "token bigint, rep bigint, label bigint, n int, at int, short boolean")
+        larger = first.select("token", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("ia"))
+        smaller = first.where("short").select("token", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+        fits = (F.col("la") != F.col("lb")) & ((F.col("na") > F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") > F.col("b"))) & (F.col("nb") * 100 >= F.col("na") * self.percent)
+        # what can still be shared from the shared one on, against what a link of these sizes shares
+        reach = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (100 + self.percent) >= (F.col("na") + F.col("nb")) * self.percent
+        near = larger.join(smaller, (larger["token"] == smaller["token"]) & fits & reach).select("a", "b", "la", "lb").distinct()
+        pairs = self.tables.write(self.bounded(near))
+        self.tables.drop(texts)
+        one = pairs.groupBy("a", "lb").agg(F.min_by(F.struct("b", "la"), F.struct("apart", "b")).alias("x")).select("a", "x.b", "x.la", "lb")
+        self.absorb(one)
+        label = self.members.select("rep", "label")
+        left = pairs.select("a", "b").join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").where("la <> lb")
+        rest = self.tables.write(left)
+        self.absorb(rest)
+        self.tables.drop(pairs, rest)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = SIMILARITY, rounds: int = ROUNDS, hash_col: str | None = None) -> DataFrame:
     """One row for each row of ``docs``: id (named as given), n_shingles, component_id, kept.
 
     With ``hash_col`` a column of that name holds xxhash64 of the row's text, which tells apart rows of one id.
@@ -184,54 +294,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept is whether that is the row's own document.
     """
     source = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    bands, band_rows, limit = plan(percent)
-    sketch_limit = limit if sketch_limit is None else sketch_limit
-    known = None
+    bands, band_rows = plan(percent)
+    tables, known = Tables(docs.sparkSession), None
     if not source.groupBy("id").count().where("count > 1").isEmpty():  # ids do not tell documents apart: number them in order
         counted = source.groupBy("id", "text").agg(F.count("*").alias("n_rows")).withColumn("tag", F.xxhash64("text"))
         ranged = counted.repartitionByRange("id", "tag", "text").sortWithinPartitions("id", "tag", "text")
-        numbered = written(ranged.select(F.monotonically_increasing_id().alias("node"), "id", "n_rows", "text"))
+        numbered = tables.write(ranged.select(F.monotonically_increasing_id().alias("node"), "id", "n_rows", "text"))
         known, source = numbered.select("node", F.col("id").alias("name"), "n_rows"), numbered.select(F.col("node").alias("id"), "text")
-    marks = written(source.withColumn("tag", F.xxhash64("text")).mapInArrow(_signatures(shingle, bands, band_rows), _SIGNATURE))
+    marks = tables.write(source.withColumn("tag", F.xxhash64("text")).mapInArrow(_signatures(shingle, bands, band_rows), _SIGNATURE))
     some = marks.where("n_shingles > 0")
-    classes = written(some.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    classes = tables.write(some.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("bitmap").alias("bitmap")))
     # a set can only be linked with another one if its size and the next are similar enough
-    members = classes.where(F.col("n_shingles") * 100 >= (F.col("n_shingles") + 1) * percent).select("rep", F.explode("bands").alias("key"))
-    crowded = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    buckets = written(members.join(crowded, "key").select("key", "rep"))
-    texts = written(source.join(buckets.select(F.col("rep").alias("id")).distinct(), "id"))
-    check = _Verifier(texts, classes.select(F.col("rep").alias("id"), "n_shingles", "sketch"), shingle, percent, sketch_limit)
-
-    open_buckets, links, labels = buckets.withColumn("label", F.col("rep")), None, None
-    for turn in range(rounds + 1):
-        if open_buckets.isEmpty():
-            break
-        if turn < rounds:  # each member meets one leader: the one it shares most buckets with
-            order = F.xxhash64(F.col("rep"), F.lit(turn))
-            lead = open_buckets.groupBy("key").agg(F.min_by("rep", order).alias("b"), F.min_by("label", order).alias("lb"))
-            met = open_buckets.join(lead, "key").where("label <> lb").groupBy("rep", "b").agg(F.count("*").alias("n"))
-            pairs = met.groupBy(F.col("rep").alias("a")).agg(F.max_by("b", F.struct("n", "b")).alias("b"))
-        else:
-            pairs = check.close_pairs(open_buckets)
-        found = check.links(pairs)
-        links = checkpointed(found if links is None else links.union(found).distinct())
-        labels = checkpointed(components(links))
-        open_buckets = checkpointed(_still_open(open_buckets, labels))
-    if labels is None:
-        labels = components(marks.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
-    placed = marks.join(classes.select("f1", "f2", "n_shingles", "rep"), ["f1", "f2", "n_shingles"], "left")
-    out = placed.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    out = out.withColumn("low", F.coalesce("component", "rep", "id")).select("id", "tag", "n_shingles", "low", (F.col("id") == F.col("low")).alias("kept"))
+    keyed = classes.where(F.col("n_shingles") * 100 >= (F.col("n_shingles") + 1) * percent).select("rep", F.explode("bands").alias("key"))
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = keyed.join(crowded, "key")
+    hits = shared.groupBy("rep").agg(F.sum("size").alias("hits"))
+    buckets = tables.write(shared.select("key", "rep").join(hits, "rep"))
+    texts = tables.write(source.join(buckets.select(F.col("rep").alias("id")).distinct(), "id"))
+    left = _Open(tables, buckets, texts, classes.select(F.col("rep").alias("id"), "n_shingles", "bitmap"), shingle, percent)
+    for turn in range(rounds):
+        left.meet_leaders(turn)
+    left.meet_by_prefix()
+    tables.drop(buckets, texts)
+    placed = marks.join(classes.select("f1", "f2", "n_shingles", "rep"), ["f1", "f2", "n_shingles"], "left").join(left.members, "rep", "left")
+    out = placed.withColumn("low", F.coalesce("label", "rep", "id")).select("id", "tag", "n_shingles", "low", (F.col("id") == F.col("low")).alias("kept"))
     if known is not None:
         out = out.join(known.withColumnRenamed("node", "id"), "id").drop("id").join(known.select(F.col("node").alias("low"), F.col("name").alias("low_name")), "low")
         out = out.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("n_rows")))).select(F.col("name").alias("id"), "tag", "n_shingles", F.col("low_name").alias("low"), "kept")
     named = [F.when(F.col(c) != NO_ID, F.col(c)).alias(n) for c, n in (("id", id_col), ("low", "component_id"))]
     return out.select(named[0], "n_shingles", named[1], "kept", *([F.col("tag").alias(hash_col)] if hash_col else []))
-
-
-def _still_open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with their labels, of buckets that hold several components."""
-    known = buckets.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
-    mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    return known.join(mixed, "key")
-

@@ -64,13 +64,11 @@ class Spec:
 
 def units(part: tb.Slice, unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, tb.Words | None]:
     """Unit hashes of a slice, unit offsets of its texts, a hash of each text, and its words."""
-    values = tb._BYTE[part.data]
-    prefix = tb.prefix_hash(values)
-    tags = tb.span_hash(prefix, part.offsets[:-1], part.offsets[1:])
+    tags = tb.text_hashes(part)
     if unit == "byte":
-        return values, part.offsets, tags, None
+        return tb._BYTE[part.data], part.offsets, tags, None
     found = tb.words(part)
-    return tb.span_hash(prefix, found.starts, found.ends), found.offsets, tags, found
+    return tb.word_hashes(part, found), found.offsets, tags, found
 
 
 def layout(part: tb.Slice, unit: str) -> tuple[np.ndarray, tb.Words | None]:
@@ -85,7 +83,7 @@ def tags_of(slices: list[tb.Slice], ids: np.ndarray) -> np.ndarray:
     """A hash of each text; zeros where ids alone tell the rows apart."""
     if len(np.unique(ids)) == len(ids):
         return np.zeros(len(ids), dtype=np.uint64)
-    return np.concatenate([np.zeros(0, np.uint64), *(tb.span_hash(tb.prefix_hash(tb._BYTE[s.data]), s.offsets[:-1], s.offsets[1:]) for s in slices)])
+    return np.concatenate([np.zeros(0, np.uint64), *(tb.text_hashes(s) for s in slices)])
 
 
 def block_of(ids: np.ndarray, parts: int) -> np.ndarray:
