@@ -14,12 +14,14 @@ between neighbours (95 % of such lines there are shared with neither), so it goe
 ``article`` or ``main`` is content also inside an element whose class or id alone looks like furniture
 (a layout wrapper), unless that element lies in declared content (reader comments, teasers).
 
-Pages are sorted across tasks by (host, path), so a host of very many pages is split; only hashes of
-lines move for the pairing.
+Pages are parsed before one sort over all (host, path), so only line hashes and the text of lines that are no
+furniture move; ranges split a host of very many pages. Pages are aligned inside their sorted range; those
+at its two ends, whose neighbour lies in another range, are aligned afterwards with the page that each range
+keeps for the next one. Alignment takes memory in proportion to the lines of two pages.
 
 Defined results: null html is an empty page (empty text); null URLs share one empty host; rows that are
 equal in id, URL and html get the same result each; an empty table gives an empty table; other columns
-pass through, whatever their names.
+pass through, whatever their names; the html itself passes only on demand.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,6 +143,42 @@ def page_lines(page: str) -> list[tuple[int, str]]:
     return out
 
 
+TABLE_CELLS = 1 << 20
+
+
+def _lengths(mine: list[int], other: np.ndarray) -> np.ndarray:
+    """For each beginning of ``other`` the length of its longest common subsequence with ``mine``."""
+    row = np.zeros(len(other) + 1, dtype=np.int32)
+    for x in mine:
+        step = np.where(other == x, row[:-1] + 1, row[1:])
+        np.maximum.accumulate(step, out=row[1:])
+    return row
+
+
+def _common_places(mine: list[int], other: np.ndarray) -> list[int]:
+    """Places in ``mine`` of a longest common subsequence: by a table where it is small, else by halves, in linear memory."""
+    if not mine or not len(other):
+        return []
+    if len(mine) > 1 and len(mine) * len(other) > TABLE_CELLS:
+        half = len(mine) // 2
+        cut = int(np.argmax(_lengths(mine[:half], other) + _lengths(mine[:half - 1 : -1], other[::-1])[::-1]))
+        return _common_places(mine[:half], other[:cut]) + [half + i for i in _common_places(mine[half:], other[cut:])]
+    table = np.zeros((len(mine) + 1, len(other) + 1), dtype=np.int32)
+    for i in range(len(mine) - 1, -1, -1):
+        step = np.where(other == mine[i], table[i + 1, 1:] + 1, table[i + 1, :-1])
+        table[i, :-1] = np.maximum.accumulate(step[::-1])[::-1]
+    out, i, j = [], 0, 0
+    while i < len(mine) and j < len(other):
+        if mine[i] == other[j]:
+            out.append(i)
+            i, j = i + 1, j + 1
+        elif table[i + 1, j] >= table[i, j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def shared_lines(mine: list[int], other: list[int]) -> list[bool]:
     """Which of my lines lie on a longest common subsequence with the other page's.
 
@@ -154,97 +193,160 @@ def shared_lines(mine: list[int], other: list[int]) -> list[bool]:
     out = [True] * begin + [False] * (n - begin - tail) + [True] * tail
     theirs, ours = set(other[begin : m - tail]), set(mine[begin : n - tail])
     a = [i for i in range(begin, n - tail) if mine[i] in theirs]
-    b = [x for x in other[begin : m - tail] if x in ours]
-    if not a or not b:
-        return out
-    table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    right = np.array(b, dtype=np.int64)
-    for i in range(len(a) - 1, -1, -1):
-        step = np.where(right == mine[a[i]], table[i + 1, 1:] + 1, table[i + 1, :-1])
-        table[i, :-1] = np.maximum.accumulate(step[::-1])[::-1]
-    i = j = 0
-    while i < len(a) and j < len(b):
-        if mine[a[i]] == b[j]:
-            out[a[i]] = True
-            i, j = i + 1, j + 1
-        elif table[i + 1, j] >= table[i, j + 1]:
-            i += 1
-        else:
-            j += 1
+    b = np.array([x for x in other[begin : m - tail] if x in ours], dtype=np.int64)
+    for i in _common_places([mine[i] for i in a], b):
+        out[a[i]] = True
     return out
 
 
-def _hash(text: str) -> int:
-    import xxhash
+def nearness(path: str, other: str) -> tuple[int, int, int]:
+    """How near two URL paths are: segments they begin with alike, then characters, then closeness in length."""
+    alike = 0
+    for x, y in zip(path.split("/"), other.split("/")):
+        if x != y:
+            break
+        alike += 1
+    same = next((i for i, (x, y) in enumerate(zip(path, other)) if x != y), min(len(path), len(other)))
+    return alike, same, -abs(len(path) - len(other))
+
 
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+def nearest(page: dict, before: dict | None, after: dict | None) -> list[int] | None:
+    """Lines of the nearer of the two neighbours in the page's host (of equals the one before); null if it has none."""
+    near = [(nearness(page["path"], x["path"]), -i, x["lines"]) for i, x in enumerate((before, after)) if x and x["host"] == page["host"]]
+    return max(near)[2] if near else None
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Key and line hashes of each page, without what its markup already decides."""
-    for batch in batches:
-        for first in range(0, len(batch), 512):
-            part = batch.slice(first, 512)
-            lines = [[_hash(t) for _, t in page_lines(page or "")] for page in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(lines, pa.list_(pa.int64()))], names=["key", "host", "path", "lines"])
+def kept_text(marks: list[int], lines: list[int], texts: list[str], other: list[int] | None) -> str:
+    """The lines that are no furniture (``texts``), without those outside declared content that ``other`` shares."""
+    held = [i for i, mark in enumerate(marks) if mark != FURNITURE]
+    if other is None or OTHER not in marks:
+        return "\n".join(texts)
+    shared = shared_lines(lines, other)
+    return "\n".join(t for i, t in zip(held, texts, strict=True) if marks[i] == MAIN or not shared[i])
+
 
+_PAGE = pa.struct([("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.int64()))])
+_PAGE_DDL = "struct<host:string,path:string,lines:array<bigint>>"
+_PARSED = {"content": pa.int64(), "lines": pa.list_(pa.int64()), "marks": pa.binary(), "texts": pa.list_(pa.string())}
+_PARSED_DDL = "content bigint, lines array<bigint>, marks binary, texts array<string>"
+_ALIGNED = {"part": pa.int32(), "at": pa.int64(), "page": _PAGE, "before": _PAGE, "after": _PAGE, "marks": pa.binary(), "texts": pa.list_(pa.string()), "extracted": pa.string()}
+_ALIGNED_DDL = f"part int, at bigint, page {_PAGE_DDL}, before {_PAGE_DDL}, after {_PAGE_DDL}, marks binary, texts array<string>, extracted string"
+_ROWS = 512
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Host, path, columns and parsed lines of each page (its html comes first)."""
     for batch in batches:
-        for first in range(0, len(batch), 512):
-            part = batch.slice(first, 512)
-            texts = []
-            for page, other in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                lines = page_lines(page or "")
-                template = shared_lines([_hash(t) for _, t in lines], other) if other else [False] * len(lines)
-                texts.append("\n".join(t for (mark, t), shared in zip(lines, template, strict=True) if mark == MAIN or mark == OTHER and not shared))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "extracted"])
-
-
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", out_col: str = "main_text") -> DataFrame:
-    """``pages`` with the main text of each page (empty where there is none)."""
-    names = pages.columns
+        for first in range(0, len(batch), _ROWS):
+            part = batch.slice(first, _ROWS)
+            found: dict[str, list] = {c: [] for c in _PARSED}
+            for page in part.column(0).to_pylist():
+                blocks = page_lines(page or "")
+                lines = [xxhash.xxh3_64_intdigest(t) - (1 << 63) for _, t in blocks]
+                found["lines"].append(lines)
+                found["content"].append(xxhash.xxh3_64_intdigest(np.array(lines, dtype=np.int64).tobytes()) - (1 << 63))
+                found["marks"].append(bytes(mark for mark, _ in blocks))
+                found["texts"].append([t for mark, t in blocks if mark != FURNITURE])
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], *(pa.array(found[c], t) for c, t in _PARSED.items())], names=[*part.schema.names[1:], *_PARSED])
+
+
+def _align(n_passed: int):
+    """Texts of sorted pages. Rows: host, path, the passed columns, _PARSED. A page whose neighbour on one side lies
+    in another range, and has lines that a neighbour decides, keeps its lines and the neighbour it knows, without a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        own, at, schema = TaskContext.get().partitionId(), 0, None
+        before: dict | None = None  # the page before the run
+        pending: list[tuple[pa.RecordBatch, int, dict, bytes, list[str]]] = []  # a run: pages of equal lines, one after the other
+        done: list[tuple] = []
+
+        def close(after: dict | None) -> None:
+            nonlocal at
+            for batch, i, page, marks, texts in pending:
+                at += 1
+                if before is None or after is None:
+                    done.append((batch, i, (own, at, page, before, after, marks, texts, None)))
+                else:
+                    done.append((batch, i, (own, at, None, None, None, None, None, kept_text(list(marks), page["lines"], texts, nearest(page, before, after)))))
+            pending.clear()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            while done:
+                some = done[:_ROWS]
+                del done[:_ROWS]
+                passed = pa.concat_tables([pa.Table.from_batches([b.slice(i, 1)]) for b, i, _ in some]).combine_chunks().to_batches()[0].columns[: n_passed + 2]
+                columns = zip(*(row for _, _, row in some), strict=True)
+                yield pa.RecordBatch.from_arrays([*passed[2:], *(pa.array(c, t) for c, t in zip(columns, _ALIGNED.values(), strict=True))], names=[*schema[2 : n_passed + 2], *_ALIGNED])
+
+        for batch in batches:
+            schema = batch.schema.names
+            for first in range(0, len(batch), _ROWS):
+                part = batch.slice(first, _ROWS)
+                host, path, lines, marks, texts = (part.column(i).to_pylist() for i in (0, 1, n_passed + 3, n_passed + 4, n_passed + 5))
+                passed = part.select(schema[: n_passed + 2])
+                for i in range(len(part)):
+                    page = {"host": host[i], "path": path[i], "lines": lines[i]}
+                    if not lines[i]:
+                        at += 1
+                        done.append((passed, i, (own, at, None, None, None, None, None, "")))
+                        continue
+                    if pending and (pending[-1][2]["lines"] != lines[i] or pending[-1][2]["host"] != host[i]):
+                        last = pending[-1][2]
+                        close(page)
+                        before = last
+                    pending.append((passed, i, page, marks[i], texts[i]))
+                yield from flush()
+        close(None)
+        yield from flush()
+
+    return run
+
+
+def _decide(n_passed: int):
+    """Texts of the pages at the ends of ranges, with both neighbours known. Rows: the passed columns, page, before, after, marks, texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, len(batch), _ROWS):
+                part = batch.slice(first, _ROWS)
+                rows = zip(*(part.column(n_passed + i).to_pylist() for i in range(5)), strict=True)
+                texts = [kept_text(list(marks), page["lines"], held, nearest(page, before, after)) for page, before, after, marks, held in rows]
+                yield pa.RecordBatch.from_arrays([*part.columns[:n_passed], pa.array(texts, pa.string())], names=[*part.schema.names[:n_passed], "extracted"])
+
+    return run
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", out_col: str = "main_text", keep_html: bool = False) -> DataFrame:
+    """``pages`` with the main text of each page (empty where there is none), without its html unless ``keep_html``."""
+    names = [c for c in pages.columns if keep_html or c != html_col]
+    own = [f"c{i}" for i in range(len(names))]
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
-    html = F.col(html_col).cast("string")
-    key = F.xxhash64(F.col(id_col).cast("string"), url, html)
     source = pages.select(
-        html.alias("html"), key.alias("key"), F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
-        F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)],
+        F.col(html_col).cast("string").alias("html"), F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
+        F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"),
+        F.xxhash64(F.col(id_col).cast("string"), url).alias("key"), *[F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)],
     )
-    marks = source.select("key", "html", "host", "path").mapInArrow(_marked, "key bigint, host string, path string, lines array<bigint>")
+    types = {f.name: f.dataType.simpleString() for f in source.schema}
+    ddl = ", ".join(f"`{c}` {types[c]}" for c in own)
+    parsed = source.mapInArrow(_parse, f"host string, path string, key bigint, {ddl}, {_PARSED_DDL}")
     # one sort over all hosts; ranges split large hosts; pages of equal lines stand together in each path
-    marks = marks.where(F.size("lines") > 0).withColumn("content", F.xxhash64("lines"))
-    ranged = marks.repartitionByRange("host", "path", "content", "key").sortWithinPartitions("host", "path", "content", "key")
-    placed = written(ranged.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
-    placed = placed.select("part", "at", "key", "host", "path", F.struct("host", "path", "lines").alias("page"))
-    # a run is a row of copies in that order; its pages take the pages just before and after it
-    forth, back = Window.partitionBy("part").orderBy("at"), Window.partitionBy("part").orderBy(F.desc("at"))
-    near = placed.withColumn("prev", _other(F.lag("page").over(forth), F.col("page"))).withColumn("next", _other(F.lead("page").over(forth), F.col("page")))
-    near = near.withColumn("prev", F.last("prev", True).over(forth)).withColumn("next", F.last("next", True).over(back))
-    ends = [F.min_by("page", "at").alias("first"), F.min_by("next", "at").alias("second"), F.max_by("page", "at").alias("last"), F.max_by("prev", "at").alias("last_but")]
+    ranged = parsed.repartitionByRange("host", "path", "content", "key").sortWithinPartitions("host", "path", "content", "key")
+    aligned = written(ranged.drop("key").mapInArrow(_align(len(own)), f"{ddl}, {_ALIGNED_DDL}"))
+    ends = aligned.where("page IS NOT NULL")
+    keep = [F.min_by("page", "at").alias("first"), F.min_by("after", "at").alias("second"), F.max_by("page", "at").alias("last"), F.max_by("before", "at").alias("last_but")]
     every, reverse = Window.orderBy("part"), Window.orderBy(F.desc("part"))  # one row for each range
-    edges = near.groupBy("part").agg(*ends).select(
-        "part", F.coalesce(_other(F.lag("last").over(every), F.col("first")), F.lag("last_but").over(every)).alias("before"),
-        F.coalesce(_other(F.lead("first").over(every), F.col("last")), F.lead("second").over(every)).alias("after"),
+    edges = ends.groupBy("part").agg(*keep).select(
+        "part", F.coalesce(_other(F.lag("last").over(every), F.col("first")), F.lag("last_but").over(every)).alias("earlier"),
+        F.coalesce(_other(F.lead("first").over(every), F.col("last")), F.lead("second").over(every)).alias("later"),
     )
-    edges = edges.select("part", F.last("before", True).over(every).alias("before"), F.last("after", True).over(reverse).alias("after"))
-    near = near.join(edges, "part").withColumn("prev", F.coalesce("prev", "before")).withColumn("next", F.coalesce("next", "after"))
-    prev, following = (F.when(F.col(f"{side}.host") == F.col("host"), _common(F.col(f"{side}.path"), F.col("path"))).otherwise(-1) for side in ("prev", "next"))
-    chosen = F.when(F.greatest(prev, following) < 0, F.lit(None)).when(prev >= following, F.col("prev.lines")).otherwise(F.col("next.lines"))
-    paired = near.groupBy("key").agg(F.first(chosen).alias("other"))
-    joined = source.drop("host", "path").join(paired, "key", "left").select("html", "other", *[f"c{i}" for i in range(len(names))])
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema) + ", extracted string"
-    out = joined.mapInArrow(_extract, ddl)
-    return out.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], F.col("extracted").alias(out_col))
+    edges = edges.select("part", F.last("earlier", True).over(every).alias("earlier"), F.last("later", True).over(reverse).alias("later"))
+    known = ends.join(edges, "part").select(*own, "page", F.coalesce("before", "earlier").alias("before"), F.coalesce("after", "later").alias("after"), "marks", "texts")
+    out = aligned.where("page IS NULL").select(*own, "extracted").union(known.mapInArrow(_decide(len(own)), f"{ddl}, extracted string"))
+    return out.select(*[F.col(o).alias(n) for n, o in zip(names, own, strict=True)], F.col("extracted").alias(out_col))
 
 
 def _other(neighbour, page):
     """The neighbour, or null where it holds the page's own lines."""
     return F.when((neighbour["host"] != page["host"]) | (neighbour["lines"] != page["lines"]), neighbour)
-
-
-def _common(a, b):
-    """Length of the common beginning of two paths, in whole segments weighted over characters."""
-    segments = F.zip_with(F.split(a, "/"), F.split(b, "/"), lambda x, y: F.when(x == y, F.lit(1)).otherwise(0))
-    run = F.aggregate(segments, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, x: F.struct((s["n"] + F.when(s["on"] & (x == 1), 1).otherwise(0)).alias("n"), (s["on"] & (x == 1)).alias("on")))
-    return run["n"] * 1000000 - F.least(F.levenshtein(a, b), F.lit(999999))
