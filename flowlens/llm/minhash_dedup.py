@@ -52,7 +52,7 @@ PLACES = 1 << 20
 ROUNDS = 2
 BANDS_MISS = 5e-8
 BITS = 1024  # of a bitmap of parities
-SLOTS = 1 << 16  # counters of shingles, for their order only
+SLOTS = 1 << 20  # counters of shingles, for their order only
 CHUNK = 256
 
 _SIGNATURE = "id bigint, tag bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>, bitmap array<bigint>"
@@ -180,9 +180,7 @@ def _slots(size: int):
         for batch in batches:
             for part in tb.text_slices(batch.column(2)):
                 for own in shingle_sets(part, size):
-                    counts += np.bincount((own % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS) if len(own) > 4096 else 0
-                    if len(own) <= 4096:
-                        np.add.at(counts, (own % np.uint64(SLOTS)).astype(np.int64), 1)
+                    np.add.at(counts, (own % np.uint64(SLOTS)).astype(np.int64), 1)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["slot", "n"])
 
@@ -264,8 +262,8 @@ class _Open:
         reps = self.open_buckets().select("rep", "label").distinct()
         texts = self.tables.write(reps.join(self.texts.withColumnRenamed("id", "rep"), "rep").select("rep", "label", "text"))
         counts = texts.mapInArrow(_slots(self.shingle), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
-        frequency = np.zeros(SLOTS, dtype=np.int64)
-        frequency[np.asarray(counts["slot"].combine_chunks())] = np.asarray(counts["n"].combine_chunks())
+        frequency = np.zeros(SLOTS, dtype=np.uint32)
+        frequency[np.asarray(counts["slot"].combine_chunks())] = np.minimum(np.asarray(counts["n"].combine_chunks()), np.iinfo(np.uint32).max)
         first = texts.mapInArrow(_prefixes(self.shingle, self.percent, frequency), "token bigint, rep bigint, label bigint, n int, at int, short boolean")
         larger = first.select("token", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("ia"))
         smaller = first.where("short").select("token", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
