@@ -14,10 +14,12 @@ between neighbours (95 % of such lines there are shared with neither), so it goe
 ``article`` or ``main`` is content also inside an element whose class or id alone looks like furniture
 (a layout wrapper), unless that element lies in declared content (reader comments, teasers).
 
-Pages are parsed before one sort over all (host, path), so only line hashes and the text of lines that are no
-furniture move; ranges split a host of very many pages. Pages are aligned inside their sorted range; those
-at its two ends, whose neighbour lies in another range, are aligned afterwards with the page that each range
-keeps for the next one. Alignment takes memory in proportion to the lines of two pages.
+Only line hashes and marks are sorted over all (host, path), so no html moves; ranges split a host of very
+many pages. Pages are aligned inside their sorted range; those at its two ends, whose neighbour lies in another
+range, are aligned afterwards with the page that each range keeps for the next one. The pages are then read
+again: where no line lies elsewhere than in furniture or declared content, their text is complete at once, the
+lines of the others (not their html) meet what the alignment says. Alignment takes memory in proportion to the
+lines of two pages.
 
 Defined results: null html is an empty page (empty text); null URLs share one empty host; rows that are
 equal in id, URL and html get the same result each; an empty table gives an empty table; other columns
@@ -216,104 +218,125 @@ def nearest(page: dict, before: dict | None, after: dict | None) -> list[int] |
     return max(near)[2] if near else None
 
 
-def kept_text(marks: list[int], lines: list[int], texts: list[str], other: list[int] | None) -> str:
-    """The lines that are no furniture (``texts``), without those outside declared content that ``other`` shares."""
-    held = [i for i, mark in enumerate(marks) if mark != FURNITURE]
-    if other is None or OTHER not in marks:
+def kept_text(marks: bytes, texts: list[str], shared: bytes | None) -> str:
+    """The lines that are no furniture (``texts``), without those outside declared content that are ``shared``."""
+    if not shared:
         return "\n".join(texts)
-    shared = shared_lines(lines, other)
+    held = (i for i, mark in enumerate(marks) if mark != FURNITURE)
     return "\n".join(t for i, t in zip(held, texts, strict=True) if marks[i] == MAIN or not shared[i])
 
 
+_ROWS = 512
 _PAGE = pa.struct([("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.int64()))])
 _PAGE_DDL = "struct<host:string,path:string,lines:array<bigint>>"
-_PARSED = {"content": pa.int64(), "lines": pa.list_(pa.int64()), "marks": pa.binary(), "texts": pa.list_(pa.string())}
-_PARSED_DDL = "content bigint, lines array<bigint>, marks binary, texts array<string>"
-_ALIGNED = {"part": pa.int32(), "at": pa.int64(), "page": _PAGE, "before": _PAGE, "after": _PAGE, "marks": pa.binary(), "texts": pa.list_(pa.string()), "extracted": pa.string()}
-_ALIGNED_DDL = f"part int, at bigint, page {_PAGE_DDL}, before {_PAGE_DDL}, after {_PAGE_DDL}, marks binary, texts array<string>, extracted string"
-_ROWS = 512
+_ALIGNED = {"key": pa.int64(), "shared": pa.binary(), "part": pa.int32(), "at": pa.int64(), "marks": pa.binary(), "page": _PAGE, "before": _PAGE, "after": _PAGE}
+_ALIGNED_DDL = f"key bigint, shared binary, part int, at bigint, marks binary, page {_PAGE_DDL}, before {_PAGE_DDL}, after {_PAGE_DDL}"
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Host, path, columns and parsed lines of each page (its html comes first)."""
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Key, host, path, content hash, line hashes and marks of each page that has lines."""
     for batch in batches:
         for first in range(0, len(batch), _ROWS):
             part = batch.slice(first, _ROWS)
-            found: dict[str, list] = {c: [] for c in _PARSED}
+            lines, marks, content = [], [], []
             for page in part.column(0).to_pylist():
                 blocks = page_lines(page or "")
-                lines = [xxhash.xxh3_64_intdigest(t) - (1 << 63) for _, t in blocks]
-                found["lines"].append(lines)
-                found["content"].append(xxhash.xxh3_64_intdigest(np.array(lines, dtype=np.int64).tobytes()) - (1 << 63))
-                found["marks"].append(bytes(mark for mark, _ in blocks))
-                found["texts"].append([t for mark, t in blocks if mark != FURNITURE])
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], *(pa.array(found[c], t) for c, t in _PARSED.items())], names=[*part.schema.names[1:], *_PARSED])
-
+                lines.append([xxhash.xxh3_64_intdigest(t) - (1 << 63) for _, t in blocks])
+                marks.append(bytes(mark for mark, _ in blocks))
+                content.append(xxhash.xxh3_64_intdigest(np.array(lines[-1], dtype=np.int64).tobytes()) - (1 << 63))
+            columns = [pa.array(content, pa.int64()), pa.array(lines, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
+            found = pa.RecordBatch.from_arrays([*part.columns[1:], *columns], names=["key", "host", "path", "content", "lines", "marks"])
+            yield found.filter(pa.array([bool(x) for x in lines], pa.bool_()))
+
+
+def _decided(marks: bytes, page: dict, before: dict | None, after: dict | None) -> bytes | None:
+    """A byte for each line of the page, whether it is shared with the nearest page; null if no line depends on it."""
+    other = nearest(page, before, after) if OTHER in marks else None
+    return bytes(shared_lines(page["lines"], other)) if other else None
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What sorted pages share. A page whose neighbour on one side lies in another range comes with the one that it
+    knows; of the others only those come of which a line is shared."""
+    from pyspark import TaskContext
+
+    own, at = TaskContext.get().partitionId(), 0
+    before: dict | None = None  # the page before the run
+    pending: list[tuple[int, dict, bytes]] = []  # a run: pages of equal lines, one after the other
+    done: list[tuple] = []
+
+    def close(after: dict | None) -> None:
+        nonlocal at
+        for key, page, marks in pending:
+            at += 1
+            if before is None or after is None:
+                done.append((key, None, own, at, marks, page, before, after))
+            elif shared := _decided(marks, page, before, after):
+                done.append((key, shared, own, at, None, None, None, None))
+        pending.clear()
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for first in range(0, len(done), _ROWS):
+            columns = zip(*done[first : first + _ROWS], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ALIGNED.values(), strict=True)], names=list(_ALIGNED))
+        done.clear()
 
-def _align(n_passed: int):
-    """Texts of sorted pages. Rows: host, path, the passed columns, _PARSED. A page whose neighbour on one side lies
-    in another range, and has lines that a neighbour decides, keeps its lines and the neighbour it knows, without a text."""
+    for batch in batches:
+        for first in range(0, len(batch), _ROWS):
+            for key, host, path, lines, marks in zip(*(batch.column(i).slice(first, _ROWS).to_pylist() for i in (0, 1, 2, 4, 5)), strict=True):
+                page = {"host": host, "path": path, "lines": lines}
+                if pending and (pending[-1][1]["lines"] != lines or pending[-1][1]["host"] != host):
+                    last = pending[-1][1]
+                    close(page)
+                    before = last
+                pending.append((key, page, marks))
+            yield from flush()
+    close(None)
+    yield from flush()
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the pages at the ends of ranges share, with both neighbours known."""
+    for batch in batches:
+        for first in range(0, len(batch), _ROWS):
+            key, *rest = (c.slice(first, _ROWS) for c in batch.columns)
+            shared = [_decided(*row) for row in zip(*(c.to_pylist() for c in rest), strict=True)]
+            yield pa.RecordBatch.from_arrays([key, pa.array(shared, pa.binary())], names=["key", "shared"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        own, at, schema = TaskContext.get().partitionId(), 0, None
-        before: dict | None = None  # the page before the run
-        pending: list[tuple[pa.RecordBatch, int, dict, bytes, list[str]]] = []  # a run: pages of equal lines, one after the other
-        done: list[tuple] = []
-
-        def close(after: dict | None) -> None:
-            nonlocal at
-            for batch, i, page, marks, texts in pending:
-                at += 1
-                if before is None or after is None:
-                    done.append((batch, i, (own, at, page, before, after, marks, texts, None)))
-                else:
-                    done.append((batch, i, (own, at, None, None, None, None, None, kept_text(list(marks), page["lines"], texts, nearest(page, before, after)))))
-            pending.clear()
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            while done:
-                some = done[:_ROWS]
-                del done[:_ROWS]
-                passed = pa.concat_tables([pa.Table.from_batches([b.slice(i, 1)]) for b, i, _ in some]).combine_chunks().to_batches()[0].columns[: n_passed + 2]
-                columns = zip(*(row for _, _, row in some), strict=True)
-                yield pa.RecordBatch.from_arrays([*passed[2:], *(pa.array(c, t) for c, t in zip(columns, _ALIGNED.values(), strict=True))], names=[*schema[2 : n_passed + 2], *_ALIGNED])
+def _render(complete: bool):
+    """Rows (html, key, passed columns). ``complete``: texts of the pages that need no alignment; else the lines of those that do."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            schema = batch.schema.names
             for first in range(0, len(batch), _ROWS):
                 part = batch.slice(first, _ROWS)
-                host, path, lines, marks, texts = (part.column(i).to_pylist() for i in (0, 1, n_passed + 3, n_passed + 4, n_passed + 5))
-                passed = part.select(schema[: n_passed + 2])
-                for i in range(len(part)):
-                    page = {"host": host[i], "path": path[i], "lines": lines[i]}
-                    if not lines[i]:
-                        at += 1
-                        done.append((passed, i, (own, at, None, None, None, None, None, "")))
-                        continue
-                    if pending and (pending[-1][2]["lines"] != lines[i] or pending[-1][2]["host"] != host[i]):
-                        last = pending[-1][2]
-                        close(page)
-                        before = last
-                    pending.append((passed, i, page, marks[i], texts[i]))
-                yield from flush()
-        close(None)
-        yield from flush()
+                rows, marks, texts = [], [], []
+                for i, page in enumerate(part.column(0).to_pylist()):
+                    blocks = page_lines(page or "")
+                    if complete != any(mark == OTHER for mark, _ in blocks):
+                        rows.append(i)
+                        marks.append(bytes(mark for mark, _ in blocks))
+                        texts.append([t for mark, t in blocks if mark != FURNITURE])
+                kept = part.take(pa.array(rows, pa.int64())).columns
+                if complete:
+                    yield pa.RecordBatch.from_arrays([*kept[2:], pa.array(["\n".join(t) for t in texts], pa.string())], names=[*part.schema.names[2:], "extracted"])
+                else:
+                    more = [pa.array(marks, pa.binary()), pa.array(texts, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([*kept[1:], *more], names=[*part.schema.names[1:], "marks", "texts"])
 
     return run
 
 
-def _decide(n_passed: int):
-    """Texts of the pages at the ends of ranges, with both neighbours known. Rows: the passed columns, page, before, after, marks, texts."""
+def _finish(n_passed: int):
+    """Rows (passed columns, marks, texts, shared): the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, len(batch), _ROWS):
                 part = batch.slice(first, _ROWS)
-                rows = zip(*(part.column(n_passed + i).to_pylist() for i in range(5)), strict=True)
-                texts = [kept_text(list(marks), page["lines"], held, nearest(page, before, after)) for page, before, after, marks, held in rows]
-                yield pa.RecordBatch.from_arrays([*part.columns[:n_passed], pa.array(texts, pa.string())], names=[*part.schema.names[:n_passed], "extracted"])
+                rows = zip(*(c.to_pylist() for c in part.columns[n_passed:]), strict=True)
+                yield pa.RecordBatch.from_arrays([*part.columns[:n_passed], pa.array([kept_text(*row) for row in rows], pa.string())], names=[*part.schema.names[:n_passed], "extracted"])
 
     return run
 
@@ -323,17 +346,17 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     names = [c for c in pages.columns if keep_html or c != html_col]
     own = [f"c{i}" for i in range(len(names))]
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
+    html = F.col(html_col).cast("string")
     source = pages.select(
-        F.col(html_col).cast("string").alias("html"), F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
-        F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"),
-        F.xxhash64(F.col(id_col).cast("string"), url).alias("key"), *[F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)],
+        html.alias("html"), F.xxhash64(F.col(id_col).cast("string"), url, html).alias("key"), F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
+        F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"), *[F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)],
     )
     types = {f.name: f.dataType.simpleString() for f in source.schema}
     ddl = ", ".join(f"`{c}` {types[c]}" for c in own)
-    parsed = source.mapInArrow(_parse, f"host string, path string, key bigint, {ddl}, {_PARSED_DDL}")
+    hashed = written(source.select("html", "key", "host", "path").mapInArrow(_hashes, "key bigint, host string, path string, content bigint, lines array<bigint>, marks binary"))
     # one sort over all hosts; ranges split large hosts; pages of equal lines stand together in each path
-    ranged = parsed.repartitionByRange("host", "path", "content", "key").sortWithinPartitions("host", "path", "content", "key")
-    aligned = written(ranged.drop("key").mapInArrow(_align(len(own)), f"{ddl}, {_ALIGNED_DDL}"))
+    ranged = hashed.repartitionByRange("host", "path", "content", "key").sortWithinPartitions("host", "path", "content", "key")
+    aligned = written(ranged.mapInArrow(_align, _ALIGNED_DDL))
     ends = aligned.where("page IS NOT NULL")
     keep = [F.min_by("page", "at").alias("first"), F.min_by("after", "at").alias("second"), F.max_by("page", "at").alias("last"), F.max_by("before", "at").alias("last_but")]
     every, reverse = Window.orderBy("part"), Window.orderBy(F.desc("part"))  # one row for each range
@@ -342,9 +365,14 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         F.coalesce(_other(F.lead("first").over(every), F.col("last")), F.lead("second").over(every)).alias("later"),
     )
     edges = edges.select("part", F.last("earlier", True).over(every).alias("earlier"), F.last("later", True).over(reverse).alias("later"))
-    known = ends.join(edges, "part").select(*own, "page", F.coalesce("before", "earlier").alias("before"), F.coalesce("after", "later").alias("after"), "marks", "texts")
-    out = aligned.where("page IS NULL").select(*own, "extracted").union(known.mapInArrow(_decide(len(own)), f"{ddl}, extracted string"))
-    return out.select(*[F.col(o).alias(n) for n, o in zip(names, own, strict=True)], F.col("extracted").alias(out_col))
+    known = ends.join(edges, "part").select("key", "marks", "page", F.coalesce("before", "earlier").alias("before"), F.coalesce("after", "later").alias("after"))
+    shared = aligned.where("page IS NULL").select("key", "shared").union(known.mapInArrow(_decide, "key bigint, shared binary").where("shared IS NOT NULL"))
+    shared = shared.groupBy("key").agg(F.first("shared").alias("shared"))  # rows given twice
+    read = source.select("html", "key", *own)
+    complete = read.mapInArrow(_render(True), f"{ddl}, extracted string")
+    open_pages = read.mapInArrow(_render(False), f"key bigint, {ddl}, marks binary, texts array<string>")
+    met = open_pages.join(shared, "key", "left").select(*own, "marks", "texts", "shared").mapInArrow(_finish(len(own)), f"{ddl}, extracted string")
+    return complete.union(met).select(*[F.col(o).alias(n) for n, o in zip(names, own, strict=True)], F.col("extracted").alias(out_col))
 
 
 def _other(neighbour, page):

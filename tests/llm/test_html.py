@@ -99,3 +99,50 @@ def test_markup_does_not_replace_the_alignment(spark):
 )
 def test_marks(page, want):
     assert h.page_lines(page) == want
+
+
+def test_alignment_in_linear_memory(monkeypatch):
+    monkeypatch.setattr(h, "TABLE_CELLS", 4)
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(0, 30))] for _ in range(2))
+        kept = [x for x, m in zip(a, h.shared_lines(a, b), strict=True) if m]
+        assert len(kept) == lcs(a, b) == lcs(kept, b)
+
+
+def test_very_long_page_and_url(spark):
+    lines = [f"<p>line {i % 9973} of {i}</p>" for i in range(20_000)]
+    rows = [(1, "https://x.example/a/" + "u" * 100_000, "".join(lines)), (2, "https://x.example/a/" + "u" * 99_999 + "v", "".join(lines[::2]))]
+    got = {r.page_id: r.main_text for r in h.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[1].split("\n") == [f"line {i % 9973} of {i}" for i in range(1, 20_000, 2)] and got[2] == ""
+
+
+def plain_text(pages):
+    """The whole operator by brute force: the nearest other page of the host in URL order, then a full table of the LCS."""
+    order = sorted((host, path, i) for i, (host, path, _) in enumerate(pages))
+    blocks = {i: h.page_lines(page) for i, (_, _, page) in enumerate(pages)}
+    out = {}
+    for place, (host, path, i) in enumerate(order):
+        sides = [next((j for o, _, j in side if o == host and blocks[j] and [t for _, t in blocks[j]] != [t for _, t in blocks[i]]), None) for side in (reversed(order[:place]), order[place + 1 :])]
+        near = max(((h.nearness(path, pages[j][1]), -k, j) for k, j in enumerate(sides) if j is not None), default=None)
+        lines = [t for _, t in blocks[i]]
+        shared = h.shared_lines([hash(t) for t in lines], [hash(t) for _, t in blocks[near[2]]]) if near else [False] * len(lines)
+        out[i] = "\n".join(t for (mark, t), s in zip(blocks[i], shared, strict=True) if mark == h.MAIN or mark == h.OTHER and not s)
+    return out
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(8)
+    pages = []
+    for i in range(60):
+        host = f"h{rng.randrange(3)}.example"
+        body = [f"<div>menu {rng.randrange(3)}</div>", f"<p>own {i}</p>", *(f"<div>part {rng.randrange(5)}</div>" for _ in range(rng.randrange(6)))]
+        if rng.random() < 0.3:
+            body.append(f"<article><p>article {i}</p><p>licence</p></article>")
+        rng.shuffle(body)
+        pages.append((host, f"/{rng.randrange(4)}/{i:02d}", "".join(body)))
+    df = spark.createDataFrame([(i, f"https://{host}{path}", page) for i, (host, path, page) in enumerate(pages)], "page_id bigint, url string, html string")
+    got = {r.page_id: r.main_text for r in h.main_text(df.repartition(5)).collect()}
+    assert got == plain_text(pages)
+    alone = {r.page_id: r.main_text for r in h.main_text(df.where("page_id = 0")).collect()}
+    assert alone[0] != got[0]  # without neighbours nothing is shared
