@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from flowlens.llm import textbytes as tb
 
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 _CONTROLS = regex.compile(r"[\x1c-\x1f]")
 
 
@@ -96,7 +96,7 @@ class WordBPE:
         self.shorter = [-1] * size  # the longest token that is a proper prefix
         for text, i in spelled.items():
             self.shorter[i] = next((spelled[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in spelled), -1)
-        self.fits = lru_cache(1 << 17)(self._fits)
+        self.fits = lru_cache(1 << 18)(self._fits)
         self.packed = [i.to_bytes(4, "little") for i in range(size)]
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -135,22 +135,22 @@ class WordBPE:
         out = [i for _, i in self.automaton.iter_long(spelled)]  # the longest at each place, taken in turn
         if all(map(fits, out, out[1:])):
             return out
-        longest = [-1] * n
-        for end, i in self.automaton.iter(spelled):
-            longest[end - length[i] + 1] = i  # later ends are longer
-        alive = [True] * (n + 1)
-        out = []
-        at, token = 0, longest[0]
+        # up to the first pair that does not fit, this is the answer; from there on, step by step
+        keep = next(k for k in range(1, len(out)) if not fits(out[k - 1], out[k]))
+        token, out = out[keep], out[:keep]
+        at = sum([length[i] for i in out])
+        dead = set()
+        longest = self.automaton.iter_long
         while at < n:
             before = out[-1] if out else -1
-            while token >= 0 and not (alive[at + length[token]] and (before < 0 or fits(before, token))):
+            while token >= 0 and (at + length[token] in dead or before >= 0 and not fits(before, token)):
                 token = self.shorter[token]
             if token >= 0:
                 out.append(token)
                 at += length[token]
-                token = longest[at] if at < n else -1
+                token = next(longest(spelled, at))[1] if at < n else -1
             else:
-                alive[at] = False
+                dead.add(at)
                 token = out.pop()
                 at -= length[token]
                 token = self.shorter[token]
@@ -179,21 +179,23 @@ class WordBPE:
         if None in out:
             for i, ids in enumerate(out):
                 if ids is None:
-                    c = chunks[i]
-                    if c.isalpha():
-                        out[i] = self._remember(c)
-                        continue
-                    pieces = (c[:-1], c[-1]) if c[-1] in ".,!" and c[:-1].isalpha() else self.pattern.findall(c)
-                    out[i] = b"".join([self.memory.get(p) or self._remember(p) for p in pieces])
+                    out[i] = self._remember(chunks[i])
         return b"".join(out)
 
-    def _remember(self, piece: str) -> bytes:
-        ids = self.older.get(piece) or b"".join([self.packed[i] for i in self.encode_piece(piece)])
-        if len(piece) <= 64:
+    def _remember(self, chunk: str) -> bytes:
+        """Ids of what stands between white space: one piece, or several (a word and its comma)."""
+        ids = self.older.get(chunk)
+        if ids is None:
+            pieces = (chunk,) if chunk.isalpha() else self.pattern.findall(chunk)
+            if len(pieces) == 1:
+                ids = b"".join([self.packed[i] for i in self.encode_piece(pieces[0])])
+            else:
+                ids = b"".join([self.memory.get(p) or self._remember(p) for p in pieces])
+        if len(chunk) <= 64:
             if len(self.memory) >= REMEMBERED:  # two generations: what was not met lately is forgotten
                 self.older = self.memory
                 self.memory = {}
-            self.memory[piece] = ids
+            self.memory[chunk] = ids
         return ids
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
