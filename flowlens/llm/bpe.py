@@ -21,7 +21,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -56,6 +56,7 @@ def _byte_letters() -> list[str]:
 
 class WordBPE:
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -168,6 +169,8 @@ class WordBPE:
 
     def _encode_plain(self, text: str) -> bytes:
         if not text.isascii():
+            if self.newer[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)].any():
+                return self._encode_newer(text)
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ")  # lower-casing is by character: no final sigma
@@ -182,6 +185,33 @@ class WordBPE:
                     out[i] = self._remember(chunks[i])
         return b"".join(out)
 
+    @cached_property
+    def newer(self) -> np.ndarray:
+        """Code points that this Python's tables do not know."""
+        out = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+        every = "".join(map(chr, [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]))
+        out[[ord(c) for c in regex.findall(r"\p{Cn}", every)]] = True
+        return out
+
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    @lru_cache(1 << 12)
+    def _stand_in(self, c: str) -> str:
+        """A letter, digit or sign for one that only the library's tables know, of the class that it has there."""
+        cut = self.library.pre_tokenizer.pre_tokenize_str
+        return "q" if len(cut("q" + c)) == 1 else "~" if len(cut("~" + c)) == 1 else "1"
+
+    def _encode_newer(self, text: str) -> bytes:
+        """Ids of a text with characters newer than this Python: the library's tables lower them and tell their class."""
+        text = self.library.normalizer.normalize_str(text)
+        stand = text.translate({ord(c): self._stand_in(c) for c in set(text) if self.newer[ord(c)]})
+        pieces = [text[m.start() : m.end()] for m in self.pattern.finditer(stand)]
+        return b"".join([self.packed[i] for p in pieces for i in self.encode_piece(p)])
+
     def _remember(self, chunk: str) -> bytes:
         """Ids of what stands between white space: one piece, or several (a word and its comma)."""
         ids = self.older.get(chunk)

@@ -16,8 +16,8 @@ takes its best ones instead, so none is left without partners. Recall is measure
 the tests.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and vectors with a
-null label, link with nothing; rows with the same id are vectors of their own whose links count for the
-id; null ids are ordered after all ids; an empty table gives an empty table; other columns are ignored.
+null label, link with nothing; rows with the same id, or without one, are vectors of their own, each with its own
+links; null ids are ordered after all ids; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -173,17 +173,24 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     """One row for each row of ``vectors``: id (named as given), n_links, component_id, kept."""
     spark = vectors.sparkSession
     v = F.col("vector")
+    element = vectors.schema[vector_col].dataType.elementType.simpleString()
+    kind = "array<float>" if element == "float" else "array<double>"  # compared in double precision either way
     source = vectors.select(
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector")
+        F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(kind).alias("vector")
     )
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     fit = v.isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False))
-    rows = written(source.withColumn("fit", fit))
-    classes = rows.where("fit").groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    source = source.withColumn("fit", fit)
+    repeated = not source.groupBy("id").count().where("count > 1").isEmpty()
+    if repeated:  # ids do not tell rows apart: number them in the order of ids
+        rows = written(source.repartitionByRange("id").sortWithinPartitions("id").withColumn("row", F.monotonically_increasing_id()))
+    else:
+        rows = written(source.withColumn("row", F.col("id")))
+    classes = rows.where("fit").groupBy("label", "vector").agg(F.min("row").alias("rep"), F.count("*").alias("copies"))
     total = rows.count()
     words = max(16, min(4096, math.isqrt(max(total - 1, 0)) + 1))
     shaped = classes.select("rep", "copies", F.size("vector").alias("size"), "vector", F.xxhash64("label", F.size("vector")).alias("group"), "label")
-    ddl = "rep bigint, copies bigint, size int, vector array<double>, `group` bigint, label string, filters array<int>"
+    ddl = f"rep bigint, copies bigint, size int, vector {kind}, `group` bigint, label string, filters array<int>"
     placed = written(shaped.mapInArrow(_filters(words, per_vector), ddl))
     spread = placed.select("rep", "group", F.explode("filters").alias("filter"))
     counts = spread.groupBy("group", "filter").agg(F.count("*").alias("members")).where("members > 1")
@@ -198,14 +205,18 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     target = F.pmod(F.xxhash64("group", "filter", "p.lo", "p.hi"), F.lit(parts)).cast("int").alias("target")
     dealt = dealt.select(F.xxhash64("group", "p.lo", "p.hi").alias("group2"), F.col("group").alias("own"), "filter", "p.side", "rep", target)
     full = dealt.join(placed.select("rep", F.col("group").alias("own"), "copies", "size", "vector", "filters"), ["rep", "own"])
-    full = full.select("target", F.col("group2").alias("group"), "filter", "side", "rep", "copies", "size", F.col("vector").cast("array<double>").alias("vector"), "filters")
+    full = full.select("target", F.col("group2").alias("group"), "filter", "side", "rep", "copies", "size", "vector", "filters")
     found = written(full.groupBy("target").applyInArrow(_compare(threshold), "rep bigint, links bigint, least bigint"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("rep").alias("a"), F.col("least").alias("b")))
     members = rows.join(classes.select("label", "vector", "rep", "copies"), ["label", "vector"], "left")
     out = members.join(links, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "id")
+    out = out.select("id", "row", "copies", "links", F.coalesce("component", "rep", "row").alias("low"))
+    if repeated:
+        out = out.join(rows.select(F.col("row").alias("low"), F.col("id").alias("low_id")), "low")
+    else:
+        out = out.withColumn("low_id", F.col("low"))
     return out.select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        F.when(component != NO_ID, component).alias("component_id"), (F.col("id") == component).alias("kept"),
+        F.when(F.col("low_id") != NO_ID, F.col("low_id")).alias("component_id"), (F.col("row") == F.col("low")).alias("kept"),
     )

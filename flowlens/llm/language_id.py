@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,10 +148,12 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     for lang, n in sizes.items():  # a language with few documents gives all of them
         share = F.when(F.col("lang") == lang, F.lit(min(1 << 20, -(-(1 << 20) * max_docs // n)))).otherwise(share)
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share).select("lang", "text")
-    counts = sample.mapInArrow(_count_contexts, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = sample.mapInArrow(_count_contexts, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
     if not len(counts):
         return None
-    return build({lang: (g["gram"].to_numpy(), g["n"].to_numpy()) for lang, g in counts.groupby("lang")})
+    lang, gram, n = (counts[c].combine_chunks() for c in ("lang", "gram", "n"))
+    each = {name: pa.compute.equal(lang, name) for name in lang.unique().to_pylist()}
+    return build({name: (np.asarray(gram.filter(mine)), np.asarray(n.filter(mine))) for name, mine in each.items()})
 
 
 def _classifier(model, column: int):

@@ -57,7 +57,9 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     themselves are sorted with their places, equal neighbours are the repeats, and each covers as many
     words as lie before the next.
     """
-    p, own = _PREFIX, docs.columns
+    p = _PREFIX
+    docs = docs.select([F.col(f"`{c}`") for c in docs.columns if not c.lower().startswith(p) or c == text_col])
+    own = [c for c in docs.columns if not c.lower().startswith(p)]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     step = docs.select("*", text.alias(f"{p}text")).select("*", F.array_remove(F.split(f"{p}text", _SPACE), "").alias(f"{p}w"), F.split(f"{p}text", "\n").alias(f"{p}all_lines"))
     step = step.select(

@@ -18,6 +18,7 @@ their own; an empty table or folder gives an empty table; other columns are igno
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -56,9 +57,33 @@ def load(path: str):
     return tiktoken.Encoding("flat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: White space as the pattern's ``\\s`` has it.
+_BLANK = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{10000,}")
+
+
+def encode_whole(encoding, text: str) -> list[int]:
+    """Ids of a text. A long run of white space, on which the library's search overflows its stack, is cut out: the
+    pattern makes one piece of all of it but its last character, or of all of it at the text's end."""
+    out, at = [], 0
+    for m in _BLANK.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        out += encoding.encode_ordinary(text[at : m.start()]) + encoding._encode_single_piece(text[m.start() : end])
+        at = end
+    return out + encoding.encode_ordinary(text[at:])
+
+
+def check_ids(encoding, end_id: int, dtype: str) -> None:
+    """Refuses an end id that is a token's, and a type that cannot hold all ids."""
+    if end_id in encoding._mergeable_ranks.values():
+        raise ValueError(f"the end id {end_id} is a token of the vocabulary")
+    if max(end_id, encoding.max_token_value) > np.iinfo(dtype).max:
+        raise ValueError(f"ids up to {max(end_id, encoding.max_token_value)} do not fit {dtype}")
+
+
 def _writer(folder: str, vocabulary: str, end_id: int, dtype: str, roll: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, (fs, root) = load(vocabulary), FileSystem.from_uri(folder)
+        check_ids(encoding, end_id, dtype)
         tail, out, name, size, ids = np.array([end_id], dtype).tobytes(), None, "", 0, []
 
         def close() -> pa.RecordBatch:
@@ -71,7 +96,7 @@ def _writer(folder: str, vocabulary: str, end_id: int, dtype: str, roll: int):
                 if out is None:
                     name, size, ids = f"{uuid.uuid4().hex}.bin", 0, []
                     out = fs.open_output_stream(f"{root}/.{name}")
-                tokens = np.array(encoding.encode_ordinary(batch.column(1)[i].as_py() or ""), dtype=dtype).tobytes() + tail
+                tokens = np.array(encode_whole(encoding, batch.column(1)[i].as_py() or ""), dtype=dtype).tobytes() + tail
                 out.write(tokens)
                 size += len(tokens)
                 ids.append(batch.column(0)[i].as_py())

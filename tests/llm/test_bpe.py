@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from flowlens.llm import bpe
@@ -39,3 +40,13 @@ def test_ids_and_text_equal_the_library(spark, theirs):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, decoded int")
     assert bpe.decode(bpe.encode(df), out_col="again").count() == 0
+
+
+def test_characters_newer_than_the_tables(theirs):
+    mine = bpe.load(bpe.default_vocabulary())
+    newer = [chr(c) for c in np.flatnonzero(mine.newer) if c < 0x33500 or 0xE0000 <= c < 0xE0200]
+    assert newer
+    for first in range(0, len(newer), 400):
+        text = " ".join(f"a{c}B 1{c}2 ~{c}" for c in newer[first : first + 400])
+        got = np.frombuffer(mine.encode(text), "<u4").tolist()
+        assert got == theirs.encode(text, add_special_tokens=False).ids, first

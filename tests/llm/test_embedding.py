@@ -75,3 +75,10 @@ def test_list_decoding_finds_all_filters():
         scores = (turned[i, :5] @ code.codes[0].T)[:, None] + (turned[i, 5:] @ code.codes[1].T)[None, :]
         every = np.flatnonzero(scores.ravel() >= code.threshold)
         assert np.array_equal(found, every) if len(every) * 2 >= 30 else len(found) == 30
+
+
+def test_repeated_and_null_ids_are_vectors_of_their_own(spark):
+    rows = [(None, [1.0, 0.0, 0.0], 1), (None, [1.0, 0.1, 0.0], 1), (None, [0.0, 0.0, 1.0], 1), (9, [1.0, 0.05, 0.0], 1), (5, [0.0, 1.0, 0.0], 2), (5, [0.0, 1.0, 0.1], 2), (5, [1.0, 0.0, 0.0], 2), (6, [0.0, 1.0, 0.05], 2)]
+    got = e.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"))
+    found = sorted((r.vec_id or -1, r.n_links, r.component_id or -1) for r in got.collect())
+    assert found == [(-1, 0, -1), (-1, 2, 9), (-1, 2, 9), (5, 0, 5), (5, 2, 5), (5, 2, 5), (6, 2, 5), (9, 2, 9)]

@@ -56,3 +56,12 @@ def test_verdict_does_not_depend_on_order(spark, order):
     df = quality.with_features(spark.createDataFrame(make_docs(), "doc_id bigint, text string"))
     first = {r[0]: r[1] is None for r in df.select("doc_id", quality.cascade(quality.RULES[::order])).collect()}
     assert first == {r[0]: r[1] is None for r in df.select("doc_id", quality.cascade(quality.RULES)).collect()}
+
+
+def test_given_columns_named_like_results(spark):
+    docs = make_docs()
+    plain = spark.createDataFrame(docs, "doc_id bigint, text string")
+    clash = spark.createDataFrame([(*d, 7, "x", "y") for d in docs], "doc_id bigint, text string, quality_n_words int, quality_box string, w string")
+    want = {r.doc_id: r.quality_kept for r in quality.apply_rules(plain).collect()}
+    out = quality.apply_rules(clash)
+    assert {r.doc_id: r.quality_kept for r in out.collect()} == want and out.columns.count("quality_n_words") == 1 and "quality_box" not in out.columns

@@ -52,3 +52,21 @@ def test_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: r.n_tokens for r in queries.QUERIES["op2_token_counts"](spark, SF).collect()}
     assert got == {d.doc_id: len(encoding.encode_ordinary(d.text or "")) for d in docs}
+
+
+def test_long_white_space_is_one_piece():
+    encoding = t.load(t.default_vocabulary())
+    for n in (9_999, 10_000, 30_001):
+        for text in (" " * n, "a" + " " * n, "a" + " " * n + "b c", "\n" * n + "b", "x" + " \n" * (n // 2) + "9", " " * n + "é" + "\t" * n):
+            assert t.encode_whole(encoding, text) == encoding.encode_ordinary(text), (n, text[:3])
+    long = "word" + " " * 1_500_000 + "word"
+    assert encoding.decode(t.encode_whole(encoding, long)) == long
+
+
+def test_ids_that_do_not_fit_are_refused():
+    encoding = t.load(t.default_vocabulary())
+    t.check_ids(encoding, t.END_ID, t.DTYPE)
+    with pytest.raises(ValueError, match="is a token"):
+        t.check_ids(encoding, 5, t.DTYPE)
+    with pytest.raises(ValueError, match="do not fit"):
+        t.check_ids(encoding, t.END_ID, "u1")
