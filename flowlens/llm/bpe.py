@@ -134,10 +134,11 @@ class WordBPE:
         spelled = raw[:-1].decode("latin-1") + self.last[raw[-1]]
         n, length, fits = len(spelled), self.length, self.fits
         out = [i for _, i in self.automaton.iter_long(spelled)]  # the longest at each place, taken in turn
-        if all(map(fits, out, out[1:])):
+        fit = list(map(fits, out, out[1:]))
+        if False not in fit:
             return out
         # up to the first pair that does not fit, this is the answer; from there on, step by step
-        keep = next(k for k in range(1, len(out)) if not fits(out[k - 1], out[k]))
+        keep = fit.index(False) + 1
         token, out = out[keep], out[:keep]
         at = sum([length[i] for i in out])
         dead = set()
@@ -169,8 +170,6 @@ class WordBPE:
 
     def _encode_plain(self, text: str) -> bytes:
         if not text.isascii():
-            if self.newer[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)].any():
-                return self._encode_newer(text)
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ")  # lower-casing is by character: no final sigma
@@ -186,12 +185,9 @@ class WordBPE:
         return b"".join(out)
 
     @cached_property
-    def newer(self) -> np.ndarray:
-        """Code points that this Python's tables do not know."""
-        out = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
-        every = "".join(map(chr, [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]))
-        out[[ord(c) for c in regex.findall(r"\p{Cn}", every)]] = True
-        return out
+    def newer(self) -> frozenset[str]:
+        """Characters that this Python's tables do not know (none is alphabetic or printable)."""
+        return frozenset(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn")
 
     @cached_property
     def library(self):
@@ -206,9 +202,9 @@ class WordBPE:
         return "q" if len(cut("q" + c)) == 1 else "~" if len(cut("~" + c)) == 1 else "1"
 
     def _encode_newer(self, text: str) -> bytes:
-        """Ids of a text with characters newer than this Python: the library's tables lower them and tell their class."""
+        """Ids of a chunk with characters newer than this Python: the library's tables lower them and tell their class."""
         text = self.library.normalizer.normalize_str(text)
-        stand = text.translate({ord(c): self._stand_in(c) for c in set(text) if self.newer[ord(c)]})
+        stand = text.translate({ord(c): self._stand_in(c) for c in set(text) & self.newer})
         pieces = [text[m.start() : m.end()] for m in self.pattern.finditer(stand)]
         return b"".join([self.packed[i] for p in pieces for i in self.encode_piece(p)])
 
@@ -216,7 +212,12 @@ class WordBPE:
         """Ids of what stands between white space: one piece, or several (a word and its comma)."""
         ids = self.older.get(chunk)
         if ids is None:
-            pieces = (chunk,) if chunk.isalpha() else self.pattern.findall(chunk)
+            if chunk.isalpha():
+                pieces = (chunk,)
+            elif not chunk.isascii() and (not chunk.isprintable() or len(chunk) > 64) and not self.newer.isdisjoint(chunk):
+                return self._encode_newer(chunk)
+            else:
+                pieces = self.pattern.findall(chunk)
             if len(pieces) == 1:
                 ids = b"".join([self.packed[i] for i in self.encode_piece(pieces[0])])
             else:
