@@ -158,6 +158,16 @@ def points_to(addr: DataFrame, copy: DataFrame, load: DataFrame, store: DataFram
     raise RoundLimitError(f"points-to sets did not settle in max_rounds={max_rounds} rounds")
 
 
+def virtual_calls(sites: DataFrame, inherits: DataFrame, tables: DataFrame) -> DataFrame:
+    """(site, fn): targets of calls ``sites(site, cls, slot)`` through a class: functions that the class or one that
+    ``inherits(base, sub)`` from it, directly or not, holds in that slot (``tables(cls, slot, fn)``). Only the
+    classes that calls name are expanded."""
+    named = sites.select(F.col("cls").alias("node")).distinct()
+    below = closure(inherits.select(F.col("base").alias("src"), F.col("sub").alias("dst")), named).union(named.select("node", "node")).distinct()
+    held = below.select(F.col("src").alias("cls"), F.col("dst").alias("at")).join(tables.withColumnRenamed("cls", "at"), "at")
+    return sites.join(held, ["cls", "slot"]).select("site", "fn").distinct()
+
+
 def aliases(pointing: DataFrame) -> DataFrame:
     """(a, b), a < b: variables whose points-to sets meet."""
     other = pointing.select(F.col("var").alias("b"), "obj")

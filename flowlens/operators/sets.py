@@ -37,3 +37,11 @@ def bit_counts(facts: DataFrame, owner: str, item: str) -> DataFrame:
 def first_failure(outcomes: DataFrame, index: str, failed: str, by: list[str]) -> DataFrame:
     """(by..., first_bad): the smallest index that fails: what bisection looks for."""
     return outcomes.where(F.col(failed)).groupBy(*by).agg(F.min(index).alias("first_bad"))
+
+
+def accessed_fields(accesses: DataFrame) -> DataFrame:
+    """(fn, domain, fields, n_shared): the sorted fields that each function of ``accesses(fn, domain, field)`` reads or writes,
+    and how many of them more than one domain accesses."""
+    shared = accesses.groupBy("field").agg((F.count_distinct("domain") > 1).alias("shared"))
+    each = accesses.select("fn", "domain", "field").distinct().join(shared, "field")
+    return each.groupBy("fn", "domain").agg(F.array_sort(F.collect_list("field")).alias("fields"), F.count_if("shared").alias("n_shared"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions import scalars as fn
 from flowlens.operators import coverage, faults, joins, profiles, sequences, sets
+from flowlens.operators.fixpoint import shared_folder
 from flowlens.plans import views
 from flowlens.plans.registry import Tables, query
 from flowlens.plans.views import with_views
@@ -469,3 +472,83 @@ def policy_text(t: Tables) -> DataFrame:
 def dot_roundtrip(t: Tables) -> DataFrame:
     """Edges written as DOT lines and read again."""
     return readers.read_dot(sinks.dot_lines(views.trade(t)))[1]
+
+
+_MACRO = """CASE event_type WHEN 'signup' THEN '  MacroNameTok: M' || event_id WHEN 'click' THEN '  Range: ["f' || user_id || '.c:' || event_id || ':1", "x"]'
+  WHEN 'view' THEN '  ConditionRange: ["c.c:1:1", "c.c:1:2"]' ELSE '  Range: ["(nonfile)", "(nonfile)"]' END"""
+
+
+@query("""SELECT user_id, event_id, macro, 'f' || user_id || '.c:' || event_id AS location FROM (SELECT *, last_value(CASE WHEN event_type = 'signup' THEN 'M' || event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS macro FROM events)
+  WHERE event_type = 'click' AND macro IS NOT NULL""")
+def macro_ranges(t: Tables) -> DataFrame:
+    """Lines of a macro trace, one for each event."""
+    out = readers.read_macro_ranges(t.events.select("user_id", "ts", "event_id", F.expr(_MACRO).alias("line")), ["user_id"], ["ts", "event_id"])
+    return out.select("user_id", "event_id", "macro", "location")
+
+
+@query("""WITH a AS (SELECT DISTINCT l_suppkey AS fn, CASE WHEN l_returnflag = 'R' THEN 'driver' ELSE 'kernel' END AS domain, CASE WHEN l_returnflag = 'R' THEN l_partkey % 40 ELSE l_partkey % 40 + 20 END AS field FROM lineitem WHERE l_quantity > 48),
+  s AS (SELECT field, count(DISTINCT domain) > 1 AS shared FROM a GROUP BY 1)
+  SELECT fn, domain, array_to_string(list_sort(list(field)), ',') AS fields, count(*) FILTER (WHERE shared)::BIGINT AS n_shared FROM a JOIN s USING (field) GROUP BY 1, 2""")
+def access_sets(t: Tables) -> DataFrame:
+    read = F.col("l_returnflag") == "R"
+    field = F.when(read, F.col("l_partkey") % 40).otherwise(F.col("l_partkey") % 40 + 20)
+    found = sets.accessed_fields(t.lineitem.where("l_quantity > 48").select(F.col("l_suppkey").alias("fn"), F.when(read, "driver").otherwise("kernel").alias("domain"), field.alias("field")))
+    return found.withColumn("fields", F.array_join(F.transform("fields", lambda x: x.cast("string")), ","))
+
+
+@query(with_views("tev", _SPECTRUM + """, ranked AS (SELECT node, rank() OVER (ORDER BY score DESC)::BIGINT AS rank FROM sc), f AS (SELECT DISTINCT length(node)::BIGINT AS version, node FROM tev UNION ALL SELECT 99, 'nowhere')
+  SELECT version, min(rank)::BIGINT AS rank FROM f LEFT JOIN ranked USING (node) GROUP BY 1"""))
+def fault_best_rank(t: Tables) -> DataFrame:
+    """The best rank of each version's faulty nodes; null where no run hit one."""
+    e = views.tev(t)
+    spectrum = faults.spectra(e.where("node <> 'error'"), e.select("run", "failed").distinct())
+    wrong = e.select(F.length("node").cast("bigint").alias("version"), "node").distinct().union(t.spark.sql("SELECT 99L AS version, 'nowhere' AS node"))
+    return faults.fault_rank(faults.rank_nodes(faults.scores(spectrum)), wrong)
+
+
+def _file(t: Tables, name: str) -> str:
+    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(with_views("trade", "SELECT src, dst, (src - dst)::BIGINT AS \"offset\", 'copy' AS edge FROM trade"))
+def points_file(t: Tables) -> DataFrame:
+    """A points-to graph file, written and read again."""
+    path = _file(t, "graph")
+    views.trade(t).select("src", "dst", (F.col("src") - F.col("dst")).alias("offset"), F.lit("copy").alias("edge")).write.csv(path)
+    return readers.read_points_to(t.spark, path)
+
+
+@query("SELECT DISTINCT p_brand AS name FROM part")
+def name_file(t: Tables) -> DataFrame:
+    """A file of names (with blank and repeated lines), written and read again."""
+    path = _file(t, "names")
+    sinks.write_fact_set(t.part.select(F.concat("p_brand", F.lit(" ")).alias("value")).union(t.spark.sql("SELECT '  ' AS value")), path)
+    return readers.read_names(t.spark, path)
+
+
+@query("""WITH r AS (SELECT p_size AS rank, count(*) AS n FROM part GROUP BY 1), m AS (SELECT max(p_size) AS top FROM part)
+  SELECT rank / top::DOUBLE AS x, sum(n) OVER (ORDER BY rank)::DOUBLE / (sum(n) OVER ()) AS y FROM r, m""")
+def points_of_curve(t: Tables) -> DataFrame:
+    """The points of a curve as lines ``x y``, written and read again."""
+    path = _file(t, "curve")
+    sinks.write_points(faults.rank_curve(t.part.select(F.col("p_size").cast("string").alias("rank_raw"), F.col("p_size").alias("total"))), path)
+    return t.spark.read.csv(path, sep=" ", schema="x double, y double")
+
+
+@query("SELECT l_suppkey AS fn, count(*)::BIGINT AS v FROM lineitem GROUP BY 1")
+def profile_file(t: Tables) -> DataFrame:
+    """Counters written as a profile and read again."""
+    path = _file(t, "profile")
+    sinks.write_profile(t.lineitem.groupBy(F.col("l_suppkey").alias("fn")).agg(F.count("*").alias("v")), path)
+    return t.spark.read.parquet(path)
+
+
+@query("""SELECT s_suppkey AS test, (s_suppkey % 9)::VARCHAR AS fails_at, CASE WHEN s_suppkey % 5 = 0 THEN '>' ELSE '' END || s_nationkey AS rank_raw, (s_nationkey + 1)::BIGINT AS total FROM supplier""")
+def results_file(t: Tables) -> DataFrame:
+    """Tab-separated results after two header lines, written as one file for each nation and read again."""
+    path = _file(t, "results")
+    rank = F.concat(F.when(F.col("s_suppkey") % 5 == 0, ">").otherwise(""), F.col("s_nationkey").cast("string"))
+    line = F.concat_ws("\t", "s_suppkey", F.col("s_suppkey") % 9, rank, F.col("s_nationkey") + 1)
+    body = t.supplier.groupBy("s_nationkey").agg(F.array_join(F.collect_list(line), "\n").alias("lines")).select(F.concat(F.lit("head\nhead\n"), "lines").alias("value"), "s_nationkey")
+    body.repartition("s_nationkey").write.option("lineSep", "\n").partitionBy("s_nationkey").text(path)
+    return readers.read_results(t.spark, f"{path}/*").select(F.col("test").cast("bigint").alias("test"), "fails_at", "rank_raw", "total")

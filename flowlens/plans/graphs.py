@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.lineage import shared_folder
 from flowlens.operators import graph, taint
+from flowlens.operators.fixpoint import shared_folder
 from flowlens.plans import views
 from flowlens.plans.registry import Tables, query
 from flowlens.plans.views import with_views
@@ -41,6 +41,13 @@ def reach_back(t: Tables) -> DataFrame:
     return graph.reach(graph.reversed_edges(views.trade(t)), _nation(t, 1)).select("node")
 
 
+@query(with_views("trade", _CLOSURE + """, p AS (SELECT a.n_nationkey::BIGINT AS src, (a.n_nationkey * 7 % 25)::BIGINT AS dst FROM nation a)
+  SELECT src, dst FROM p WHERE src = dst OR EXISTS (SELECT 1 FROM cl WHERE cl.src = p.src AND cl.dst = p.dst)""", True))
+def can_reach(t: Tables) -> DataFrame:
+    """Which of the demanded pairs a path joins."""
+    return graph.can_reach(views.trade(t), _nodes(t).select(F.col("node").alias("src"), (F.col("node") * 7 % 25).alias("dst")))
+
+
 @query(with_views("trade", """, f AS (SELECT 2::BIGINT AS node UNION SELECT e.dst FROM f JOIN trade e ON f.node = e.src),
   b AS (SELECT 5::BIGINT AS node UNION SELECT e.src FROM b JOIN trade e ON b.node = e.dst) SELECT node FROM f INTERSECT SELECT node FROM b""", True))
 def between(t: Tables) -> DataFrame:
@@ -70,6 +77,23 @@ def bottom_up(t: Tables) -> DataFrame:
     return graph.bottom_up(views.trade(t), facts)
 
 
+@query(with_views("trade", """, f AS (SELECT n_nationkey::BIGINT AS node, n_regionkey::BIGINT AS fact FROM nation WHERE n_nationkey % 6 = 0 UNION SELECT e.dst, f.fact FROM f JOIN trade e ON f.node = e.src) SELECT node, fact FROM f""", True))
+def top_down(t: Tables) -> DataFrame:
+    """Facts of callers at all their callees."""
+    facts = t.nation.where("n_nationkey % 6 = 0").select(F.col("n_nationkey").cast("bigint").alias("node"), F.col("n_regionkey").cast("bigint").alias("fact"))
+    return graph.top_down(views.trade(t), facts)
+
+
+@query("""WITH RECURSIVE d AS (SELECT n_nationkey::BIGINT AS anc, n_nationkey::BIGINT AS cls FROM nation UNION SELECT d.anc, n_nationkey::BIGINT FROM d JOIN nation ON n_nationkey // 3 = d.cls AND n_nationkey > 0)
+  SELECT DISTINCT c_custkey AS site, s_suppkey AS fn FROM customer JOIN d ON c_nationkey = d.anc JOIN supplier ON s_nationkey = d.cls AND s_suppkey % 4 = c_custkey % 4 WHERE c_custkey % 50 < 4""")
+def virtual_call(t: Tables) -> DataFrame:
+    """Targets of virtual calls: what the classes below the call's class hold in its slot."""
+    inherits = t.nation.where("n_nationkey > 0").select(F.expr("n_nationkey div 3").cast("bigint").alias("base"), F.col("n_nationkey").cast("bigint").alias("sub"))
+    sites = t.customer.where("c_custkey % 50 < 4").select(F.col("c_custkey").alias("site"), F.col("c_nationkey").cast("bigint").alias("cls"), (F.col("c_custkey") % 4).alias("slot"))
+    tables = t.supplier.select(F.col("s_nationkey").cast("bigint").alias("cls"), (F.col("s_suppkey") % 4).alias("slot"), F.col("s_suppkey").alias("fn"))
+    return graph.virtual_calls(sites, inherits, tables)
+
+
 @query(with_views("trade", ", r AS (SELECT unnest([4, 9])::BIGINT AS node UNION SELECT e.dst FROM r JOIN trade e ON r.node = e.src) SELECT node FROM r", True))
 def wrapper_fix(t: Tables) -> DataFrame:
     return graph.wrappers(views.trade(t), _nation(t, 4, 9)).select("node")
@@ -224,11 +248,22 @@ def postorder(t: Tables) -> DataFrame:
     return graph.dominators(_flow_graph(t), _entry(t)).select("node", "post").distinct()
 
 
-@query()
+@query(with_views("trade", """, r AS (SELECT 1::BIGINT AS n UNION SELECT src FROM r JOIN trade ON n = dst),
+  w AS (SELECT d.n AS d, 1::BIGINT AS n FROM r d WHERE d.n <> 1 UNION SELECT w.d, e.src FROM w JOIN trade e ON w.n = e.dst WHERE e.src <> w.d),
+  p AS (SELECT r.n AS node, d.n AS dom FROM r, r d WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.d = d.n AND w.n = r.n))
+  SELECT DISTINCT e.src AS node, p.dom AS controls FROM trade e JOIN p ON e.dst = p.node WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.node = e.src AND q.dom = p.dom AND q.node <> q.dom)""", True))
 def control_dep(t: Tables) -> DataFrame:
     return graph.control_dependence(_flow_graph(t), _entry(t, 1)).select("node", "controls")
 
 
+@query("""SELECT s_suppkey AS id FROM supplier WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey % 10 = 0 AND c_acctbal - 40 <= s_acctbal AND s_acctbal + 20 <= c_acctbal + 40)""")
+def check_access(t: Tables) -> DataFrame:
+    """Byte ranges that lie in no legal region."""
+    accesses = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("lo"), (F.col("s_acctbal") + 20).alias("hi"))
+    regions = t.customer.where("c_custkey % 10 = 0").select((F.col("c_acctbal") - 40).alias("lo"), (F.col("c_acctbal") + 40).alias("hi"))
+    return taint.check_accesses(accesses, regions).select("id")
+
+
 # --- streaming ------------------------------------------------------------------------------------------------
 
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens.operators.sequences import carry_forward
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, line) with line numbers from 1. A file is read whole, as line numbers need its start."""
@@ -59,6 +61,21 @@ def read_dot(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
+#: What a line of a macro trace must not hold to give a range.
+NO_RANGE = ("ConditionRange", "FilenameRange", "SourceRangeSkipped", "nonfile")
+
+
+def read_macro_ranges(lines: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """(by..., order..., macro, location) of macro-trace blocks: each range line with the macro named last before it, and
+    file and line of where the range begins."""
+    named = carry_forward(lines, F.when(F.col("line").contains("MacroNameTok"), F.split("line", " ")[3]), by, order, "macro")
+    kept = F.col("line").contains("Range")
+    for part in NO_RANGE:
+        kept = kept & ~F.col("line").contains(part)
+    place = F.split(F.regexp_extract("line", r'\["([^"]*)"', 1), ":")
+    return named.where(kept & F.col("macro").isNotNull()).select(*by, *order, "macro", F.concat_ws(":", place[0], place[1]).alias("location"))
+
+
 def read_points_to(spark: SparkSession, path: str) -> DataFrame:
     """(src, dst, offset, edge) of a comma-separated graph file."""
     return spark.read.csv(path, schema="src bigint, dst bigint, offset bigint, edge string")
