@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import language_id, quality
+from flowlens.llm import language_id, oracles, quality
 from flowlens.llm.bpe import decode, encode
 from flowlens.llm.embedding_dedup import near_duplicate_vectors
 from flowlens.llm.html_extract import main_text
@@ -89,4 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": quality.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_dedup": oracles.EMBEDDING_DEDUP,
+    "op4_quality_rules": quality.ORACLE_SQL,
+    "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op8_minhash_dedup": oracles.MINHASH_DEDUP,
+}
