@@ -6,7 +6,8 @@ lower-cased, split by a pattern that drops white space, and the bytes of each pi
 that match in a piece, the longest at each place is tried first, and a token is accepted if the pair with
 its predecessor is compatible, that is, if merging by rank could leave that boundary standing. If none
 fits, the last token is taken back and its next shorter prefix tried; places found to be dead ends are
-never entered again, so each piece takes linear time. Pieces are remembered in a bounded table.
+never entered again, so each piece takes linear time. Pieces are remembered in a bounded table; the short
+ones that are new to it take these steps together (``bpe_batch``), long ones one by one.
 
 Decoding concatenates the vocabulary's strings, a space between tokens (the file names no decoder), by
 one gather over a table of all strings and their offsets.
@@ -31,8 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm import textbytes as tb
+from flowlens.llm.bpe_batch import Batch
 
 REMEMBERED = 400_000
+WORDS = 1 << 18
+SHORT = 64  # characters of a piece that is encoded with others and remembered
+_SIGNS = frozenset(".,;:!?")
 _CONTROLS = regex.compile(r"[\x1c-\x1f]")
 
 
@@ -97,6 +102,7 @@ class WordBPE:
         self.shorter = [-1] * size  # the longest token that is a proper prefix
         for text, i in spelled.items():
             self.shorter[i] = next((spelled[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in spelled), -1)
+        self.batch = Batch(spelled, self.pairs, self.rank, self.left, self.right, self.length, self.shorter)
         self.fits = lru_cache(1 << 18)(self._fits)
         self.packed = [i.to_bytes(4, "little") for i in range(size)]
         self.memory: dict[str, bytes] = {}
@@ -160,29 +166,53 @@ class WordBPE:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        if not any(s in text for s in self.special):
-            return self._encode_plain(text)
-        out, at = [], 0
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; chunks that are not remembered are encoded together, about WORDS words at a time."""
+        out: list[bytes] = []
+        held: list[tuple[list[str], list[bytes | None]]] = []
+        words = 0
+        for text in texts:
+            if text and any(s in text for s in self.special):
+                out += [*self._flush(held), self._encode_special(text)]
+                held, words = [], 0
+                continue
+            chunks = self._chunks(text) if text else []
+            held.append((chunks, list(map(self.memory.get, chunks))))
+            words += len(chunks)
+            if words >= WORDS:
+                out += self._flush(held)
+                held, words = [], 0
+        return out + self._flush(held)
+
+    def _encode_special(self, text: str) -> bytes:
+        spans, at = [], 0
         for m in self.cut.finditer(text):
-            out += [self._encode_plain(text[at : m.start()]), self.special[m.group()].to_bytes(4, "little")]
-            at = m.end()
-        return b"".join([*out, self._encode_plain(text[at:])])
+            spans, at = [*spans, (text[at : m.start()], m.group())], m.end()
+        plain = [(c, list(map(self.memory.get, c))) for c in map(self._chunks, [*(t for t, _ in spans), text[at:]])]
+        ids = self._flush(plain)
+        return b"".join([*(x + self.packed[self.special[s]] for x, (_, s) in zip(ids, spans, strict=False)), ids[-1]])
 
-    def _encode_plain(self, text: str) -> bytes:
+    def _chunks(self, text: str) -> list[str]:
+        """The normalised text cut at white space: no piece crosses it, and most of what stands between is one piece."""
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ")  # lower-casing is by character: no final sigma
         text = text.lower()
-        # no piece crosses white space, and most of what stands between is one piece (str.split also cuts at four
-        # control characters that the pattern keeps)
-        chunks = text.split() if not _CONTROLS.search(text) else self.pattern.findall(text)
-        out = list(map(self.memory.get, chunks))
-        if None in out:
-            for i, ids in enumerate(out):
-                if ids is None:
-                    out[i] = self._remember(chunks[i])
-        return b"".join(out)
+        # str.split also cuts at four control characters that the pattern keeps
+        return text.split() if not _CONTROLS.search(text) else self.pattern.findall(text)
+
+    def _flush(self, held: list[tuple[list[str], list[bytes | None]]]) -> list[bytes]:
+        new: set[str] = set()
+        for chunks, found in held:
+            if None in found:
+                new.update([c for c, ids in zip(chunks, found, strict=True) if ids is None])
+        if not new:
+            return [b"".join(found) for _, found in held]
+        ids_of = self._encode_new(new)
+        return [b"".join([ids_of[c] if ids is None else ids for c, ids in zip(chunks, found, strict=True)]) for chunks, found in held]
 
     @cached_property
     def newer(self) -> frozenset[str]:
@@ -208,26 +238,35 @@ class WordBPE:
         pieces = [text[m.start() : m.end()] for m in self.pattern.finditer(stand)]
         return b"".join([self.packed[i] for p in pieces for i in self.encode_piece(p)])
 
-    def _remember(self, chunk: str) -> bytes:
-        """Ids of what stands between white space: one piece, or several (a word and its comma)."""
-        ids = self.older.get(chunk)
-        if ids is None:
-            if chunk.isalpha():
-                pieces = (chunk,)
+    def _encode_new(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that stand between white space: one piece, or several (a word and its comma)."""
+        done: dict[str, bytes] = {}
+        cuts: dict[str, list[str]] = {}
+        pieces: dict[str, bytes | None] = {}
+        for chunk in new:
+            if (ids := self.older.get(chunk)) is not None:
+                done[chunk] = ids
+            elif chunk.isalpha():
+                pieces[chunk] = None
             elif not chunk.isascii() and (not chunk.isprintable() or len(chunk) > 64) and not self.newer.isdisjoint(chunk):
-                return self._encode_newer(chunk)
+                done[chunk] = self._encode_newer(chunk)
             else:
-                pieces = self.pattern.findall(chunk)
-            if len(pieces) == 1:
-                ids = b"".join([self.packed[i] for i in self.encode_piece(pieces[0])])
-            else:
-                ids = b"".join([self.memory.get(p) or self._remember(p) for p in pieces])
-        if len(chunk) <= 64:
-            if len(self.memory) >= REMEMBERED:  # two generations: what was not met lately is forgotten
-                self.older = self.memory
-                self.memory = {}
-            self.memory[chunk] = ids
-        return ids
+                word, sign = chunk[:-1], chunk[-1]
+                cuts[chunk] = parts = [word, sign] if sign in _SIGNS and word.isalpha() else self.pattern.findall(chunk)
+                for p in parts:
+                    if p not in pieces:
+                        pieces[p] = self.memory.get(p) or self.older.get(p)
+        open_ = [p for p, ids in pieces.items() if ids is None]
+        short = [p for p in open_ if len(p) <= SHORT]
+        pieces.update(zip(short, self.batch.encode(short), strict=True))
+        pieces.update((p, b"".join([self.packed[i] for i in self.encode_piece(p)])) for p in open_ if len(p) > SHORT)
+        for chunk, parts in cuts.items():
+            done[chunk] = b"".join([pieces[p] for p in parts])
+        done = pieces | done
+        if len(self.memory) >= REMEMBERED:  # two generations: what was not met lately is forgotten
+            self.older, self.memory = self.memory, {}
+        self.memory.update((c, ids) for c, ids in done.items() if len(c) <= SHORT)
+        return done
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and offsets of the texts whose ids lie between ``ends``."""
@@ -250,7 +289,7 @@ def _encoder(path: str, column: int):
             texts = batch.column(column)
             for first in range(0, len(texts), 1024):
                 part = texts.slice(first, 1024)
-                ids = pa.array([bpe.encode(t) if t else b"" for t in part.to_pylist()], pa.binary())
+                ids = pa.array(bpe.encode_many(part.to_pylist()), pa.binary())
                 yield pa.RecordBatch.from_arrays([*(c.slice(first, 1024) for c in batch.columns), ids], names=[*batch.schema.names, "ids"])
 
     return run

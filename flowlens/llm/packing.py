@@ -98,8 +98,8 @@ def _pieces(vocabulary: str, size: int, end_id: int):
         for batch in batches:
             for first in range(0, len(batch), 2048):
                 rows = []
-                for i, text in zip(batch.column(0).slice(first, 2048).to_pylist(), batch.column(1).slice(first, 2048).to_pylist(), strict=True):
-                    ids = (tokens.encode(text) if text else b"") + tail
+                for i, ids in zip(batch.column(0).slice(first, 2048).to_pylist(), tokens.encode_many(batch.column(1).slice(first, 2048).to_pylist()), strict=True):
+                    ids += tail
                     n = len(ids) // 4
                     for start in range(0, n, size):
                         piece = ids[4 * start : 4 * (start + size)]
