@@ -241,7 +241,7 @@ class WordBPE:
     def _encode_new(self, new: set[str]) -> dict[str, bytes]:
         """Ids of chunks that stand between white space: one piece, or several (a word and its comma)."""
         done: dict[str, bytes] = {}
-        cuts: dict[str, list[str]] = {}
+        cuts: dict[str, tuple[str, ...] | list[str]] = {}
         pieces: dict[str, bytes | None] = {}
         for chunk in new:
             if (ids := self.older.get(chunk)) is not None:
@@ -252,7 +252,7 @@ class WordBPE:
                 done[chunk] = self._encode_newer(chunk)
             else:
                 word, sign = chunk[:-1], chunk[-1]
-                cuts[chunk] = parts = [word, sign] if sign in _SIGNS and word.isalpha() else self.pattern.findall(chunk)
+                cuts[chunk] = parts = (word, sign) if sign in _SIGNS and word.isalpha() else self.pattern.findall(chunk)
                 for p in parts:
                     if p not in pieces:
                         pieces[p] = self.memory.get(p) or self.older.get(p)

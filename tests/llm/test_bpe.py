@@ -50,3 +50,24 @@ def test_characters_newer_than_the_tables(theirs):
         text = " ".join(f"a{c}B 1{c}2 ~{c}" for c in newer[first : first + 400])
         got = np.frombuffer(mine.encode(text), "<u4").tolist()
         assert got == theirs.encode(text, add_special_tokens=False).ids, first
+
+
+def test_many_texts_together_equal_each_alone(theirs, monkeypatch):
+    """Small batches and a small memory: words are forgotten, met again, and shared by texts of one batch."""
+    monkeypatch.setattr(bpe, "WORDS", 50)
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    mine = bpe.WordBPE(bpe.default_vocabulary())
+    texts = [*samples(), None, "<|endoftext|>", "", "a, b. <|endoftext|>c! " * 3, "é" * 70 + ". " + "q" * 65, *samples()]
+    got = [np.frombuffer(x, "<u4").tolist() for x in mine.encode_many(texts)]
+    assert got == [theirs.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_pairs_fit_alike_one_by_one_and_together():
+    mine = bpe.load(bpe.default_vocabulary())
+    rng = np.random.default_rng(3)
+    used = np.array([i for i, n in enumerate(mine.length) if n])
+    a, b = rng.choice(used, 20_000).astype(np.int32), rng.choice(used, 20_000).astype(np.int32)
+    want = [mine._fits(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    assert mine.batch.fits(a, b).tolist() == want
+    assert mine.batch.fits(a, b).tolist() == want  # from the table
+    assert 0 < sum(want) < len(want)
