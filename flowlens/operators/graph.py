@@ -66,25 +66,58 @@ def simple_paths(edges: DataFrame, start: DataFrame, end: DataFrame, max_length:
     return done
 
 
-def components_by_reach(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges whose ends both have a predecessor and a successor: what no cycle can hold is taken off, round by round."""
+    edges, left = cut(edges), edges.count()
+    while left:
+        kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        kept = cut(kept.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        before, left, edges = left, kept.count(), kept
+        if left == before:
+            break
+    return edges
+
+
+def _least_ancestor(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """(node, colour): the smallest node with a path to each node, itself included. Only nodes whose colour fell pass it on."""
+    labels = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("colour", F.col("node")))
+    fresh = labels
+    for _ in range(max_rounds):
+        told = fresh.join(edges, fresh.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("told"))
+        fresh = cut(told.join(labels, "node").where("told < colour").select("node", F.col("told").alias("colour")))
+        if fresh.isEmpty():
+            return labels
+        labels = cut(labels.join(fresh.withColumnRenamed("colour", "lower"), "node", "left").select("node", F.coalesce("lower", "colour").alias("colour")))
+    raise RoundLimitError(f"colours did not settle in max_rounds={max_rounds} rounds")
+
+
+def strong_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, scc): strongly connected components, named by their smallest node.
 
-    Nodes without a predecessor or successor are single and are trimmed first; the rest are in one
-    component where each reaches the other.
+    Nodes on no cycle are trimmed. Of the rest each takes as colour the smallest node that reaches it; the
+    nodes that reach their colour's node within the colour are its component. What is left goes round again,
+    without the edges between colours, as no component has two. No table holds more rows than there are edges or nodes.
     """
     edges = cut(clean(edges))
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    core = edges
-    while True:
-        kept = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        kept = cut(kept.select("src", "dst"))
-        if kept.count() == core.count():
+    found, core = None, _trimmed(edges)
+    for _ in range(max_rounds):
+        if core.isEmpty():
             break
-        core = kept
-    pairs = cut(closure(core, max_rounds=max_rounds))
-    mutual = pairs.join(reversed_edges(pairs), ["src", "dst"], "left_semi")
-    named = mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low"))
-    return nodes.join(named, "node", "left").select("node", F.least("node", F.coalesce("low", "node")).alias("scc"))
+        colours = _least_ancestor(core, max_rounds)
+        of_src = colours.select(F.col("node").alias("src"), F.col("colour").alias("scc"))
+        of_dst = colours.select(F.col("node").alias("dst"), F.col("colour").alias("other"))
+        inside = cut(core.join(of_src, "src").join(of_dst, "dst").where("scc = other").select("src", "dst", "scc"))
+        back = reach(reversed_edges(inside), colours.where("node = colour").select("node"), max_rounds)
+        new = cut(colours.join(back, "node", "left_semi").select("node", F.col("colour").alias("scc")))
+        found = new if found is None else cut(found.union(new))
+        rest = inside.join(new.select(F.col("node").alias("src")), "src", "left_anti").join(new.select(F.col("node").alias("dst")), "dst", "left_anti")
+        core = _trimmed(rest.select("src", "dst"))
+    else:
+        raise RoundLimitError(f"components did not settle in max_rounds={max_rounds} rounds")
+    if found is None:
+        return nodes.select("node", F.col("node").alias("scc"))
+    return nodes.join(found, "node", "left").select("node", F.coalesce("scc", "node").alias("scc"))
 
 
 def contract(edges: DataFrame, scc: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.operators.fixpoint import cut
+
 
 def union_all_distinct(*tables: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, tables).distinct()
@@ -21,10 +23,15 @@ def merge_first(*maps: DataFrame) -> DataFrame:
 def intern(members: DataFrame, owner: str, item: str) -> DataFrame:
     """(owner, members, set_id): equal sets share one canonical sorted array and id; ids follow the arrays' order.
 
-    The number of different sets is what the window numbers, not the owners.
+    Different sets are sorted by ranges and numbered inside each; only the ranges' sizes are summed in one task.
     """
     sets = members.where(F.col(item).isNotNull()).groupBy(owner).agg(F.array_sort(F.collect_set(item)).alias("members"))
-    ids = sets.select("members").distinct().withColumn("set_id", F.row_number().over(Window.orderBy("members")).cast("bigint"))
+    place = F.monotonically_increasing_id()  # the range in the upper bits, the place in it in the lower 33
+    ranged = cut(sets.select("members").distinct().repartitionByRange("members").sortWithinPartitions("members").withColumn("_place", place))
+    ranged = ranged.select("members", F.shiftright("_place", 33).alias("_range"), F.col("_place").bitwiseAND((1 << 33) - 1).alias("_at"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ids = ranged.join(sizes, "_range").select("members", (F.col("_before") + F.col("_at") + 1).alias("set_id"))
     return sets.join(ids, "members").select(owner, "members", "set_id")
 
 

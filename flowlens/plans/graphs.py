@@ -63,7 +63,7 @@ def simple_paths(t: Tables) -> DataFrame:
 @query(with_views("trade", _CLOSURE + """, n AS (SELECT src AS node FROM trade UNION SELECT dst FROM trade)
   SELECT node, least(node, coalesce((SELECT min(a.dst) FROM cl a JOIN cl b ON a.src = b.dst AND a.dst = b.src WHERE a.src = node), node))::BIGINT AS scc FROM n""", True))
 def scc(t: Tables) -> DataFrame:
-    return graph.components_by_reach(views.trade(t))
+    return graph.strong_components(views.trade(t))
 
 
 @query(with_views("trade", "SELECT n_nationkey::BIGINT AS node FROM nation WHERE n_nationkey NOT IN (SELECT dst FROM trade)"))

@@ -1,10 +1,12 @@
 """Results that must not pass through one row, one group or the driver."""
 
+import random
 from types import SimpleNamespace
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from flowlens.operators import graph, sets
 from flowlens.plans import catalog, graphs, registry  # noqa: F401
 from flowlens.sources import readers
 from flowlens.streaming import traces
@@ -30,3 +32,42 @@ def test_fault_map_lines_are_bounded(spark, monkeypatch):
     rows = catalog.explode_list(SimpleNamespace(part=part)).collect()
     assert sorted((r.version, r.line_no) for r in rows) == [(7, i) for i in range(-1, 20000)]
     assert max(len(r.line) for r in seen[0].collect()) < 4096 * 6 + 20
+
+
+def _components(edges):
+    """A plain search from every node."""
+    after, nodes = {}, {x for e in edges for x in e}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+
+    def reached(start):
+        seen, todo = {start}, [start]
+        while todo:
+            for nxt in after.get(todo.pop(), ()):
+                if nxt not in seen:
+                    seen.add(nxt)
+                    todo.append(nxt)
+        return seen
+
+    reach = {n: reached(n) for n in nodes}
+    return {n: min(m for m in reach[n] if n in reach[m]) for n in nodes}
+
+
+def test_strong_components_against_a_plain_search(spark):
+    rng = random.Random(5)
+    rings = [(3, 1), (1, 2), (2, 3), (1, 11), (11, 10), (10, 12), (12, 11), (12, 20), (20, 20), (20, 30), (31, 30), (0, 3)]
+    for edges in (rings, [(rng.randrange(16), rng.randrange(16)) for _ in range(24)]):
+        df = spark.createDataFrame([*edges, (None, 5), edges[0]], "src bigint, dst bigint")
+        assert dict(graph.strong_components(df).collect()) == _components(edges)
+    assert graph.strong_components(spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
+
+
+def test_interned_sets_are_numbered_in_order(spark):
+    rows = [(i, j) for i in range(60) for j in range(7) if (i % 13 + 1) >> j & 1] + [(99, None)]
+    out = sets.intern(spark.createDataFrame(rows, "o bigint, item int"), "o", "item").collect()
+    want = {}
+    for o, j in rows:
+        if j is not None:
+            want.setdefault(o, set()).add(j)
+    number = {s: i + 1 for i, s in enumerate(sorted({tuple(sorted(s)) for s in want.values()}))}
+    assert {r.o: r.set_id for r in out} == {o: number[tuple(sorted(s))] for o, s in want.items()}

@@ -73,9 +73,9 @@ def test_reachability_on_hard_graphs(spark):
     assert graph.reach(cycle, nodes(spark, [])).count() == 0
     with pytest.raises(RoundLimitError):
         graph.reach(chain, nodes(spark, [0]), max_rounds=5)
-    assert values(graph.components_by_reach(cycle)) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)]
+    assert values(graph.strong_components(cycle)) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)]
     assert values(graph.can_reach(cycle, edges(spark, [(5, 3), (3, 5), (9, 9)]))) == [(5, 3), (9, 9)]
-    assert values(graph.contract(cycle, graph.components_by_reach(cycle))) == [(5, 1)]
+    assert values(graph.contract(cycle, graph.strong_components(cycle))) == [(5, 1)]
 
 
 def test_ladder_paths(spark):
