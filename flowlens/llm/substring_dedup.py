@@ -41,8 +41,8 @@ class FMIndex:
             width, most = width * 2, len(distinct)
             if most == n:
                 break
-        self.order = np.argsort(rank, kind="stable")
-        last = symbols[self.order - 1]  # of the suffix at 0 the text's last symbol, which is a separator
+        order = np.argsort(rank, kind="stable")
+        last = symbols[order - 1]  # of the suffix at 0 the text's last symbol, which is a separator
         self.below = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=kinds))])
         self.bits = max(1, int(kinds - 1).bit_length())
         self.words, self.ones, self.zeros = [], [], []
