@@ -1,4 +1,4 @@
-"""The contracts of three operators in DuckDB, by brute force: every pair, every window."""
+"""The contracts of some operators in DuckDB, by brute force: every pair, every window."""
 
 from __future__ import annotations
 
@@ -35,3 +35,26 @@ WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w
   kept AS (SELECT word.doc_id, string_agg(word, ' ' ORDER BY word.i) FILTER (WHERE gone.i IS NULL) AS kept, count(gone.i)::BIGINT AS n_removed FROM word LEFT JOIN gone USING (doc_id, i) GROUP BY 1)
 SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id"""
+
+
+def _round(n: int) -> str:
+    """Round n of the codebooks: the entries of n - 1, and the means of the parts that each is nearest to."""
+    return f"""a{n} AS ({_nearest(n - 1)}),
+  s{n} AS (SELECT p, e, d, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT p, e, generate_subscripts(v, 1) AS d, unnest(v) AS x FROM a{n}) GROUP BY 1, 2, 3),
+  m{n} AS (SELECT p, e, list((s - (((s % n) + n) % n)) // n ORDER BY d) AS c FROM s{n} GROUP BY 1, 2),
+  b{n} AS (SELECT b.p, b.e, coalesce(m{n}.c, b.c) AS c FROM b{n - 1} b LEFT JOIN m{n} ON m{n}.p = b.p AND m{n}.e = b.e)"""
+
+
+def _nearest(n: int) -> str:
+    away = "list_sum([(x.v[i] - b.c[i]) * (x.v[i] - b.c[i]) FOR i IN range(1, len(x.v) + 1)])::BIGINT"
+    return f"SELECT vec_id, label, p, v, e.e, e.away FROM (SELECT x.vec_id, x.label, x.p, x.v, min({{'away': {away}, 'e': b.e}}) AS e FROM x JOIN b{n} b ON b.p = x.p GROUP BY ALL)"
+
+
+VECTOR_CODES = f"""
+WITH k AS (SELECT vec_id, label, [floor(256 * y::DOUBLE)::BIGINT FOR y IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL AND len([y FOR y IN embedding IF y IS NULL OR NOT isfinite(y)]) = 0),
+  x AS (SELECT vec_id, label, p, v[p * len(v) // 16 + 1:(p + 1) * len(v) // 16] AS v FROM (SELECT *, unnest(range(16)) AS p FROM k)),
+  b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v AS c FROM x QUALIFY e < 64),
+  {_round(1)}, {_round(2)}, f AS ({_nearest(2)}),
+  h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2),
+  r AS (SELECT vec_id, label, lower(string_agg(printf('%02x', e), '' ORDER BY p)) AS code, sum(away)::BIGINT AS error FROM f GROUP BY 1, 2)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM r, h"""

@@ -16,6 +16,7 @@ from flowlens.llm.packing import pack
 from flowlens.llm.substring_dedup import remove_repeated_words
 from flowlens.llm.suffix_dedup import remove_repeated_bytes
 from flowlens.llm.token_counts import token_counts
+from flowlens.llm.vector_codes import codebook_digest, compress, with_label_error
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +77,13 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = compress(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    digests = [x for size, book in books.items() for x in (F.lit(size), F.lit(codebook_digest(book, size)))]
+    digest = F.element_at(F.create_map(*digests), F.col("size")) if digests else F.lit(None).cast("string")
+    return with_label_error(coded).select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_token_counts": op2_token_counts,
@@ -87,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -94,4 +103,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": quality.ORACLE_SQL,
     "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op8_minhash_dedup": oracles.MINHASH_DEDUP,
+    "op12_vector_codes": oracles.VECTOR_CODES,
 }
