@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowlens.llm import language_id, oracles, quality
 from flowlens.llm.bpe import decode, encode
 from flowlens.llm.embedding_dedup import near_duplicate_vectors
+from flowlens.llm.hard_negatives import mine
 from flowlens.llm.html_extract import main_text
 from flowlens.llm.minhash_dedup import near_duplicates
 from flowlens.llm.packing import pack
@@ -84,6 +85,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_label_error(coded).select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label")), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_token_counts": op2_token_counts,
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
     "op12_vector_codes": op12_vector_codes,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -104,4 +111,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op8_minhash_dedup": oracles.MINHASH_DEDUP,
     "op12_vector_codes": oracles.VECTOR_CODES,
+    "op13_hard_negatives": oracles.HARD_NEGATIVES,
 }
