@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlens.llm import language_id, oracles, quality
 from flowlens.llm.bpe import decode, encode
+from flowlens.llm.decontamination import find_passages
 from flowlens.llm.embedding_dedup import near_duplicate_vectors
 from flowlens.llm.hard_negatives import mine
 from flowlens.llm.html_extract import main_text
@@ -78,6 +79,15 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text"), keep=["doc_id"])
+    n_hit = F.aggregate("leak_spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", F.col("leak_n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("leak_items").cast("bigint").alias("n_items"), F.sha2(F.array_join("leak_items", ","), 256).alias("items_sha256"),
+        (F.size("leak_spans") > 0).alias("contaminated"),
+    )
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = compress(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
     digests = [x for size, book in books.items() for x in (F.lit(size), F.lit(codebook_digest(book, size)))]
@@ -101,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
+    "op11_decontamination": op11_decontamination,
     "op12_vector_codes": op12_vector_codes,
     "op13_hard_negatives": op13_hard_negatives,
 }
@@ -110,6 +121,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": quality.ORACLE_SQL,
     "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op8_minhash_dedup": oracles.MINHASH_DEDUP,
+    "op11_decontamination": oracles.DECONTAMINATION,
     "op12_vector_codes": oracles.VECTOR_CODES,
     "op13_hard_negatives": oracles.HARD_NEGATIVES,
 }

@@ -130,13 +130,13 @@ class Words:
     offsets: np.ndarray
 
 
-def words(part: Slice) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+``; none crosses a text."""
+def words(part: Slice, between: np.ndarray = _SPACE) -> Words:
+    """Words, runs of bytes that are not ``between`` (given for all 256), here ``[^\\x20\\x09-\\x0D]+``; none crosses a text."""
     n = len(part.data)
     if not n:
         none = np.zeros(0, dtype=np.int64)
         return Words(none, none, np.zeros(len(part.offsets), dtype=np.int64))
-    inside = ~_SPACE[part.data]
+    inside = ~between[part.data]
     cut = np.zeros(n + 1, dtype=bool)
     cut[part.offsets] = True
     begin = inside.copy()
