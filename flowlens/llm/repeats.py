@@ -5,7 +5,7 @@ same minimum n-gram hash at the same offset. Consecutive windows that share that
 segment (at most ``window`` windows long). The steps, all Spark shuffles of packed rows:
 
 1. ``_segments``: each task cuts its documents into segments, aggregates its own equal segments, and
-   sends (anchor, content hash, place) to a bucket of the anchor.
+   sends (anchor, content digest, place) to a bucket of the anchor.
 2. ``_copies``: a bucket drops anchors that occur once in the corpus (their windows cannot repeat),
    and aggregates equal segments: the earliest is kept for the index, all windows of the others repeat.
 3. ``_contents``: the kept segments meet their documents again, by blocks of ids, and send their text
@@ -17,6 +17,10 @@ A *hot* anchor (one that holds more distinct segments than several buckets' shar
 by content instead: its entries go to salted buckets, its windows one by one to shards by their own
 hash. One task never has to hold a whole hot group, and nothing is dropped.
 
+No text decides what equals what by a hash that its writer could know: segments are compared by a 128-bit BLAKE2b
+digest under a key drawn for each run, windows of hot anchors and everything in a shard unit by unit. The plain 64-bit
+hashes only route.
+
 Rows with one id and one text are one document, whose result each of them gets; rows with one id and
 different texts are ordered by a hash of the text. A null id is ordered
 after all ids. Ids are integers. Null texts are empty texts.
@@ -24,8 +28,9 @@ after all ids. Ids are integers. Null texts are empty texts.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +56,7 @@ class Spec:
     gram: int
     parts: int  # buckets and blocks
     hot: int = 256  # least number of distinct segments in one task that makes an anchor hot
+    key: bytes = field(default_factory=lambda: os.urandom(16), repr=False)  # of the digests of one run
 
     @property
     def shards(self) -> int:
@@ -71,6 +77,17 @@ def units(part: tb.Slice, unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return tb.word_hashes(part, found), found.offsets, tags, found
 
 
+def spelled(part: tb.Slice, found: tb.Words | None) -> tuple[np.ndarray, np.ndarray]:
+    """The units of a slice one after the other, words with one space after each: bytes, and where each unit begins."""
+    if found is None:
+        return part.data, np.arange(len(part.data) + 1)
+    size = found.ends - found.starts
+    at = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(at[-1], 0x20, dtype=np.uint8)
+    out[tb.ranges(at[:-1], size)] = part.data[tb.ranges(found.starts, size)]
+    return out, at
+
+
 def layout(part: tb.Slice, unit: str) -> tuple[np.ndarray, tb.Words | None]:
     """Unit offsets of the texts of a slice, and its words."""
     if unit == "byte":
@@ -113,21 +130,21 @@ def once(order: np.ndarray, *columns: np.ndarray) -> np.ndarray:
 def _segments(spec: Spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def flush(held: list[tuple], docs: list[tuple]) -> Iterator[pa.RecordBatch]:
         ids, tags = (np.concatenate(x) for x in zip(*docs, strict=True))
-        key, content, doc, start, count = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, content, more, doc, start, count = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.argsort(key)
         twin = np.diff(key[order]) == 0  # only entries whose key is not alone need the full order
         at = np.flatnonzero(np.concatenate([twin, [False]]) | np.concatenate([[False], twin]))
         some = order[at]
-        order[at] = some[np.lexsort((start[some], tags[doc[some]], ids[doc[some]], content[some], key[some]))]
+        order[at] = some[np.lexsort((start[some], tags[doc[some]], ids[doc[some]], more[some], content[some], key[some]))]
         order = once(order, start, tags[doc], ids[doc], key)
-        same = (np.diff(key[order]) == 0) & (np.diff(content[order]) == 0)
+        same = (np.diff(key[order]) == 0) & (np.diff(content[order]) == 0) & (np.diff(more[order]) == 0)
         copy = order[1:][same]
         rows = []
         for block, at in blobs.by_target(block_of(ids[doc[copy]], spec.parts)):
             i = copy[at]
             rows.append((-1 - block, blobs.pack(ids[doc[i]], tags[doc[i]], start[i], count[i])))
         keep = order[np.concatenate([[True], ~same])]
-        key, content, doc, start, count = (x[keep] for x in (key, content, doc, start, count))
+        key, content, more, doc, start, count = (x[keep] for x in (key, content, more, doc, start, count))
         least = max(spec.hot, len(key) // spec.parts)
         edges = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0, [True]]))
         sizes = np.diff(edges)
@@ -135,7 +152,7 @@ def _segments(spec: Spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         target = (np.where(hot, content, key) % np.uint64(spec.parts)).astype(np.int64)
         for bucket, i in blobs.by_target(target):
             u, inv = np.unique(doc[i], return_inverse=True)
-            rows.append((bucket, blobs.pack(ids[u], tags[u], inv.astype(np.uint32), key[i], content[i], start[i], count[i], hot[i])))
+            rows.append((bucket, blobs.pack(ids[u], tags[u], inv.astype(np.uint32), key[i], content[i], more[i], start[i], count[i], hot[i])))
         marks = key[edges[:-1][sizes >= least]]
         for bucket, i in blobs.by_target((marks % np.uint64(spec.parts)).astype(np.int64)):
             none = np.zeros(0, dtype=np.uint64)
@@ -148,7 +165,7 @@ def _segments(spec: Spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         for batch in batches:
             ids = ids_of(batch.column(0))
             for part in tb.text_slices(batch.column(1)):
-                values, offsets, tags, _ = units(part, spec.unit)
+                values, offsets, tags, found = units(part, spec.unit)
                 docs.append((ids[part.first : part.first + len(part)], tags))
                 counts = tb.last_whole_window(offsets, spec.window)
                 if counts.any():
@@ -161,9 +178,10 @@ def _segments(spec: Spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                     new = np.flatnonzero(np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(doc) != 0)]))
                     count = np.diff(np.append(new, len(at)))
                     at, doc = at[new], doc[new]
-                    content = tb.span_hash(prefix, at, at + count + spec.window - 1)
+                    text, begin = spelled(part, found)
+                    content = tb.digests(text, begin[at], begin[at + count + spec.window - 1], spec.key)
                     start = at - offsets[doc]
-                    held.append((gram[anchor[new]], content, doc + first, start.astype(np.uint32 if start.max(initial=0) < 1 << 32 else np.int64), count.astype(np.uint16)))
+                    held.append((gram[anchor[new]], *content, doc + first, start.astype(np.uint32 if start.max(initial=0) < 1 << 32 else np.int64), count.astype(np.uint16)))
                     size += len(new)
                 first += len(part)
                 if size >= FLUSH:
@@ -186,13 +204,13 @@ def _copies(spec: Spec) -> Callable[[pa.Table], pa.Table]:
         if not parts:
             return blobs.table(_BATCH, _TYPES, [])
         ids, tags = (np.concatenate([p[i][p[2]] for p in parts]) for i in (0, 1))
-        key, content, start, count, hot = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5, 6, 7))
+        key, content, more, start, count, hot = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5, 6, 7, 8))
         hot = hot | np.isin(key, marks)
         _, inverse, often = np.unique(key, return_inverse=True, return_counts=True)
         keep = np.flatnonzero((often[inverse] >= 2) | hot)
-        ids, tags, key, content, start, count, hot = (x[keep] for x in (ids, tags, key, content, start, count, hot))
-        order = once(np.lexsort((start, tags, ids, content, key)), start, tags, ids, key)
-        same = np.concatenate([[False], (np.diff(key[order]) == 0) & (np.diff(content[order]) == 0)]) if len(order) else np.zeros(0, bool)
+        ids, tags, key, content, more, start, count, hot = (x[keep] for x in (ids, tags, key, content, more, start, count, hot))
+        order = once(np.lexsort((start, tags, ids, more, content, key)), start, tags, ids, key)
+        same = np.concatenate([[False], (np.diff(key[order]) == 0) & (np.diff(content[order]) == 0) & (np.diff(more[order]) == 0)]) if len(order) else np.zeros(0, bool)
         rows = []
         copy, first = order[same], order[~same]
         for block, at in blobs.by_target(block_of(ids[copy], spec.parts)):
@@ -248,6 +266,8 @@ def _contents(spec: Spec) -> Callable[[pa.Table, pa.Table], pa.Table]:
                     route = tb.span_hash(tb.prefix_hash(units(part, spec.unit)[0]), begin, begin + spec.window)
                     order = once(np.lexsort((place, tags[i], ids[i], route)), place, tags[i], ids[i])
                     again = np.concatenate([[False], np.diff(route[order]) == 0]) if len(order) else np.zeros(0, bool)
+                    of = order[again], order[np.flatnonzero(again) - 1]
+                    again[again] = tb.equal_spans(*spelled(part, found_words), *(x for o in of for x in (begin[o], begin[o] + spec.window)))
                     for block, j in blobs.by_target(block_of(ids[i[order[again]]], spec.parts)):
                         k = order[again][j]
                         rows.append((-1 - block, blobs.pack(np.array([0]), ids[i[k]], tags[i[k]], place[k], windows[k].astype(np.uint16))))

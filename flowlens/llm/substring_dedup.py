@@ -102,11 +102,28 @@ def matching_statistics(index: FMIndex, symbols: np.ndarray, ends: np.ndarray, t
     return length, interval
 
 
+def word_names(part: tb.Slice, found: tb.Words) -> np.ndarray:
+    """A number for each word, equal for equal words only: words of one hash are compared with the first of them,
+    and where they differ those with that hash are named by their text."""
+    hashes = tb.word_hashes(part, found)
+    _, first, names = np.unique(hashes, return_index=True, return_inverse=True)
+    at = first[names]
+    other = np.flatnonzero(at != np.arange(len(at)))
+    edges = np.empty(2 * len(at), dtype=np.int64)
+    edges[::2], edges[1::2] = found.starts, found.ends
+    wrong = other[~tb.equal_spans(part.data, edges, 2 * other, 2 * other + 1, 2 * at[other], 2 * at[other] + 1)]
+    if len(wrong):
+        extra: dict[bytes, int] = {}
+        for i in np.flatnonzero(np.isin(names, names[wrong])).tolist():
+            names[i] = extra.setdefault(part.data[found.starts[i] : found.ends[i]].tobytes(), len(first) + len(extra))
+    return names
+
+
 def shard_repeats(text: np.ndarray, offsets: np.ndarray, spec: repeats.Spec) -> tuple[np.ndarray, np.ndarray]:
     """(segment, offset) of each window that equals an earlier one of the shard."""
     part = tb.Slice(0, text, offsets)
     found = tb.words(part)
-    _, names = np.unique(tb.word_hashes(part, found), return_inverse=True)
+    names = word_names(part, found)
     sizes = np.diff(found.offsets)
     begin = found.offsets[:-1] + np.arange(len(sizes))
     symbols = np.zeros(len(names) + len(sizes), dtype=np.int64)  # a 0 closes each segment

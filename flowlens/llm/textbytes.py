@@ -8,6 +8,7 @@ Null texts read as empty texts.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -181,6 +182,31 @@ def text_hashes(part: Slice) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(data[b:e].data) for b, e in zip(ends, ends[1:])], dtype=np.uint64)
 
 
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of a keyed 128-bit BLAKE2b digest of each span."""
+    empty, view = hashlib.blake2b(digest_size=16, key=key), memoryview(np.ascontiguousarray(data))
+
+    def one(begin: int, end: int) -> bytes:
+        h = empty.copy()
+        h.update(view[begin:end])
+        return h.digest()
+
+    out = np.frombuffer(b"".join(map(one, starts.tolist(), ends.tolist())), dtype=np.uint64).reshape(-1, 2)
+    return out[:, 0], out[:, 1]
+
+
+def equal_spans(data: np.ndarray, begin: np.ndarray, first: np.ndarray, end: np.ndarray, other: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+    """Whether the units first .. end - 1 are those of other .. other_end - 1, for each pair; unit i begins at ``begin[i]``."""
+    a, b = begin[first], begin[other]
+    size = begin[end] - a
+    same = size == begin[other_end] - b
+    for some in np.array_split(np.flatnonzero(same), max(1, int(size[same].sum()) >> 22)):
+        if len(some):
+            differ = data[ranges(a[some], size[some])] != data[ranges(b[some], size[some])]
+            same[some] = np.add.reduceat(differ, np.cumsum(size[some]) - size[some]) == 0
+    return same
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     """A-Z to a-z, byte-wise."""
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)

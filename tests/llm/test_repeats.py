@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from tests_llm_brute import kept, repeats as plain
 
-from flowlens.llm import substring_dedup, suffix_dedup
+from flowlens.llm import blobs, repeats, substring_dedup, suffix_dedup, textbytes as tb
 from flowlens.llm.repeats import Spec
 
 
@@ -86,3 +88,55 @@ def test_fm_index_counts():
 
 def test_spec_reach():
     assert Spec("byte", 100, 32, 5).reach == 69
+
+
+def run_here(docs, spec, index, render):
+    """The steps of remove_repeats in this process, as Spark deals them: [(id, gone)]."""
+
+    def grouped(batches):
+        table = pa.concat_tables([b if isinstance(b, pa.Table) else pa.Table.from_batches([b]) for b in batches])
+        return {t: table.filter(pa.compute.equal(table["target"], t)) for t in set(table["target"].to_pylist())}
+
+    ids = pa.array([i for i, _ in docs], pa.int64())
+    texts = pa.array([t for _, t in docs], pa.string())
+    cut = [b for i in range(0, len(docs), 7) for b in repeats._segments(spec)(iter([pa.RecordBatch.from_arrays([ids[i : i + 7], texts[i : i + 7]], names=["id", "text"])]))]
+    found = [repeats._copies(spec)(g) for g in grouped(cut).values()]
+    blocks = repeats.block_of(np.asarray(ids), spec.parts)
+    none = blobs.table(["target", "blob"], [pa.int32(), pa.binary()], [])
+    by_block = {b: pa.table({"id": ids.filter(pa.array(blocks == b)), "text": texts.filter(pa.array(blocks == b))}) for b in range(spec.parts)}
+    of = grouped(found)
+    contents = [repeats._contents(spec)(by_block[b], of.get(b, none)) for b in range(spec.parts)]
+    again = [repeats._shard(spec, index)(g) for g in grouped(contents).values()]
+    of = grouped(found + again)
+    out = {}
+    for b in range(spec.parts):
+        rows = repeats._finish(spec, ["id"], render)(by_block[b], of.get(b, none)).to_pylist()
+        out |= {r["id"]: (r["n_units"], [i for s in r["removed"] for i in range(s["start"], s["end"])]) for r in rows}
+    return out
+
+
+@pytest.mark.parametrize("hot", [256, 1])
+@pytest.mark.parametrize("forged", ["none", "spans", "units"])
+@pytest.mark.parametrize("words", [True, False])
+def test_hashes_that_collide_remove_nothing(monkeypatch, words, hot, forged):
+    """Equal hashes of different spans, or of different words, are what a forger can make: results stay those of the texts."""
+    docs = [d for d in make_docs(5, 25) if d[0] is not None]
+    if forged == "spans":
+        monkeypatch.setattr(tb, "span_hash", lambda prefix, starts, ends: np.zeros(len(starts), dtype=np.uint64))
+    if forged == "units":
+        true = tb.word_hashes
+        monkeypatch.setattr(tb, "word_hashes", lambda *a: true(*a) % np.uint64(3))
+    spec = Spec("word" if words else "byte", 20 if words else 100, 6 if words else 32, 3, hot)
+    module = substring_dedup if words else suffix_dedup
+    got = run_here(docs, spec, module.shard_repeats, module._render)
+    want = plain(docs, spec.window, words)
+    assert got == {i: (len(units), [k for k, g in enumerate(gone) if g]) for i, (units, gone) in want.items()}
+
+
+def test_equal_hashes_in_one_block_of_two_texts():
+    """Two texts that share a gram but no window, as segments of one anchor."""
+    rng = np.random.default_rng(2)
+    gram = rng.integers(97, 123, 32, dtype=np.uint8).tobytes()
+    docs = [(i, (rng.integers(97, 123, 60, dtype=np.uint8).tobytes() + gram + rng.integers(97, 123, 60, dtype=np.uint8).tobytes()).decode()) for i in (1, 2)]
+    got = run_here(docs, Spec("byte", 100, 32, 1), suffix_dedup.shard_repeats, suffix_dedup._render)
+    assert got == {1: (152, []), 2: (152, [])}
