@@ -79,3 +79,14 @@ WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP
   m AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM h) GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+SUFFIX_DEDUP = """
+WITH n AS (SELECT doc_id, h, len(h) // 2 AS n FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents)),
+  g AS (SELECT doc_id, i, substr(h, 2 * i - 1, 200) AS g FROM (SELECT doc_id, h, unnest(range(1, n - 98)) AS i FROM n WHERE n >= 100)),
+  again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM g) WHERE k > 1),
+  r AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM again),
+  s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS e FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM r) GROUP BY doc_id, k),
+  p AS (SELECT doc_id, a, e, lag(e, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM s),
+  k AS (SELECT doc_id, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans, max(e) AS e, string_agg(substr(h, 2 * b - 1, 2 * (a - b)), '' ORDER BY a) AS kept FROM p JOIN n USING (doc_id) GROUP BY doc_id)
+SELECT n.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(e, 1) - 1))) AS kept_sha256
+FROM n LEFT JOIN k USING (doc_id)"""

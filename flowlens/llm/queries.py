@@ -121,6 +121,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": quality.ORACLE_SQL,
     "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op8_minhash_dedup": oracles.MINHASH_DEDUP,
+    "op9_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op11_decontamination": oracles.DECONTAMINATION,
     "op12_vector_codes": oracles.VECTOR_CODES,
     "op13_hard_negatives": oracles.HARD_NEGATIVES,
