@@ -99,6 +99,7 @@ class WordBPE:
             self.length[i] = len(text)
             self.automaton.add_word(text, i)
         self.automaton.make_automaton()
+        self.longest = max(self.length)  # symbols; a search looks no farther
         self.shorter = [-1] * size  # the longest token that is a proper prefix
         for text, i in spelled.items():
             self.shorter[i] = next((spelled[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in spelled), -1)
@@ -156,7 +157,7 @@ class WordBPE:
             if token >= 0:
                 out.append(token)
                 at += length[token]
-                token = next(longest(spelled, at))[1] if at < n else -1
+                token = next(longest(spelled[at : at + self.longest]))[1] if at < n else -1
             else:
                 dead.add(at)
                 token = out.pop()

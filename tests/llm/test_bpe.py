@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -71,3 +72,13 @@ def test_pairs_fit_alike_one_by_one_and_together():
     assert mine.batch.fits(a, b).tolist() == want
     assert mine.batch.fits(a, b).tolist() == want  # from the table
     assert 0 < sum(want) < len(want)
+
+
+@pytest.mark.parametrize("piece", ["ab", "acgt", "z", "thin"])
+def test_one_long_piece_takes_linear_time(theirs, piece):
+    mine = bpe.load(bpe.default_vocabulary())
+    text = piece * (100_000 // len(piece))
+    assert np.frombuffer(mine.encode(text), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
+    began = time.process_time()
+    assert mine.encode(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 15
