@@ -10,10 +10,12 @@ precision, each pair in the first filter that both share, and links are counted
 Equal vectors of one label are one class first. Classes meet per (label, filter); a crowded filter is cut
 into chunks, and every pair of chunks is a task of its own, so no task holds a whole hot filter.
 
-The directions' number follows the table's size (a count), so filters keep their mean size; the threshold
-gives each vector ``per_vector`` filters on average, and a vector that exceeds fewer than half as many
-takes its best ones instead, so none is left without partners. Recall is measured against brute force in
-the tests.
+The directions' number follows the table's size (a count), so filters keep their mean size (up to 2^31 of them; vectors
+of fewer than 24 components have at most 4,096, as their links are dense). The threshold is the height of the
+cap that gives each vector so many filters on average, and a vector that exceeds fewer than half as many
+takes its best ones instead. How many they are is found by trial: from ``per_vector`` on, until pairs just at the
+cosine that links miss each other with a probability of at most ``MISS``, whatever the number of components. Recall is
+measured against brute force in the tests.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and vectors with a
 null label, link with nothing; rows with the same id, or without one, are vectors of their own, each with its own
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,64 +38,102 @@ from flowlens.llm.lineage import written
 from flowlens.llm.repeats import NO_ID
 
 THRESHOLD = 0.93
-PER_VECTOR = 24
+PER_VECTOR = 24  # at least
+MISS, PROBES = 0.004, 2000
 CROWD = 1024
 
 
 class ProductCode:
-    """Directions made of one code word for each of two blocks, and the list decoder."""
+    """Directions made of one code word for each block of coordinates, and the list decoder.
 
-    def __init__(self, size: int, words: int, per_vector: int, seed: int = 11):
+    Vectors of few coordinates have one block (a block of one or two coordinates has hardly any directions),
+    others two, and three where two of 4,096 words are fewer than ``directions``.
+    """
+
+    def __init__(self, size: int, directions: int, per_vector: int, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.rotation = np.linalg.qr(rng.standard_normal((size, size)))[0]
-        self.half, self.words, self.per_vector = (size + 1) // 2, words, per_vector
+        blocks = 1 if size < 24 else 2 if directions <= 4096**2 else 3
+        self.words = int(max(16, min((4096, 4096, 1290)[blocks - 1], math.ceil(round(directions ** (1 / blocks), 6)))))
+        self.total, self.per_vector = self.words**blocks, min(per_vector, self.words**blocks)
+        self.edges = [size * b // blocks for b in range(blocks + 1)]
         self.codes = []
-        for width in (self.half, size - self.half):
-            code = rng.standard_normal((words, max(width, 1)))
-            self.codes.append(code / np.linalg.norm(code, axis=1, keepdims=True) / math.sqrt(2))
-        # of a unit vector's product with a random direction; the share of directions above it is per_vector of all
-        self.threshold = NormalDist().inv_cdf(1 - min(0.5, per_vector / words**2)) / math.sqrt(size)
+        for width in np.diff(self.edges).tolist():
+            code = rng.standard_normal((self.words, width))
+            self.codes.append(code / np.linalg.norm(code, axis=1, keepdims=True) / math.sqrt(blocks))
+        self.threshold = cap_height(size, self.per_vector / self.total)
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
         """For each unit vector the sorted numbers of its filters."""
         turned = unit @ self.rotation
-        parts = [turned[:, : self.half], turned[:, self.half :]]
-        scores = [p @ c[:, : p.shape[1]].T if p.shape[1] else np.zeros((len(unit), self.words)) for p, c in zip(parts, self.codes, strict=True)]
+        scores = [turned[:, a:b] @ c.T for a, b, c in zip(self.edges[:-1], self.edges[1:], self.codes, strict=True)]
         order = [np.argsort(-s, axis=1) for s in scores]
+        scores = [np.take_along_axis(s, o, axis=1) for s, o in zip(scores, order, strict=True)]
+        best = np.stack([s[:, 0] for s in scores], axis=1)
+        after = best[:, ::-1].cumsum(axis=1)[:, ::-1] - best  # what the blocks after each can add at most
         out = []
         for i in range(len(unit)):
-            first, second = scores[0][i][order[0][i]], scores[1][i][order[1][i]]
-            reach = np.searchsorted(-second, first - self.threshold, "right")  # how many second words reach the threshold
-            live = int(np.count_nonzero(reach))
-            if int(reach[:live].sum()) * 2 < self.per_vector:  # too few exceed it: the best ones of the best words
-                top = min(self.words, self.per_vector)
-                both = (first[:top, None] + second[None, :top]).ravel()
-                best = np.argpartition(-both, min(self.per_vector, len(both)) - 1)[: self.per_vector]
-                a, b = best // top, best % top
-            else:
-                a = np.repeat(np.arange(live), reach[:live])
-                b = np.arange(len(a)) - np.repeat(np.cumsum(reach[:live]) - reach[:live], reach[:live])
-            out.append(np.sort(order[0][i][a] * self.words + order[1][i][b]))
+            sums, names = np.zeros(1), np.zeros(1, dtype=np.int64)
+            for s, o, more in zip(scores, order, after[i], strict=True):  # only what can still reach the threshold goes on
+                many = np.searchsorted(-s[i], sums + more - self.threshold, "right")
+                a = np.repeat(np.arange(len(sums)), many)
+                b = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)
+                sums, names = sums[a] + s[i][b], names[a] * self.words + o[i][b]
+            if len(names) * 2 < self.per_vector:  # too few exceed it: the best ones
+                sums, names = np.zeros(1), np.zeros(1, dtype=np.int64)
+                for s, o in zip(scores, order, strict=True):
+                    top = min(self.words, self.per_vector)
+                    both, numbers = (sums[:, None] + s[i][None, :top]).ravel(), (names[:, None] * self.words + o[i][None, :top]).ravel()
+                    first = np.argpartition(-both, min(self.per_vector, len(both)) - 1)[: self.per_vector]
+                    sums, names = both[first], numbers[first]
+            out.append(np.sort(names))
         return out
 
 
+def cap_height(size: int, share: float) -> float:
+    """The inner product with a fixed direction that ``share`` of all unit vectors exceed: by bisection over
+    the cap's area, an integral of (1 - t^2)^((size - 3) / 2)."""
+    if size == 1:
+        return 0.0
+    angle = np.linspace(0, math.pi, 200_001)
+    area = np.concatenate([[0.0], np.cumsum(np.sin((angle[1:] + angle[:-1]) / 2) ** (size - 2))])
+    return float(np.cos(np.interp(min(0.5, share) * area[-1], area, angle)))
+
+
+@lru_cache(16)
+def product_code(size: int, directions: int, threshold: float, per_vector: int, miss: float = MISS) -> ProductCode:
+    """The code for vectors of ``size`` components: filters for each vector are doubled from ``per_vector`` until, of random
+    pairs whose cosine is the threshold, a share of at most ``miss`` has no filter in common. The same in every task."""
+    rng = np.random.default_rng(7)
+    a, side = rng.standard_normal((2, PROBES, size))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    length = np.linalg.norm(side, axis=1, keepdims=True)
+    b = threshold * a + math.sqrt(1 - threshold**2) * side / np.where(length > 1e-9, length, 1)
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    while True:
+        code = ProductCode(size, directions, per_vector)
+        missed = sum(not np.isin(x, y, assume_unique=True).any() for x, y in zip(code.decode(a), code.decode(b), strict=True))
+        if missed <= miss * PROBES or per_vector * 2 > code.total:
+            return code
+        per_vector = per_vector * 3 // 2
+
+
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return np.asarray(column.flatten()).reshape(len(column), -1)
 
 
-def _filters(words: int, per_vector: int):
+def _filters(directions: int, per_vector: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[int, ProductCode] = {}
         for batch in batches:
             sizes = np.asarray(batch.column(2))
             for size in np.unique(sizes).tolist():
                 part = batch.take(pa.array(np.flatnonzero(sizes == size)))
                 vectors = _matrix(part.column(3)).astype(np.float64)
                 vectors /= np.abs(vectors).max(axis=1, keepdims=True)
-                code = codes.setdefault(size, ProductCode(size, words, per_vector))
-                found = code.decode(vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
+                found = product_code(size, directions, threshold, per_vector).decode(vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
                 ends = np.cumsum([0, *map(len, found)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*batch.schema.names, "filters"])
@@ -188,10 +228,9 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
         rows = written(source.withColumn("row", F.col("id")))
     classes = rows.where("fit").groupBy("label", "vector").agg(F.min("row").alias("rep"), F.count("*").alias("copies"))
     total = rows.count()
-    words = max(16, min(4096, math.isqrt(max(total - 1, 0)) + 1))
     shaped = classes.select("rep", "copies", F.size("vector").alias("size"), "vector", F.xxhash64("label", F.size("vector")).alias("group"), "label")
     ddl = f"rep bigint, copies bigint, size int, vector {kind}, `group` bigint, label string, filters array<int>"
-    placed = written(shaped.mapInArrow(_filters(words, per_vector), ddl))
+    placed = written(shaped.mapInArrow(_filters(max(256, total), per_vector, threshold), ddl))
     spread = placed.select("rep", "group", F.explode("filters").alias("filter"))
     counts = spread.groupBy("group", "filter").agg(F.count("*").alias("members")).where("members > 1")
     met = spread.join(counts, ["group", "filter"])

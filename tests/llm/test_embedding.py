@@ -51,32 +51,54 @@ def test_against_plain(spark, crowd):
     assert e.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("words", [32, 101, 227])
-def test_recall_at_the_threshold(words):
-    rng = np.random.default_rng(5)
-    a = rng.standard_normal((1500, 64))
+def pairs_at(size, cosine, n=1500, seed=5):
+    rng = np.random.default_rng(seed)
+    a, side = rng.standard_normal((2, n, size))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
-    side = rng.standard_normal(a.shape)
     side -= (side * a).sum(axis=1, keepdims=True) * a
     side /= np.linalg.norm(side, axis=1, keepdims=True)
-    b = 0.93 * a + math.sqrt(1 - 0.93**2) * side
-    code = e.ProductCode(64, words, e.PER_VECTOR)
+    return a, cosine * a + math.sqrt(1 - cosine**2) * side
+
+
+@pytest.mark.parametrize(("size", "directions"), [(2, 1000), (3, 1000), (4, 4000), (8, 10**6), (16, 10**6), (16, 4096**2), (32, 4096**2), (64, 1000), (64, 51_000), (128, 4096**2), (64, 10**8), (768, 10**6)])
+def test_recall_at_the_threshold(size, directions):
+    a, b = pairs_at(size, 0.93, 600 if directions > 10**6 else 1500)
+    code = e.product_code(size, directions, e.THRESHOLD, e.PER_VECTOR)
     met = [len(np.intersect1d(x, y)) > 0 for x, y in zip(code.decode(a), code.decode(b), strict=True)]
-    assert np.mean(met) > 0.99
+    assert np.mean(met) > 0.985
+    assert len(code.codes) == (1 if size < 24 else 2 if directions <= 4096**2 else 3)
 
 
-def test_list_decoding_finds_all_filters():
+@pytest.mark.parametrize(("size", "directions", "blocks"), [(10, 40, 1), (24, 1600, 2), (30, 4096**2 + 1, 3)])
+def test_list_decoding_finds_all_filters(size, directions, blocks):
     rng = np.random.default_rng(6)
-    code = e.ProductCode(10, 40, 30)
-    unit = rng.standard_normal((50, 10))
+    code = e.ProductCode(size, directions, 30)
+    if blocks == 3:
+        code.words, code.codes = 12, [c[:12] for c in code.codes]
+        code.threshold = e.cap_height(size, 30 / 12**3)
+    unit = rng.standard_normal((50, size))
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     turned = unit @ code.rotation
+    assert len(code.codes) == blocks
     for i, found in enumerate(code.decode(unit)):
-        scores = (turned[i, :5] @ code.codes[0].T)[:, None] + (turned[i, 5:] @ code.codes[1].T)[None, :]
-        every = np.flatnonzero(scores.ravel() >= code.threshold)
+        scores = np.zeros(1)
+        for first, last, words in zip(code.edges[:-1], code.edges[1:], code.codes, strict=True):
+            scores = (scores[:, None] + (turned[i, first:last] @ words.T)[None, :]).ravel()
+        every = np.flatnonzero(scores >= code.threshold)
         assert np.array_equal(found, every) if len(every) * 2 >= 30 else len(found) == 30
 
 
+@pytest.mark.parametrize(("size", "n"), [(2, 400), (4, 3000), (8, 4000)])
+def test_dense_links_of_few_components(spark, size, n):
+    vectors = np.random.default_rng(size).standard_normal((n, size)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in e.near_duplicate_vectors(df).collect()}
+    wide = vectors.astype(float)
+    close = wide @ wide.T / np.outer(np.linalg.norm(wide, axis=1), np.linalg.norm(wide, axis=1)) >= e.THRESHOLD
+    want = close.sum(axis=1) - 1
+    assert sum(got.values()) >= 0.995 * want.sum() and all(got[i] <= w for i, w in enumerate(want.tolist()))
+
+
 def test_repeated_and_null_ids_are_vectors_of_their_own(spark):
     rows = [(None, [1.0, 0.0, 0.0], 1), (None, [1.0, 0.1, 0.0], 1), (None, [0.0, 0.0, 1.0], 1), (9, [1.0, 0.05, 0.0], 1), (5, [0.0, 1.0, 0.0], 2), (5, [0.0, 1.0, 0.1], 2), (5, [1.0, 0.0, 0.0], 2), (6, [0.0, 1.0, 0.05], 2)]
     got = e.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"))
