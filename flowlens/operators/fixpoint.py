@@ -1,17 +1,18 @@
-"""Least fixpoints: the semi-naive loop that graph and taint operators share."""
+"""Least fixpoints: the semi-naive loop that graph and taint operators share, and the tables of its rounds."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
 class RoundLimitError(RuntimeError):
-    """A fixpoint did not settle within its round limit."""
+    """A fixpoint did not settle within the round limit that the caller gave."""
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,6 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="flowlens-"))
     return jsc.getCheckpointDir().get().rstrip("/")
 
@@ -32,21 +35,69 @@ def cut(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns]).checkpoint()
 
 
-def semi_naive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], max_rounds: int = 200) -> DataFrame:
+class Rounds:
+    """Tables of a loop in the shared folder. ``write`` gives a table read again and its number of rows, found in
+    the same job; ``drop`` deletes tables that no later round reads. What a result still reads stays."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame) -> tuple[DataFrame, int]:
+        path, seen = f"{shared_folder(self.spark)}/round-{uuid.uuid4().hex}", Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out, seen.get["n"]
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for table in tables:
+            if table is not None and id(table) in self.paths:
+                where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table))[1])
+                where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Known:
+    """What a loop has found: tables of doubling size, so that each row is written again at most once for each
+    doubling of the number of rounds and a round reads few of them."""
+
+    def __init__(self, rounds: Rounds):
+        self.rounds, self.parts = rounds, []
+
+    def add(self, table: DataFrame) -> None:
+        self.parts.append((0, table))
+        while len(self.parts) > 1 and self.parts[-1][0] == self.parts[-2][0]:
+            (level, a), (_, b) = self.parts[-2:]
+            self.parts[-2:] = [(level + 1, self.rounds.write(a.unionByName(b))[0])]
+            self.rounds.drop(a, b)
+
+    def with_(self, *more: DataFrame) -> DataFrame:
+        return reduce(DataFrame.unionByName, [*(t for _, t in self.parts), *more])
+
+    def drop(self) -> None:
+        self.rounds.drop(*(t for _, t in self.parts))
+        self.parts = []
+
+
+def semi_naive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], max_rounds: int | None = None, partial: bool = False) -> DataFrame:
     """All facts that ``step`` derives from ``seed``, with the round in which each first appeared (``round``).
 
     ``step`` maps the facts that are new in a round to the facts they imply (columns ``keys``); it must be
-    monotone. Only new facts are joined in a round. Rounds are kept as they are and read together, and
-    every eighth round joins them into one table.
+    monotone. Only new facts are joined in a round. The loop ends when a round gives nothing new; a caller that gives ``max_rounds``
+    gets RoundLimitError beyond it or, if ``partial``, what has been found so far.
     """
-    rounds = [cut(seed.select(keys).distinct().withColumn("round", F.lit(0)))]
-    for n in range(1, max_rounds + 1):
-        known = reduce(DataFrame.unionByName, rounds)
-        new = step(rounds[-1].select(keys)).select(keys).distinct().join(known.select(keys), keys, "left_anti")
-        new = cut(new.withColumn("round", F.lit(n)))
-        if new.isEmpty():
-            return known
-        rounds.append(new)
-        if n % 8 == 0:
-            rounds = [cut(reduce(DataFrame.unionByName, rounds[:-1])), new]
-    raise RoundLimitError(f"the fixpoint did not settle in max_rounds={max_rounds} rounds")
+    rounds = Rounds(seed.sparkSession)
+    known = Known(rounds)
+    new, n = rounds.write(seed.select(keys).distinct().withColumn("round", F.lit(0)))
+    number = 0
+    while n:
+        if max_rounds is not None and number == max_rounds:
+            if partial:
+                break
+            raise RoundLimitError(f"the fixpoint did not settle in max_rounds={max_rounds} rounds")
+        number += 1
+        every = known.with_(new)
+        derived = step(new.select(keys)).select(keys).distinct().join(every.select(keys), keys, "left_anti")
+        fresh, n = rounds.write(derived.withColumn("round", F.lit(number)))
+        known.add(new)
+        new = fresh
+    return known.with_(new)

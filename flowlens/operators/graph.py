@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.operators.fixpoint import RoundLimitError, cut, semi_naive
+from flowlens.operators.fixpoint import RoundLimitError, Rounds, cut, semi_naive
 
 
 def clean(edges: DataFrame) -> DataFrame:
@@ -20,20 +20,123 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(node, depth): every node on a path from ``seeds(node)``, the seeds included at depth 0."""
+#: Rounds that a search takes before it looks for chains to contract.
+PATIENCE = 16
+
+
+def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(node, depth): every node on a path from ``seeds(node)``, the seeds included at depth 0.
+
+    Where the search has not ended after PATIENCE rounds, chains among the nodes not yet reached are contracted
+    by pointer jumping and the search goes on over what branches, so a chain takes the logarithm of its length.
+    There is no limit of depth but one that the caller gives (``max_rounds``; deeper graphs raise RoundLimitError).
+    """
     edges = cut(clean(edges))
-    found = semi_naive(seeds.select("node"), lambda new: new.join(edges, new.node == edges.src).select(F.col("dst").alias("node")), ["node"], max_rounds)
-    return found.select("node", F.col("round").cast("bigint").alias("depth"))
+    step = lambda new: new.join(edges, new.node == edges.src).select(F.col("dst").alias("node"))
+    limit = PATIENCE if max_rounds is None else max_rounds
+    found = semi_naive(seeds.select("node").where("node IS NOT NULL"), step, ["node"], limit, partial=max_rounds is None)
+    found = found.select("node", F.col("round").cast("bigint").alias("depth"))
+    frontier = found.where(F.col("depth") == PATIENCE)
+    if max_rounds is not None or frontier.isEmpty():
+        return found
+    left = edges.join(found.select(F.col("node").alias("dst")), "dst", "left_anti")
+    left = cut(left.join(found.where(F.col("depth") < PATIENCE).select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst"))
+    return found.unionByName(_far(left, frontier))
+
+
+def _far(edges: DataFrame, frontier: DataFrame) -> DataFrame:
+    """(node, depth) of the nodes beyond ``frontier(node, depth)``, over edges that enter none of it."""
+    # ends from which nothing goes on take no part in the search
+    inner = cut(edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+    links = chains(inner, frontier.select("node"))
+    heads = links.select(F.col("node").alias("src"), "head", "steps")
+    hops = inner.join(links.select(F.col("node").alias("dst")), "dst", "left_anti").join(heads, "src", "left")
+    hops = cut(hops.groupBy(F.coalesce("head", "src").alias("src"), "dst").agg(F.min(F.coalesce("steps", F.lit(0)) + 1).alias("length")))
+    rounds = Rounds(edges.sparkSession)
+    known, n = rounds.write(frontier)
+    new = known
+    while n:
+        told = new.join(hops, new.node == hops.src).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("depth") + F.col("length")).alias("depth"))
+        fresh, n = rounds.write(told.join(known.withColumnRenamed("depth", "had"), "node", "left").where("had IS NULL OR depth < had").select("node", "depth"))
+        both, _ = rounds.write(known.unionByName(fresh).groupBy("node").agg(F.min("depth").alias("depth")))
+        rounds.drop(new, known)
+        new, known = fresh, both
+    on_chains = links.join(known.withColumnRenamed("node", "head"), "head").select("node", (F.col("depth") + F.col("steps")).alias("depth"))
+    reached = cut(known.unionByName(on_chains))
+    rounds.drop(new, known)
+    ends = edges.join(reached.withColumnRenamed("node", "src"), "src").join(reached.select(F.col("node").alias("dst")), "dst", "left_anti")
+    ends = ends.groupBy(F.col("dst").alias("node")).agg((F.min("depth") + 1).alias("depth"))
+    return reached.join(frontier.select("node"), "node", "left_anti").unionByName(ends)
+
+
+def chains(edges: DataFrame, but: DataFrame | None = None) -> DataFrame:
+    """(node, head, steps, tail, low): nodes with one edge in and one edge out (except ``but``); the nearest
+    nodes before and after that have not, and how far ``head`` is. In a ring without such a node head and tail are null and ``low`` is
+    its smallest node. By pointer jumping: as many rounds as the logarithm of the longest chain."""
+    ends = edges.where("src <> dst").select(F.col("src").alias("node"), F.col("dst").alias("after"), F.lit(None).cast(edges.schema["src"].dataType).alias("before"))
+    ends = ends.unionByName(edges.where("src <> dst").select(F.col("dst").alias("node"), F.lit(None).cast(edges.schema["src"].dataType).alias("after"), F.col("src").alias("before")))
+    degrees = ends.groupBy("node").agg(F.count("before").alias("n_in"), F.count("after").alias("n_out"), F.min("before").alias("head"), F.min("after").alias("tail"))
+    links = degrees.where("n_in = 1 AND n_out = 1").join(edges.where("src = dst").select(F.col("src").alias("node")), "node", "left_anti")
+    if but is not None:
+        links = links.join(but, "node", "left_anti")
+    rounds = Rounds(edges.sparkSession)
+    one = F.lit(1).cast("bigint")
+    jump, total = rounds.write(links.select("node", "head", one.alias("steps"), "tail", F.col("node").alias("low")))
+    for _ in range(max(0, total).bit_length()):
+        up = jump.select(F.col("node").alias("head"), F.col("head").alias("head2"), F.col("steps").alias("steps2"), F.col("low").alias("low2"))
+        down = jump.select(F.col("node").alias("tail"), F.col("tail").alias("tail2"))
+        both = jump.join(up, "head", "left").join(down, "tail", "left")
+        moved = F.col("head2").isNotNull() | F.col("tail2").isNotNull()
+        both = both.select(
+            "node", F.coalesce("head2", "head").alias("head"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), F.coalesce("tail2", "tail").alias("tail"),
+            F.least("low", F.coalesce("low2", "low")).alias("low"), moved.alias("moved"),
+        )
+        fresh, _ = rounds.write(both)
+        rounds.drop(jump)
+        jump = fresh
+        if jump.where("moved").isEmpty():
+            break
+    inside = jump.select(F.col("node").alias("head"), F.lit(True).alias("ring"))
+    out = jump.join(inside, "head", "left")
+    real = F.col("ring").isNull()
+    return cut(out.select("node", F.when(real, F.col("head")).alias("head"), "steps", F.when(real, F.col("tail")).alias("tail"), "low"))
+
 
+def closure(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(src, dst) for all pairs joined by a path of at least one edge, from all nodes or from ``sources(node)``.
 
-def closure(edges: DataFrame, sources: DataFrame | None = None, max_rounds: int = 200) -> DataFrame:
-    """(src, dst) for all pairs joined by a path of at least one edge, from all nodes or from ``sources(node)``."""
+    Strong components are one node each until the end. The pairs of all nodes come by doubling (paths of up to
+    2^k edges, then all that a path of exactly 2^k more reaches), those of some sources edge by edge.
+    """
     edges = cut(clean(edges))
-    hop = edges.select(F.col("src").alias("mid"), F.col("dst").alias("to"))
-    seed = edges if sources is None else edges.join(sources.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
-    step = lambda new: new.join(hop, new.dst == hop.mid).select("src", F.col("to").alias("dst"))
-    return semi_naive(seed, step, ["src", "dst"], max_rounds).select("src", "dst")
+    scc = cut(strong_components(edges))
+    dag = cut(contract(edges, scc))
+    if sources is None:
+        pairs = _doubled(dag)
+    else:
+        hop = dag.select(F.col("src").alias("mid"), F.col("dst").alias("to"))
+        seed = dag.join(scc.join(sources.select("node").distinct(), "node").select(F.col("scc").alias("src")).distinct(), "src", "left_semi")
+        pairs = semi_naive(seed, lambda new: new.join(hop, new.dst == hop.mid).select("src", F.col("to").alias("dst")), ["src", "dst"]).select("src", "dst")
+    loops = scc.groupBy("scc").agg(F.count("*").alias("n")).where("n > 1").select("scc").unionByName(edges.where("src = dst").join(scc.withColumnRenamed("node", "src"), "src").select("scc")).distinct()
+    pairs = pairs.unionByName(loops.select(F.col("scc").alias("src"), F.col("scc").alias("dst")))
+    begin = scc if sources is None else scc.join(sources.select("node").distinct(), "node", "left_semi")
+    begin, end = begin.select(F.col("node").alias("a"), F.col("scc").alias("src")), scc.select(F.col("node").alias("b"), F.col("scc").alias("dst"))
+    return pairs.join(begin, "src").join(end, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def _doubled(dag: DataFrame) -> DataFrame:
+    """All pairs that a path of an acyclic graph joins."""
+    rounds = Rounds(dag.sparkSession)
+    pairs, n = rounds.write(dag)
+    leap = dag
+    while n:
+        ahead = leap.select(F.col("src").alias("mid"), F.col("dst").alias("to"))
+        over = lambda first, ahead=ahead: first.join(ahead, first.dst == ahead.mid).select("src", F.col("to").alias("dst"))
+        more, _ = rounds.write(pairs.unionByName(over(pairs)).distinct())
+        farther, n = rounds.write(over(leap).distinct())
+        rounds.drop(pairs, leap)
+        pairs, leap = more, farther
+    return pairs
 
 
 def can_reach(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -68,56 +171,84 @@ def simple_paths(edges: DataFrame, start: DataFrame, end: DataFrame, max_length:
 
 def _trimmed(edges: DataFrame) -> DataFrame:
     """Edges whose ends both have a predecessor and a successor: what no cycle can hold is taken off, round by round."""
-    edges, left = cut(edges), edges.count()
-    while left:
+    rounds = Rounds(edges.sparkSession)
+    (edges, left), before = rounds.write(edges), None
+    while left and left != before:
         kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        kept = cut(kept.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        before, left, edges = left, kept.count(), kept
-        if left == before:
-            break
+        (kept, n) = rounds.write(kept.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        rounds.drop(edges)
+        edges, before, left = kept, left, n
     return edges
 
 
-def _least_ancestor(edges: DataFrame, max_rounds: int) -> DataFrame:
+def _least_ancestor(edges: DataFrame) -> DataFrame:
     """(node, colour): the smallest node with a path to each node, itself included. Only nodes whose colour fell pass it on."""
-    labels = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("colour", F.col("node")))
+    rounds = Rounds(edges.sparkSession)
+    labels, n = rounds.write(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("colour", F.col("node")))
     fresh = labels
-    for _ in range(max_rounds):
+    while n:
         told = fresh.join(edges, fresh.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("told"))
-        fresh = cut(told.join(labels, "node").where("told < colour").select("node", F.col("told").alias("colour")))
-        if fresh.isEmpty():
-            return labels
-        labels = cut(labels.join(fresh.withColumnRenamed("colour", "lower"), "node", "left").select("node", F.coalesce("lower", "colour").alias("colour")))
-    raise RoundLimitError(f"colours did not settle in max_rounds={max_rounds} rounds")
+        lower, n = rounds.write(told.join(labels, "node").where("told < colour").select("node", F.col("told").alias("colour")))
+        if n:
+            merged, _ = rounds.write(labels.join(lower.withColumnRenamed("colour", "lower"), "node", "left").select("node", F.coalesce("lower", "colour").alias("colour")))
+            rounds.drop(labels, fresh)
+            labels, fresh = merged, lower
+    return labels
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """(node, scc): strongly connected components, named by their smallest node.
 
-    Nodes on no cycle are trimmed. Of the rest each takes as colour the smallest node that reaches it; the
-    nodes that reach their colour's node within the colour are its component. What is left goes round again,
-    without the edges between colours, as no component has two. No table holds more rows than there are edges or nodes.
+    Chains become one edge each and rings are found by pointer jumping. Then nodes on no cycle are trimmed, and the
+    component of the node with most ways through it is what it reaches and is reached by. Of the rest each node
+    takes as colour the smallest node that reaches it; the nodes that reach their colour's node within the colour are its
+    component. What is left goes round again, without the edges between colours, as no component has two. No table
+    holds more rows than there are edges or nodes.
     """
     edges = cut(clean(edges))
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    found, core = None, _trimmed(edges)
-    for _ in range(max_rounds):
-        if core.isEmpty():
-            break
-        colours = _least_ancestor(core, max_rounds)
+    links = chains(edges)
+    rings = links.where("head IS NULL").select("node", F.col("low").alias("name"))
+    open_ = links.where("head IS NOT NULL")
+    hops = edges.where("src <> dst").join(links.select(F.col("node").alias("dst")), "dst", "left_anti").join(open_.select(F.col("node").alias("src"), "head"), "src", "left")
+    hops = hops.select(F.coalesce("head", "src").alias("src"), "dst").where("src <> dst").distinct()
+    found = cut(_components(_trimmed(hops)))
+    # a chain lies on a cycle if its ends are one node, or of one component
+    ends = [found.select(F.col("node").alias(end), F.col("name").alias(f"{end}_name")) for end in ("head", "tail")]
+    named = open_.join(ends[0], "head", "left").join(ends[1], "tail", "left").withColumn("a", F.coalesce("head_name", "head")).where(F.col("a") == F.coalesce("tail_name", "tail"))
+    whole = found.unionByName(rings).unionByName(named.select("node", F.col("a").alias("name")))
+    whole = whole.unionByName(named.where("head = tail AND head_name IS NULL").select(F.col("head").alias("node"), F.col("head").alias("name"))).distinct()
+    least = whole.groupBy("name").agg(F.min("node").alias("scc"))
+    known = whole.join(least, "name").select("node", "scc")
+    return nodes.join(known, "node", "left").select("node", F.coalesce("scc", "node").alias("scc"))
+
+
+def _components(core: DataFrame) -> DataFrame:
+    """(node, name): components of more than one node."""
+    degrees = core.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(core.select("dst", F.lit(0), F.lit(1))).groupBy("node").agg((F.sum("o") * F.sum("i")).alias("ways"))
+    pivot = degrees.orderBy(F.desc("ways"), "node").limit(1).select("node")
+    pivot = cut(pivot)
+    found = core.select(F.col("src").alias("node"), F.col("src").alias("name")).where("false")
+    if pivot.isEmpty():
+        return found
+    ahead, back = reach(core, pivot).select("node"), reach(reversed_edges(core), pivot).select("node")
+    giant = cut(ahead.join(back, "node", "left_semi").crossJoin(F.broadcast(pivot.withColumnRenamed("node", "name"))))
+    found = found.unionByName(giant)
+    side = cut(ahead.withColumn("f", F.lit(1)).join(back.withColumn("b", F.lit(1)), "node", "full").select("node", (F.coalesce("f", F.lit(0)) * 2 + F.coalesce("b", F.lit(0))).alias("side")))
+    of = lambda end: side.select(F.col("node").alias(end), F.col("side").alias(f"{end}_side"))
+    rest = core.join(of("src"), "src", "left").join(of("dst"), "dst", "left").fillna(0, ["src_side", "dst_side"]).where("src_side = dst_side AND src_side < 3")
+    core = _trimmed(rest.select("src", "dst"))
+    while not core.isEmpty():
+        colours = _least_ancestor(core)
         of_src = colours.select(F.col("node").alias("src"), F.col("colour").alias("scc"))
         of_dst = colours.select(F.col("node").alias("dst"), F.col("colour").alias("other"))
         inside = cut(core.join(of_src, "src").join(of_dst, "dst").where("scc = other").select("src", "dst", "scc"))
-        back = reach(reversed_edges(inside), colours.where("node = colour").select("node"), max_rounds)
-        new = cut(colours.join(back, "node", "left_semi").select("node", F.col("colour").alias("scc")))
-        found = new if found is None else cut(found.union(new))
+        back = reach(reversed_edges(inside), colours.where("node = colour").select("node"))
+        new = cut(colours.join(back, "node", "left_semi").select("node", F.col("colour").alias("name")))
+        found = cut(found.unionByName(new))
         rest = inside.join(new.select(F.col("node").alias("src")), "src", "left_anti").join(new.select(F.col("node").alias("dst")), "dst", "left_anti")
         core = _trimmed(rest.select("src", "dst"))
-    else:
-        raise RoundLimitError(f"components did not settle in max_rounds={max_rounds} rounds")
-    if found is None:
-        return nodes.select("node", F.col("node").alias("scc"))
-    return nodes.join(found, "node", "left").select("node", F.coalesce("scc", "node").alias("scc"))
+    return found
 
 
 def contract(edges: DataFrame, scc: DataFrame) -> DataFrame:
@@ -127,10 +258,15 @@ def contract(edges: DataFrame, scc: DataFrame) -> DataFrame:
 
 
 def bottom_up(edges: DataFrame, facts: DataFrame) -> DataFrame:
-    """(node, fact): facts of callees flow to all callers (summaries of strongly connected functions merge)."""
-    callers = reversed_edges(cut(clean(edges)))
-    step = lambda new: new.join(callers, new.node == callers.src).select(F.col("dst").alias("node"), "fact")
-    return semi_naive(facts, step, ["node", "fact"]).select("node", "fact")
+    """(node, fact): facts of callees flow to all callers. Strongly connected functions share one summary until the end."""
+    edges = cut(clean(edges))
+    scc = cut(strong_components(edges))
+    callers = cut(reversed_edges(contract(edges, scc)))
+    named = facts.select("node", "fact").join(scc, "node", "left").withColumn("scc", F.coalesce("scc", "node"))
+    step = lambda new: new.join(callers, new.scc == callers.src).select(F.col("dst").alias("scc"), "fact")
+    summaries = semi_naive(named, step, ["scc", "fact"]).select("scc", "fact")
+    alone = facts.select("node").join(scc, "node", "left_anti").select("node", F.col("node").alias("scc"))
+    return summaries.join(scc.unionByName(alone.distinct()), "scc").select("node", "fact")
 
 
 def top_down(edges: DataFrame, facts: DataFrame) -> DataFrame:
@@ -174,23 +310,6 @@ def violations(nodes: DataFrame, edges: DataFrame, marker: str = "*SummSource*",
     return pairs.join(start, pairs.src == start.name).where(F.col("dst").contains(constant)).select("label", F.col("dst").alias("const_name")).distinct()
 
 
-def points_to(addr: DataFrame, copy: DataFrame, load: DataFrame, store: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(var, obj) by inclusion: addr(var, obj): var = &obj; copy(to, from): to = from; load(to, from): to = *from;
-    store(to, from): *to = from. The rules run until no new fact appears."""
-    facts = cut(addr.select("var", "obj").distinct())
-    for _ in range(max_rounds):
-        of = facts.select(F.col("var").alias("v"), F.col("obj").alias("o"))
-        flow = copy.select("to", "from")
-        flow = flow.union(load.join(of, load["from"] == of.v).select("to", F.col("o").alias("from")))
-        flow = cut(flow.union(store.join(of, store["to"] == of.v).select(F.col("o").alias("to"), "from")).distinct())
-        step = lambda new, flow=flow: new.join(flow, new["var"] == flow["from"]).select(F.col("to").alias("var"), "obj")
-        grown = cut(semi_naive(facts, step, ["var", "obj"]).select("var", "obj"))
-        if grown.count() == facts.count():
-            return grown
-        facts = grown
-    raise RoundLimitError(f"points-to sets did not settle in max_rounds={max_rounds} rounds")
-
-
 def virtual_calls(sites: DataFrame, inherits: DataFrame, tables: DataFrame) -> DataFrame:
     """(site, fn): targets of calls ``sites(site, cls, slot)`` through a class: functions that the class or one that
     ``inherits(base, sub)`` from it, directly or not, holds in that slot (``tables(cls, slot, fn)``). Only the
@@ -201,12 +320,6 @@ def virtual_calls(sites: DataFrame, inherits: DataFrame, tables: DataFrame) -> D
     return sites.join(held, ["cls", "slot"]).select("site", "fn").distinct()
 
 
-def aliases(pointing: DataFrame) -> DataFrame:
-    """(a, b), a < b: variables whose points-to sets meet."""
-    other = pointing.select(F.col("var").alias("b"), "obj")
-    return pointing.select(F.col("var").alias("a"), "obj").join(other, "obj").where("a < b").select("a", "b").distinct()
-
-
 def adjacency(nodes: DataFrame, edges: DataFrame, root: str = "< root >") -> DataFrame:
     """(caller, callees): one line of sorted callee names each; the root calls every node."""
     calls = edges.select(F.col("src").alias("caller"), F.col("dst").alias("callee")).distinct()

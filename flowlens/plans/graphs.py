@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.operators import graph, taint
+from flowlens.operators import graph, pointsto, taint
 from flowlens.operators.fixpoint import shared_folder
 from flowlens.plans import views
 from flowlens.plans.registry import Tables, query
@@ -121,14 +121,44 @@ def constraints(t: Tables) -> DataFrame:
     return views.flow(t).select("lhs", "rhs", "kind", "section")
 
 
-@query("""WITH RECURSIVE c AS (SELECT (n_nationkey + 1)::BIGINT AS t, n_nationkey::BIGINT AS f FROM nation WHERE n_nationkey % 3 <> 0),
-  p AS (SELECT s_suppkey % 40 AS var, s_nationkey::BIGINT AS obj FROM supplier UNION SELECT c.t, p.obj FROM p JOIN c ON p.var = c.f) SELECT var, obj FROM p""")
+#: Facts p(var, obj) and copy edges c(from, to) of all statements, each found once.
+_POINTS = """, f(k, a, b) USING KEY (k, a, b) AS (
+   SELECT 'p', dst, src FROM stmt WHERE kind = 'addr' UNION SELECT 'c', src, dst FROM stmt WHERE kind = 'copy' UNION
+   SELECT * FROM (SELECT 'p' AS k, c.b AS a, p.b FROM f p JOIN recurring.f c ON p.k = 'p' AND c.k = 'c' AND p.a = c.a
+     UNION SELECT 'p', c.b, p.b FROM recurring.f p JOIN f c ON p.k = 'p' AND c.k = 'c' AND p.a = c.a
+     UNION SELECT 'c', p.b, s.dst FROM f p JOIN stmt s ON p.k = 'p' AND s.kind = 'load' AND s.src = p.a
+     UNION SELECT 'c', s.src, p.b FROM f p JOIN stmt s ON p.k = 'p' AND s.kind = 'store' AND s.dst = p.a) x
+   WHERE NOT EXISTS (SELECT 1 FROM recurring.f r WHERE r.k = x.k AND r.a = x.a AND r.b = x.b)),
+  pts AS (SELECT a AS var, b AS obj FROM f WHERE k = 'p')"""
+
+
+def _pointing(t: Tables) -> DataFrame:
+    s = views.stmt(t)
+    of = lambda kind, dst, src: s.where(F.col("kind") == kind).select(F.col("dst").alias(dst), F.col("src").alias(src))
+    return pointsto.points_to(of("addr", "var", "obj"), of("copy", "to", "from"), of("load", "to", "from"), of("store", "to", "from"))
+
+
+@query(with_views("stmt", _POINTS + " SELECT var, obj FROM pts", True))
 def points_to(t: Tables) -> DataFrame:
-    """Inclusion-based points-to sets of address and copy rules (loads and stores: see the fixture tests)."""
-    addr = t.supplier.select((F.col("s_suppkey") % 40).alias("var"), F.col("s_nationkey").cast("bigint").alias("obj"))
-    copy = t.nation.where("n_nationkey % 3 <> 0").select((F.col("n_nationkey") + 1).cast("bigint").alias("to"), F.col("n_nationkey").cast("bigint").alias("from"))
-    none = copy.where("false")
-    return graph.points_to(addr, copy, none, none)
+    """Inclusion-based points-to sets of address, copy, load and store statements."""
+    return _pointing(t)
+
+
+@query(with_views("stmt", _POINTS + """, q AS (SELECT DISTINCT dst AS a, src AS b FROM stmt WHERE dst < src)
+  SELECT a, b, EXISTS (SELECT 1 FROM pts x JOIN pts y ON x.obj = y.obj WHERE x.var = a AND y.var = b) AS may_alias FROM q""", True))
+def alias_query(t: Tables) -> DataFrame:
+    """Whether the two variables of each statement may point to one location."""
+    pairs = views.stmt(t).where("dst < src").select(F.col("dst").alias("a"), F.col("src").alias("b")).distinct()
+    apart = pointsto.must_not_alias(_pointing(t), pairs).withColumn("apart", F.lit(True))
+    return pairs.join(apart, ["a", "b"], "left").select("a", "b", F.col("apart").isNull().alias("may_alias"))
+
+
+@query(with_views("stmt", _POINTS + """, ext AS (SELECT c_custkey * 8 AS var FROM customer WHERE c_mktsegment = 'BUILDING'),
+  e AS (SELECT obj FROM pts JOIN ext USING (var) UNION SELECT p.obj FROM e JOIN pts p ON p.var = e.obj) SELECT obj FROM e""", True))
+def escapes(t: Tables) -> DataFrame:
+    """Locations that code outside can reach from the externally visible variables: the first of each function of one segment."""
+    external = t.customer.where("c_mktsegment = 'BUILDING'").select((F.col("c_custkey") * 8).alias("var"))
+    return pointsto.escaped(_pointing(t), external)
 
 
 @query("""SELECT DISTINCT 'i' || l_orderkey || '.' || l_linenumber AS node_id, CASE WHEN o_orderkey % 2 = 0 THEN 'DATA_WRITE' ELSE 'DATA_READ' END AS access FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'""")

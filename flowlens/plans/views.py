@@ -29,6 +29,15 @@ def lines(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).select("doc_id", F.col("n").cast("bigint").alias("line_no"), "line")
 
 
+def stmt(t: Tables) -> DataFrame:
+    """(kind, dst, src): pointer statements; each customer is a function with eight variables, each line of an order one
+    statement of it: dst = &src, dst = src, dst = *src, *dst = src."""
+    var = lambda c: (F.col("o_custkey") * 8 + F.col(c) % 8)
+    kind = F.element_at(F.array(F.lit("addr"), F.lit("copy"), F.lit("load"), F.lit("store")), F.col("l_linenumber").cast("int") % 4 + 1)
+    rows = t.lineitem.join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.select(kind.alias("kind"), var("l_partkey").alias("dst"), var("l_suppkey").alias("src")).distinct()
+
+
 def prof(t: Tables) -> DataFrame:
     """(fn, hash, pos, v): counters by line status, ship year and line number."""
     return (
@@ -77,6 +86,8 @@ VIEWS = {
     "tev": """SELECT run, row_number() OVER (PARTITION BY run ORDER BY ts, event_id)::BIGINT AS seq, node, bool_or(node = 'error') OVER (PARTITION BY run) AS failed
       FROM (SELECT (user_id * 100 + extract(day FROM ts))::BIGINT AS run, ts, event_id, event_type AS node FROM events)""",
     "lines": "SELECT doc_id, (generate_subscripts(a, 1) - 1)::BIGINT AS line_no, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)",
+    "stmt": """SELECT DISTINCT ['addr', 'copy', 'load', 'store'][l_linenumber % 4 + 1] AS kind, o_custkey * 8 + l_partkey % 8 AS dst, o_custkey * 8 + l_suppkey % 8 AS src
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "prof": """SELECT l_returnflag || l_linestatus AS fn, year(l_shipdate)::BIGINT AS hash, l_linenumber::BIGINT AS pos, count(*)::BIGINT AS v FROM lineitem GROUP BY ALL""",
     "cov": """SELECT p_brand AS file, p_type AS fn, p_partkey AS region, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49 AND l_returnflag = 'R') AS covered FROM part""",
     "flow": """SELECT DISTINCT lhs, rhs, section, 'default' AS kind FROM (

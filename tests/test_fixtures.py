@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 
 from flowlens.functions import scalars as fn
-from flowlens.operators import coverage, faults, graph, joins, profiles, sequences, taint
+from flowlens.operators import coverage, faults, graph, joins, pointsto, profiles, sequences, taint
 from flowlens.operators.fixpoint import RoundLimitError
 from flowlens.sources import readers, sinks
 from pyspark.sql import functions as F
@@ -99,9 +99,9 @@ def test_call_graph_keeps_repeated_edges(spark):
 def test_points_to_with_loads_and_stores(spark):
     pair = lambda rows, a, b: spark.createDataFrame(rows, f"`{a}` string, `{b}` string")
     # p = &x; q = &y; r = &p; *r = q; s = *r
-    got = graph.points_to(pair([("p", "x"), ("q", "y"), ("r", "p")], "var", "obj"), pair([], "to", "from"), pair([("s", "r")], "to", "from"), pair([("r", "q")], "to", "from"))
+    got = pointsto.points_to(pair([("p", "x"), ("q", "y"), ("r", "p")], "var", "obj"), pair([], "to", "from"), pair([("s", "r")], "to", "from"), pair([("r", "q")], "to", "from"))
     assert values(got) == [("p", "x"), ("p", "y"), ("q", "y"), ("r", "p"), ("s", "x"), ("s", "y")]
-    assert values(graph.aliases(got)) == [("p", "q"), ("p", "s"), ("q", "s")]
+    assert values(pointsto.aliases(got)) == [("p", "q"), ("p", "s"), ("q", "s")]
 
 
 def test_dominators_and_control_dependence(spark):
