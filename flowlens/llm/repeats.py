@@ -17,7 +17,7 @@ A *hot* anchor (one that holds more distinct segments than several buckets' shar
 by content instead: its entries go to salted buckets, its windows one by one to shards by their own
 hash. One task never has to hold a whole hot group, and nothing is dropped.
 
-No text decides what equals what by a hash that its writer could know: segments are compared by a 128-bit BLAKE2b
+No text decides what equals what by a hash that its writer could know: segments are compared by a 96-bit BLAKE2b
 digest under a key drawn for each run, windows of hot anchors and everything in a shard unit by unit. The plain 64-bit
 hashes only route.
 
