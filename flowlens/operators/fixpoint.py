@@ -57,18 +57,20 @@ class Rounds:
 
 
 class Known:
-    """What a loop has found: tables of doubling size, so that each row is written again at most once for each
-    doubling of the number of rounds and a round reads few of them."""
+    """What a loop has found: tables of growing size. Eight of one size become one of the next, so each row is written again
+    at most once for each eightfold number of rounds, and a round reads few tables."""
+
+    WIDTH = 8
 
     def __init__(self, rounds: Rounds):
         self.rounds, self.parts = rounds, []
 
     def add(self, table: DataFrame) -> None:
         self.parts.append((0, table))
-        while len(self.parts) > 1 and self.parts[-1][0] == self.parts[-2][0]:
-            (level, a), (_, b) = self.parts[-2:]
-            self.parts[-2:] = [(level + 1, self.rounds.write(a.unionByName(b))[0])]
-            self.rounds.drop(a, b)
+        while len(self.parts) >= self.WIDTH and self.parts[-1][0] == self.parts[-self.WIDTH][0]:
+            last = [t for _, t in self.parts[-self.WIDTH :]]
+            self.parts[-self.WIDTH :] = [(self.parts[-1][0] + 1, self.rounds.write(reduce(DataFrame.unionByName, last))[0])]
+            self.rounds.drop(*last)
 
     def with_(self, *more: DataFrame) -> DataFrame:
         return reduce(DataFrame.unionByName, [*(t for _, t in self.parts), *more])
@@ -78,26 +80,31 @@ class Known:
         self.parts = []
 
 
-def semi_naive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], max_rounds: int | None = None, partial: bool = False) -> DataFrame:
-    """All facts that ``step`` derives from ``seed``, with the round in which each first appeared (``round``).
-
-    ``step`` maps the facts that are new in a round to the facts they imply (columns ``keys``); it must be
-    monotone. Only new facts are joined in a round. The loop ends when a round gives nothing new; a caller that gives ``max_rounds``
-    gets RoundLimitError beyond it or, if ``partial``, what has been found so far.
-    """
+def rounds_of(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], max_rounds: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """What ``semi_naive`` finds in at most ``max_rounds`` rounds, and the facts of the last one (None where nothing is left to do)."""
     rounds = Rounds(seed.sparkSession)
     known = Known(rounds)
     new, n = rounds.write(seed.select(keys).distinct().withColumn("round", F.lit(0)))
     number = 0
     while n:
-        if max_rounds is not None and number == max_rounds:
-            if partial:
-                break
-            raise RoundLimitError(f"the fixpoint did not settle in max_rounds={max_rounds} rounds")
+        if number == max_rounds:
+            return known.with_(new), new
         number += 1
-        every = known.with_(new)
-        derived = step(new.select(keys)).select(keys).distinct().join(every.select(keys), keys, "left_anti")
+        derived = step(new.select(keys)).select(keys).distinct().join(known.with_(new).select(keys), keys, "left_anti")
         fresh, n = rounds.write(derived.withColumn("round", F.lit(number)))
         known.add(new)
         new = fresh
-    return known.with_(new)
+    return known.with_(new), None
+
+
+def semi_naive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], max_rounds: int | None = None) -> DataFrame:
+    """All facts that ``step`` derives from ``seed``, with the round in which each first appeared (``round``).
+
+    ``step`` maps the facts that are new in a round to the facts they imply (columns ``keys``); it must be
+    monotone. Only new facts are joined in a round. The loop ends when a round gives nothing new, or with RoundLimitError
+    beyond the ``max_rounds`` of a caller that gives it.
+    """
+    found, left = rounds_of(seed, step, keys, max_rounds)
+    if left is not None:
+        raise RoundLimitError(f"the fixpoint did not settle in max_rounds={max_rounds} rounds")
+    return found

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.operators.fixpoint import RoundLimitError, Rounds, cut, semi_naive
+from flowlens.operators.fixpoint import Known, RoundLimitError, Rounds, cut, rounds_of, semi_naive
 
 
 def clean(edges: DataFrame) -> DataFrame:
@@ -31,14 +31,19 @@ def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) ->
     by pointer jumping and the search goes on over what branches, so a chain takes the logarithm of its length.
     There is no limit of depth but one that the caller gives (``max_rounds``; deeper graphs raise RoundLimitError).
     """
-    edges = cut(clean(edges))
+    return _reach(cut(clean(edges)), seeds, max_rounds)
+
+
+def _reach(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
     step = lambda new: new.join(edges, new.node == edges.src).select(F.col("dst").alias("node"))
-    limit = PATIENCE if max_rounds is None else max_rounds
-    found = semi_naive(seeds.select("node").where("node IS NOT NULL"), step, ["node"], limit, partial=max_rounds is None)
+    seeds = seeds.select("node").where("node IS NOT NULL")
+    if max_rounds is not None:
+        return semi_naive(seeds, step, ["node"], max_rounds).select("node", F.col("round").cast("bigint").alias("depth"))
+    found, frontier = rounds_of(seeds, step, ["node"], PATIENCE)
     found = found.select("node", F.col("round").cast("bigint").alias("depth"))
-    frontier = found.where(F.col("depth") == PATIENCE)
-    if max_rounds is not None or frontier.isEmpty():
+    if frontier is None:
         return found
+    frontier = frontier.select("node", F.col("round").cast("bigint").alias("depth"))
     left = edges.join(found.select(F.col("node").alias("dst")), "dst", "left_anti")
     left = cut(left.join(found.where(F.col("depth") < PATIENCE).select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst"))
     return found.unionByName(_far(left, frontier))
@@ -82,7 +87,9 @@ def chains(edges: DataFrame, but: DataFrame | None = None) -> DataFrame:
     rounds = Rounds(edges.sparkSession)
     one = F.lit(1).cast("bigint")
     jump, total = rounds.write(links.select("node", "head", one.alias("steps"), "tail", F.col("node").alias("low")))
-    for _ in range(max(0, total).bit_length()):
+    if not total:
+        return jump
+    for _ in range(total.bit_length()):
         up = jump.select(F.col("node").alias("head"), F.col("head").alias("head2"), F.col("steps").alias("steps2"), F.col("low").alias("low2"))
         down = jump.select(F.col("node").alias("tail"), F.col("tail").alias("tail2"))
         both = jump.join(up, "head", "left").join(down, "tail", "left")
@@ -105,10 +112,18 @@ def chains(edges: DataFrame, but: DataFrame | None = None) -> DataFrame:
 def closure(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """(src, dst) for all pairs joined by a path of at least one edge, from all nodes or from ``sources(node)``.
 
-    Strong components are one node each until the end. The pairs of all nodes come by doubling (paths of up to
-    2^k edges, then all that a path of exactly 2^k more reaches), those of some sources edge by edge.
+    Edge by edge while that takes at most PATIENCE rounds. In deeper graphs strong components become one node each until the
+    end, and the pairs of all nodes come by doubling (paths of up to 2^k edges, then all that a path of exactly 2^k
+    more reaches); those of some sources go on edge by edge.
     """
     edges = cut(clean(edges))
+    hop = edges.select(F.col("src").alias("mid"), F.col("dst").alias("to"))
+    begin = edges if sources is None else edges.join(sources.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
+    found, left = rounds_of(begin, lambda new: new.join(hop, new.dst == hop.mid).select("src", F.col("to").alias("dst")), ["src", "dst"], PATIENCE)
+    return found.select("src", "dst") if left is None else _condensed_closure(edges, sources)
+
+
+def _condensed_closure(edges: DataFrame, sources: DataFrame | None) -> DataFrame:
     scc = cut(strong_components(edges))
     dag = cut(contract(edges, scc))
     if sources is None:
@@ -169,31 +184,32 @@ def simple_paths(edges: DataFrame, start: DataFrame, end: DataFrame, max_length:
     return done
 
 
-def _trimmed(edges: DataFrame) -> DataFrame:
-    """Edges whose ends both have a predecessor and a successor: what no cycle can hold is taken off, round by round."""
+def _trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges whose ends both have a predecessor and a successor, and their number: what no cycle can hold is taken off, round by round."""
     rounds = Rounds(edges.sparkSession)
-    (edges, left), before = rounds.write(edges), None
-    while left and left != before:
+    left, before = None, 0
+    while left != before:
         kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        (kept, n) = rounds.write(kept.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        kept, n = rounds.write(kept.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         rounds.drop(edges)
         edges, before, left = kept, left, n
-    return edges
+        if not left:
+            break
+    return edges, left
 
 
 def _least_ancestor(edges: DataFrame) -> DataFrame:
     """(node, colour): the smallest node with a path to each node, itself included. Only nodes whose colour fell pass it on."""
     rounds = Rounds(edges.sparkSession)
-    labels, n = rounds.write(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("colour", F.col("node")))
-    fresh = labels
+    known = Known(rounds)
+    fresh, n = rounds.write(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("colour", F.col("node")))
     while n:
+        now = known.with_(fresh).groupBy("node").agg(F.min("colour").alias("colour"))
         told = fresh.join(edges, fresh.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("told"))
-        lower, n = rounds.write(told.join(labels, "node").where("told < colour").select("node", F.col("told").alias("colour")))
-        if n:
-            merged, _ = rounds.write(labels.join(lower.withColumnRenamed("colour", "lower"), "node", "left").select("node", F.coalesce("lower", "colour").alias("colour")))
-            rounds.drop(labels, fresh)
-            labels, fresh = merged, lower
-    return labels
+        lower, n = rounds.write(told.join(now, "node").where("told < colour").select("node", F.col("told").alias("colour")))
+        known.add(fresh)
+        fresh = lower
+    return cut(known.with_(fresh).groupBy("node").agg(F.min("colour").alias("colour")))
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -212,7 +228,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     open_ = links.where("head IS NOT NULL")
     hops = edges.where("src <> dst").join(links.select(F.col("node").alias("dst")), "dst", "left_anti").join(open_.select(F.col("node").alias("src"), "head"), "src", "left")
     hops = hops.select(F.coalesce("head", "src").alias("src"), "dst").where("src <> dst").distinct()
-    found = cut(_components(_trimmed(hops)))
+    found = cut(_components(*_trimmed(hops)))
     # a chain lies on a cycle if its ends are one node, or of one component
     ends = [found.select(F.col("node").alias(end), F.col("name").alias(f"{end}_name")) for end in ("head", "tail")]
     named = open_.join(ends[0], "head", "left").join(ends[1], "tail", "left").withColumn("a", F.coalesce("head_name", "head")).where(F.col("a") == F.coalesce("tail_name", "tail"))
@@ -223,31 +239,34 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return nodes.join(known, "node", "left").select("node", F.coalesce("scc", "node").alias("scc"))
 
 
-def _components(core: DataFrame) -> DataFrame:
+def _components(core: DataFrame, n_edges: int) -> DataFrame:
     """(node, name): components of more than one node."""
-    degrees = core.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(core.select("dst", F.lit(0), F.lit(1))).groupBy("node").agg((F.sum("o") * F.sum("i")).alias("ways"))
-    pivot = degrees.orderBy(F.desc("ways"), "node").limit(1).select("node")
-    pivot = cut(pivot)
     found = core.select(F.col("src").alias("node"), F.col("src").alias("name")).where("false")
-    if pivot.isEmpty():
+    if not n_edges:
         return found
-    ahead, back = reach(core, pivot).select("node"), reach(reversed_edges(core), pivot).select("node")
-    giant = cut(ahead.join(back, "node", "left_semi").crossJoin(F.broadcast(pivot.withColumnRenamed("node", "name"))))
-    found = found.unionByName(giant)
-    side = cut(ahead.withColumn("f", F.lit(1)).join(back.withColumn("b", F.lit(1)), "node", "full").select("node", (F.coalesce("f", F.lit(0)) * 2 + F.coalesce("b", F.lit(0))).alias("side")))
+    degrees = core.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(core.select("dst", F.lit(0), F.lit(1))).groupBy("node").agg((F.sum("o") * F.sum("i")).alias("ways"))
+    pivot = degrees.orderBy(F.desc("ways"), "node").select("node").first()[0]
+    # what it reaches, and what reaches it, in one search
+    way = F.lit(True), F.lit(False)
+    both = core.select("src", "dst", way[0].alias("forward")).union(core.select("dst", "src", way[1]))
+    step = lambda new: new.join(both, (new.node == both.src) & (new.way == both.forward)).select(F.col("dst").alias("node"), "way")
+    start = core.select(F.lit(pivot).cast(core.schema["src"].dataType).alias("node")).limit(1)
+    side = semi_naive(start.select("node", way[0].alias("way")).union(start.select("node", way[1])), step, ["node", "way"])
+    side = cut(side.groupBy("node").agg(F.sum(F.when(F.col("way"), 2).otherwise(1)).alias("side")))
+    found = side.where("side = 3").select("node", F.lit(pivot).cast(core.schema["src"].dataType).alias("name"))
     of = lambda end: side.select(F.col("node").alias(end), F.col("side").alias(f"{end}_side"))
     rest = core.join(of("src"), "src", "left").join(of("dst"), "dst", "left").fillna(0, ["src_side", "dst_side"]).where("src_side = dst_side AND src_side < 3")
-    core = _trimmed(rest.select("src", "dst"))
-    while not core.isEmpty():
+    core, n_edges = _trimmed(rest.select("src", "dst"))
+    while n_edges:
         colours = _least_ancestor(core)
         of_src = colours.select(F.col("node").alias("src"), F.col("colour").alias("scc"))
         of_dst = colours.select(F.col("node").alias("dst"), F.col("colour").alias("other"))
         inside = cut(core.join(of_src, "src").join(of_dst, "dst").where("scc = other").select("src", "dst", "scc"))
-        back = reach(reversed_edges(inside), colours.where("node = colour").select("node"))
+        back = _reach(reversed_edges(inside), colours.where("node = colour").select("node"))
         new = cut(colours.join(back, "node", "left_semi").select("node", F.col("colour").alias("name")))
-        found = cut(found.unionByName(new))
+        found = found.unionByName(new)
         rest = inside.join(new.select(F.col("node").alias("src")), "src", "left_anti").join(new.select(F.col("node").alias("dst")), "dst", "left_anti")
-        core = _trimmed(rest.select("src", "dst"))
+        core, n_edges = _trimmed(rest.select("src", "dst"))
     return found
 
 
@@ -258,11 +277,16 @@ def contract(edges: DataFrame, scc: DataFrame) -> DataFrame:
 
 
 def bottom_up(edges: DataFrame, facts: DataFrame) -> DataFrame:
-    """(node, fact): facts of callees flow to all callers. Strongly connected functions share one summary until the end."""
+    """(node, fact): facts of callees flow to all callers. Where that takes more than PATIENCE rounds, strongly
+    connected functions share one summary until the end."""
     edges = cut(clean(edges))
+    callers = reversed_edges(edges)
+    found, left = rounds_of(facts, lambda new: new.join(callers, new.node == callers.src).select(F.col("dst").alias("node"), "fact"), ["node", "fact"], PATIENCE)
+    if left is None:
+        return found.select("node", "fact")
     scc = cut(strong_components(edges))
     callers = cut(reversed_edges(contract(edges, scc)))
-    named = facts.select("node", "fact").join(scc, "node", "left").withColumn("scc", F.coalesce("scc", "node"))
+    named = found.select("node", "fact").join(scc, "node", "left").withColumn("scc", F.coalesce("scc", "node"))
     step = lambda new: new.join(callers, new.scc == callers.src).select(F.col("dst").alias("scc"), "fact")
     summaries = semi_naive(named, step, ["scc", "fact"]).select("scc", "fact")
     alone = facts.select("node").join(scc, "node", "left_anti").select("node", F.col("node").alias("scc"))
@@ -327,7 +351,25 @@ def adjacency(nodes: DataFrame, edges: DataFrame, root: str = "< root >") -> Dat
     return calls.groupBy("caller").agg(F.array_join(F.array_sort(F.collect_set("callee")), " ").alias("callees"))
 
 
-def _dominators(group: pd.DataFrame) -> pd.DataFrame:
+def dominators(edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """(fn, node, dom): for each function graph ``edges(fn, src, dst)`` with ``entries(fn, entry)`` (several of one function count as
+    one start), the dominators of each node that an entry reaches.
+
+    A node is dominated by those without which no entry reaches it: the fixpoint follows, for every node left
+    out, what is still reached, so functions of any size are dealt over the cluster by (node left out, node reached).
+    """
+    edges = cut(edges.select("fn", "src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    start = entries.select("fn", F.col("entry").alias("node")).where("node IS NOT NULL").distinct()
+    hop = edges.select("fn", F.col("src").alias("node"), "dst")
+    reached = cut(semi_naive(start, lambda new: new.join(hop, ["fn", "node"]).select("fn", F.col("dst").alias("node")), ["fn", "node"]).select("fn", "node"))
+    without = reached.select("fn", F.col("node").alias("dom")).join(start, "fn").where("dom <> node")
+    step = lambda new: new.join(hop, ["fn", "node"]).where("dst <> dom").select("fn", "dom", F.col("dst").alias("node"))
+    free = semi_naive(without, step, ["fn", "dom", "node"]).select("fn", "dom", "node")
+    pairs = reached.join(reached.select("fn", F.col("node").alias("dom")), "fn")
+    return pairs.join(free, ["fn", "dom", "node"], "left_anti").select("fn", "node", "dom")
+
+
+def _postorder(group: pd.DataFrame) -> pd.DataFrame:
     after: dict[int, list[int]] = {}
     for a, b in zip(group["src"], group["dst"], strict=True):
         after.setdefault(a, []).append(b)
@@ -343,31 +385,13 @@ def _dominators(group: pd.DataFrame) -> pd.DataFrame:
         else:
             order.append(node)
             stack.pop()
-    before: dict[int, set[int]] = {n: set() for n in order}
-    for a, bs in after.items():
-        for b in bs:
-            if a in seen and b in seen:
-                before[b].add(a)
-    dom = {n: set(order) for n in order}
-    dom[entry] = {entry}
-    changed = True
-    while changed:
-        changed = False
-        for n in reversed(order):
-            if n != entry:
-                new = set.intersection(*(dom[p] for p in before[n])) | {n}
-                if new != dom[n]:
-                    dom[n], changed = new, True
-    number = {n: i + 1 for i, n in enumerate(order)}
-    rows = [(group["fn"].iloc[0], n, d, number[n]) for n in order for d in sorted(dom[n])]
-    return pd.DataFrame(rows, columns=["fn", "node", "dom", "post"])
+    return pd.DataFrame({"fn": group["fn"].iloc[0], "node": order, "post": range(1, len(order) + 1)})
 
 
-def dominators(edges: DataFrame, entries: DataFrame) -> DataFrame:
-    """(fn, node, dom, post): for each function graph ``edges(fn, src, dst)`` with ``entries(fn, entry)``, the
-    dominators of each node that the entry reaches, and the node's post-order number. A function's graph is
-    one group; program graphs are small beside their number."""
-    return edges.select("fn", "src", "dst").distinct().join(entries, "fn").groupBy("fn").applyInPandas(_dominators, "fn bigint, node bigint, dom bigint, post bigint")
+def postorder(edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """(fn, node, post): post-order numbers of a depth-first walk, smaller nodes first. The walk is sequential by nature: a
+    function's graph is one group, so it must fit one task; functions are dealt over the cluster."""
+    return edges.select("fn", "src", "dst").distinct().join(entries, "fn").groupBy("fn").applyInPandas(_postorder, "fn bigint, node bigint, post bigint")
 
 
 def control_dependence(edges: DataFrame, exits: DataFrame) -> DataFrame:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from flowlens.operators.fixpoint import Known, Rounds, cut
 from flowlens.operators.graph import reach, strong_components
 
-#: Cycles are looked for again once the copy edges have grown by this factor.
-GROWTH = 1.5
+#: Cycles are looked for after so many rounds, then four times as many, and so on: a loop that goes on that long may be
+#: one that circles, a shorter one costs less than the search.
+PATIENCE = 16
 
 
 def _renamed(df: DataFrame, merged: DataFrame, *columns: str) -> DataFrame:
@@ -34,7 +35,7 @@ def points_to(addr: DataFrame, copy: DataFrame, load: DataFrame, store: DataFram
 
     Facts and copy edges feed each other. A round joins the new facts with all edges and the new edges with all
     facts; loads and stores turn new facts into new edges. Variables on a cycle of copies hold the same set:
-    cycles are merged before solving, and again when the edges have grown by GROWTH; from then on the loop works on
+    cycles are merged in loops that go on for PATIENCE rounds, and again if edges were added; from then on the loop works on
     representatives, and members get their sets at the end.
     """
     rounds = Rounds(addr.sparkSession)
@@ -45,22 +46,22 @@ def points_to(addr: DataFrame, copy: DataFrame, load: DataFrame, store: DataFram
     new_facts, n_facts = rounds.write(facts)
     new_edges, n_edges = rounds.write(edges)
     known_facts, known_edges = Known(rounds), Known(rounds)
-    total, checked = n_edges, 0
+    number, next_check, grown = 0, PATIENCE, n_edges
     while n_facts or n_edges:
-        if n_edges and total > checked * GROWTH:
+        if number >= next_check and grown:
             cycles, n = rounds.write(_cycles(known_edges.with_(new_edges)))
             if n:  # everything is rewritten to representatives; what a merged set must still pass on counts as new
                 merged_now = cycles if merged is None else _renamed(merged, cycles, "rep").unionByName(cycles)
                 merged_now, _ = rounds.write(merged_now)
                 facts, n_facts = rounds.write(_renamed(known_facts.with_(new_facts), cycles, "var").distinct())
-                edges, total = rounds.write(_renamed(known_edges.with_(new_edges), cycles, "to", "from").where("to <> from").distinct())
+                edges, n_edges = rounds.write(_renamed(known_edges.with_(new_edges), cycles, "to", "from").where("to <> from").distinct())
                 loads, stores = cut(_renamed(loads, cycles, "to", "from").distinct()), cut(_renamed(stores, cycles, "to", "from").distinct())
                 known_facts.drop()
                 known_edges.drop()
                 rounds.drop(new_facts, new_edges, merged)
-                merged, new_facts, new_edges, n_edges = merged_now, facts, edges, total
+                merged, new_facts, new_edges = merged_now, facts, edges
             rounds.drop(cycles)
-            checked = total
+            next_check, grown = max(PATIENCE, 4 * number), 0
         of = new_facts.select(F.col("var").alias("v"), F.col("obj").alias("o"))
         every = known_facts.with_(new_facts).select(F.col("var").alias("v"), F.col("obj").alias("o"))
         all_edges = known_edges.with_(new_edges)
@@ -75,7 +76,7 @@ def points_to(addr: DataFrame, copy: DataFrame, load: DataFrame, store: DataFram
         known_facts.add(new_facts)
         known_edges.add(new_edges)
         new_facts, n_facts, new_edges, n_edges = next_facts, next_n, next_edges, next_e
-        total += n_edges
+        number, grown = number + 1, grown + n_edges
     found = known_facts.with_(new_facts)
     if merged is None:
         return found.select("var", "obj")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.operators import graph, pointsto, taint
+from flowlens.operators import constraints as rules, dataflow, graph, pointsto, taint
 from flowlens.operators.fixpoint import shared_folder
 from flowlens.plans import views
 from flowlens.plans.registry import Tables, query
@@ -257,6 +257,75 @@ def raw_dep(t: Tables) -> DataFrame:
     return t.events.withColumn("write_id", last).where("event_type = 'view' AND write_id IS NOT NULL").select("write_id", F.col("event_id").alias("read_id"))
 
 
+def _days(t: Tables) -> DataFrame:
+    """Events as instructions: a user is a function, a day a block; the user's three locations are written by signups and purchases."""
+    block, loc = (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("block"), (F.col("user_id") * 3 + F.col("event_id") % 3).alias("loc")
+    return t.events.select("user_id", block, F.struct("ts", "event_id").alias("pos"), loc, F.col("event_id").alias("id"), F.col("event_type").isin("signup", "purchase").alias("writes"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, user_id * 100 + day(ts) AS block, ts, user_id * 3 + event_id % 3 AS loc, event_id AS id, event_type IN ('signup', 'purchase') AS w FROM events),
+  b AS (SELECT DISTINCT user_id, block FROM e), n AS (SELECT user_id, block, lead(block) OVER x AS one, lead(block, 2) OVER x AS two, min(block) OVER (PARTITION BY user_id) AS first FROM b WINDOW x AS (PARTITION BY user_id ORDER BY block)),
+  g AS (SELECT block AS src, one AS dst FROM n WHERE one IS NOT NULL UNION SELECT block, two FROM n WHERE two IS NOT NULL UNION SELECT block, first FROM n WHERE one IS NULL),
+  k AS (SELECT block, loc, arg_max(id, (ts, id)) AS id FROM e WHERE w GROUP BY 1, 2),
+  r AS (SELECT k.id AS def, k.loc, g.dst AS block FROM k JOIN g ON g.src = k.block UNION SELECT r.def, r.loc, g.dst FROM r JOIN g ON g.src = r.block WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.block = r.block AND k.loc = r.loc)),
+  u AS (SELECT id, block, loc, w, last_value(CASE WHEN w THEN id END IGNORE NULLS) OVER (PARTITION BY block, loc ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS own FROM e)
+  SELECT own AS def_id, id AS use_id FROM u WHERE NOT w AND own IS NOT NULL UNION ALL SELECT r.def, u.id FROM u JOIN r USING (block, loc) WHERE NOT w AND own IS NULL""")
+def reaching_defs(t: Tables) -> DataFrame:
+    """Definitions that reach each use over the control flow of a user's days: on to the next two, and from the last back to the first."""
+    e = _days(t)
+    days = e.select("user_id", "block").distinct()
+    w = Window.partitionBy("user_id").orderBy("block")
+    nexts = days.select("block", F.lead("block").over(w).alias("one"), F.lead("block", 2).over(w).alias("two"), F.min("block").over(Window.partitionBy("user_id")).alias("first"))
+    flow = nexts.select(F.col("block").alias("src"), F.explode(F.array("one", "two", F.when(F.col("one").isNull(), F.col("first")))).alias("dst"))
+    return dataflow.reaching_definitions(flow, e.where("writes").withColumn("strong", F.lit(True)), e.where("NOT writes"))
+
+
+@query("""WITH RECURSIVE site AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem), good AS (SELECT s_suppkey AS s FROM supplier WHERE s_acctbal > 0),
+  i AS (SELECT 'q' || p_partkey AS src, 'p' || (p_partkey + 1) AS dst FROM part WHERE p_partkey % 8 <> 0 UNION SELECT 'p' || p, 'q' || p FROM site JOIN good USING (s)),
+  up AS (SELECT 'p' || p_partkey AS node FROM part WHERE p_brand = 'Brand#11' UNION SELECT i.dst FROM up JOIN i ON i.src = up.node),
+  f AS (SELECT s, p FROM site JOIN up ON up.node = 'p' || p)
+  SELECT node, NULL::BIGINT AS site FROM up UNION ALL SELECT 'f' || s, p * 1000000 + s FROM f UNION ALL SELECT 'r' || s, p * 1000000 + s FROM f JOIN good USING (s)""")
+def context_reach(t: Tables) -> DataFrame:
+    """What parts of one brand flow into, where a supplier is a function and a part that it delivers a call of it: a result goes back
+    to its own call only. Each row in a function names the call that led there."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    site = t.lineitem.select((F.col("l_partkey") * 1_000_000 + F.col("l_suppkey")).alias("site"), "l_partkey", "l_suppkey").distinct()
+    flow = t.part.where("p_partkey % 8 <> 0").select(name("q", "p_partkey").alias("src"), F.concat(F.lit("p"), (F.col("p_partkey") + 1).cast("string")).alias("dst"))
+    flow = flow.union(t.supplier.where("s_acctbal > 0").select(name("f", "s_suppkey"), name("r", "s_suppkey")))
+    calls = site.select("site", name("p", "l_partkey").alias("src"), name("f", "l_suppkey").alias("dst"))
+    returns = site.select("site", name("r", "l_suppkey").alias("src"), name("q", "l_partkey").alias("dst"))
+    return dataflow.context_reach(flow, calls, returns, t.part.where("p_brand = 'Brand#11'").select(name("p", "p_partkey").alias("node")))
+
+
+@query(with_views("stmt", _POINTS + """, c AS (SELECT c_custkey * 8 AS cond, c_custkey AS block FROM customer WHERE c_mktsegment = 'MACHINERY'),
+  w AS (SELECT s.*, p.obj FROM stmt s JOIN pts p ON p.var = s.dst WHERE kind = 'store'),
+  x AS (SELECT src AS lhs, dst AS rhs, 'default' AS section FROM stmt WHERE kind = 'copy' UNION SELECT p.obj, s.dst, 'default' FROM stmt s JOIN pts p ON p.var = s.src WHERE kind = 'load' UNION SELECT src, obj, 'default' FROM w
+    UNION SELECT c.cond, s.dst, 'implicit' FROM stmt s JOIN c ON s.dst // 8 = c.block WHERE kind <> 'store' UNION SELECT c.cond, w.obj, 'implicit' FROM w JOIN c ON w.dst // 8 = c.block)
+  SELECT lhs, rhs, 'default' AS kind, section FROM x WHERE lhs <> rhs""", True))
+def constraint_gen(t: Tables) -> DataFrame:
+    """Constraints of pointer statements: explicit ones through the points-to sets, implicit ones where a function of one segment branches
+    on its first variable."""
+    s = views.stmt(t).withColumn("inst", F.struct("kind", "dst", "src"))
+    insts = s.select("inst", F.col("kind").alias("op"), F.when(F.col("kind") != "store", F.col("dst")).alias("result"), F.expr("dst div 8").alias("block"), F.lit(None).cast("string").alias("fn"))
+    pointer = F.when(F.col("kind") == "store", F.col("dst")).otherwise(F.col("src"))
+    operands = s.select("inst", F.lit(0).alias("pos"), pointer.alias("value")).unionByName(s.where("kind = 'store'").select("inst", F.lit(1).alias("pos"), F.col("src").alias("value")))
+    control = t.customer.where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("block"), (F.col("c_custkey") * 8).alias("cond"))
+    return rules.generate(insts, operands, _pointing(t), control=control)
+
+
+@query("""WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderkey % 2 * 8 END AS step, lead(o_orderkey) OVER w AS one, lead(o_orderkey, 2) OVER w AS two, min(o_orderkey) OVER (PARTITION BY o_custkey) AS root FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+  e AS (SELECT o_orderkey AS src, one AS dst, step FROM o WHERE one IS NOT NULL UNION SELECT o_orderkey, two, 8 FROM o WHERE two IS NOT NULL AND o_orderkey % 3 = 0),
+  r AS (SELECT DISTINCT root, root AS node, 0::BIGINT AS place FROM o UNION SELECT r.root, e.dst, r.place + e.step FROM r JOIN e ON e.src = r.node)
+  SELECT root, node, CASE WHEN count(*) = 1 THEN min(place) END AS "offset" FROM r GROUP BY 1, 2""")
+def pointer_offsets(t: Tables) -> DataFrame:
+    """Offsets of pointers derived from a customer's first order: each order derives the next, some the one after it; open ones by an unknown number."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = t.orders.select("o_custkey", "o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey") % 2 * 8).alias("by"), F.lead("o_orderkey").over(w).alias("one"), F.lead("o_orderkey", 2).over(w).alias("two"))
+    steps = o.select(F.col("o_orderkey").alias("src"), F.col("one").alias("dst"), F.col("by").alias("offset"))
+    steps = steps.unionByName(o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("src"), F.col("two").alias("dst"), F.lit(8).cast("bigint").alias("offset")))
+    return rules.pointer_offsets(t.orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("root")).select("root"), steps)
+
+
 def _flow_graph(t: Tables) -> DataFrame:
     return views.trade(t).select(F.lit(1).cast("bigint").alias("fn"), "src", "dst")
 
@@ -275,7 +344,7 @@ def dominators(t: Tables) -> DataFrame:
 
 @query()
 def postorder(t: Tables) -> DataFrame:
-    return graph.dominators(_flow_graph(t), _entry(t)).select("node", "post").distinct()
+    return graph.postorder(_flow_graph(t), _entry(t)).select("node", "post")
 
 
 @query(with_views("trade", """, r AS (SELECT 1::BIGINT AS n UNION SELECT src FROM r JOIN trade ON n = dst),

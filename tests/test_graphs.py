@@ -103,7 +103,7 @@ def solved(addr, copy, load, store):
 
 @pytest.mark.parametrize("seed", range(2))
 def test_points_to_against_plain(spark, monkeypatch, seed):
-    monkeypatch.setattr(pointsto, "GROWTH", 1.0 + seed / 4)
+    monkeypatch.setattr(pointsto, "PATIENCE", seed)
     rng = random.Random(seed)
     pick = lambda n: [(rng.randrange(25), rng.randrange(25)) for _ in range(n)]
     addr, copy, load, store = pick(10), pick(14), pick(8), pick(8)
