@@ -366,12 +366,21 @@ def check_access(t: Tables) -> DataFrame:
 # --- streaming ------------------------------------------------------------------------------------------------
 
 
-def _run(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream has given once all files are read. The rows are on the driver: for results of few rows only."""
-    name = f"stream_{uuid.uuid4().hex}"
-    handle = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    handle.awaitTermination()
-    return stream.sparkSession.table(name)
+def _latest(stream: DataFrame, mode: str) -> DataFrame:
+    """The last whole result that a stream has given once all files are read. Each batch writes a folder named by its number,
+    over what an earlier attempt left there, so a batch that is repeated counts once; offsets and state are in the shared folder."""
+    spark = stream.sparkSession
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    done: list[int] = []
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{at}/rows/{batch}")
+        done.append(batch)
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows/{max(done)}")
 
 
 def _appended(stream: DataFrame) -> DataFrame:
@@ -385,8 +394,8 @@ def _appended(stream: DataFrame) -> DataFrame:
 
 @query("SELECT event_type AS node, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def stream_count(t: Tables) -> DataFrame:
-    """Running counts of trace nodes; the result has one row for each node."""
-    return _run(traces.node_counts(traces.read_events(t.spark, f"{t.folder}/events*")), "complete")
+    """Running counts of trace nodes."""
+    return _latest(traces.node_counts(traces.read_events(t.spark, f"{t.folder}/events*")), "complete")
 
 
 @query("""SELECT user_id, event_id, (dense_rank() OVER (PARTITION BY user_id ORDER BY first) - 1)::BIGINT AS node_id FROM (SELECT *, min(event_id) OVER (PARTITION BY user_id, event_type) AS first FROM events)""")

@@ -54,7 +54,7 @@ def made(seed):
     return pairs + pairs[:9]
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_against_plain_searches(spark, monkeypatch, seed):
     monkeypatch.setattr(graph, "PATIENCE", 2 + seed)
     pairs = made(seed)
@@ -66,7 +66,7 @@ def test_against_plain_searches(spark, monkeypatch, seed):
         return
     scc = {a: min([a] + [b for b in every if (a, b) in cl and (b, a) in cl]) for a in every}
     assert values(graph.strong_components(e)) == sorted(scc.items())
-    assert set(values(graph.closure(e))) == cl and graph.closure(e).count() == len(cl)
+    assert values(graph.closure(e)) == sorted(cl)
     some = [0, 5, 1000, 9003, 77777]
     assert values(graph.closure(e, nodes(spark, some))) == sorted(p for p in cl if p[0] in some)
     facts = spark.createDataFrame([(a, a % 3) for a in sorted(every) if a % 5 == 0] + [(88888, 1)], "node bigint, fact bigint")
