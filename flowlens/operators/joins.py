@@ -7,18 +7,37 @@ from pyspark.sql import functions as F
 
 
 def overlap_join(left: DataFrame, right: DataFrame, l_lo: str, l_hi: str, r_lo: str, r_hi: str, width: float, on: list[str] | None = None) -> DataFrame:
-    """Pairs of half-open ranges that overlap, as an equality on cells of ``width``.
+    """Pairs of half-open ranges that overlap, as an equality on cells of ``width`` times a power of two.
 
-    Each range goes to every cell that it touches; a pair is kept in the first cell that both touch only,
-    so no distinct is needed.
+    A range's level is the least whose cells are as long as it is, so it touches two of them at most, however long it
+    is. The longer range of a pair stands in the cells of its own level and the shorter one is looked up there: each
+    side goes once to its own level, and to the (at most some sixty) higher levels that the other side has. A pair is
+    kept in the first cell that both touch only, so no distinct is needed. Empty ranges and null ends meet nothing.
     """
+
+    def levelled(df: DataFrame, lo: str, hi: str) -> DataFrame:
+        size = (F.col(hi) - F.col(lo)).cast("double") / width
+        return df.where(F.col(lo) < F.col(hi)).withColumn("_own", F.greatest(F.lit(0), F.ceil(F.log2(size)).cast("int")))
+
+    def cell(c, level):
+        return F.floor(c / (F.lit(float(width)) * F.pow(F.lit(2.0), level))).cast("bigint")
+
     def cells(df: DataFrame, lo: str, hi: str) -> DataFrame:
-        first, last = F.floor(F.col(lo) / width).cast("bigint"), F.floor(F.col(hi) / width).cast("bigint")
-        return df.where(F.col(lo) < F.col(hi)).withColumn("_cell", F.explode(F.sequence(first, last)))
+        return df.withColumn("_cell", F.explode(F.sequence(cell(F.col(lo), F.col("_level")), cell(F.col(hi), F.col("_level"))))).drop("_own")
+
+    left, right = levelled(left, l_lo, l_hi), levelled(right, r_lo, r_hi)
+    levels = {side: sorted(r[0] for r in df.select("_own").distinct().collect()) for side, df in (("left", left), ("right", right))}
+    own = lambda df: df.withColumn("_level", F.col("_own"))
+
+    def raised(df: DataFrame, to: list[int], least: Column) -> DataFrame:
+        return df.withColumn("_level", F.explode(F.filter(F.array(*map(F.lit, to)).cast("array<int>"), lambda x: x >= least)))
 
-    pairs = cells(left, l_lo, l_hi).join(cells(right, r_lo, r_hi), [*(on or []), "_cell"])
-    low = F.floor(F.greatest(F.col(l_lo), F.col(r_lo)) / width).cast("bigint")
-    return pairs.where((F.col(l_lo) < F.col(r_hi)) & (F.col(r_lo) < F.col(l_hi)) & (F.col("_cell") == low)).drop("_cell")
+    keys = [*(on or []), "_level", "_cell"]
+    longer = cells(own(left), l_lo, l_hi).join(cells(raised(right, levels["left"], F.col("_own")), r_lo, r_hi), keys)
+    shorter = cells(raised(left, levels["right"], F.col("_own") + 1), l_lo, l_hi).join(cells(own(right), r_lo, r_hi), keys)
+    pairs = longer.unionByName(shorter)
+    low = cell(F.greatest(F.col(l_lo), F.col(r_lo)), F.col("_level"))
+    return pairs.where((F.col(l_lo) < F.col(r_hi)) & (F.col(r_lo) < F.col(l_hi)) & (F.col("_cell") == low)).drop("_cell", "_level")
 
 
 def full_diff(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:

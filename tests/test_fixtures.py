@@ -266,3 +266,13 @@ def test_overlap_join_counts_each_pair_once(spark):
     left, right = spark.createDataFrame(a, "x int, a_lo int, a_hi int"), spark.createDataFrame(b, "y int, b_lo int, b_hi int")
     want = sorted((x, y) for x, p, q in a for y, r, s in b if p < q and r < s and p < s and r < q)
     assert values(joins.overlap_join(left, right, "a_lo", "a_hi", "b_lo", "b_hi", 7).select("x", "y")) == want
+
+
+def test_overlap_join_of_very_long_ranges(spark):
+    """One range of 2**40 and many short ones: cells grow with the range, rows do not."""
+    rng = random.Random(7)
+    a = [(i, lo, lo + rng.choice([1, 5, 90, 2**20, 2**40])) for i in range(60) for lo in [rng.randrange(-1000, 2**41)]] + [(60, 5, 5), (61, None, 3)]
+    b = [(i, lo, lo + rng.choice([1, 7, 300, 2**30])) for i in range(60) for lo in [rng.randrange(-1000, 2**41)]] + [(60, 0, 100), (61, 20, 21)]
+    left, right = spark.createDataFrame(a, "x int, a_lo bigint, a_hi bigint"), spark.createDataFrame(b, "y int, b_lo bigint, b_hi bigint")
+    want = sorted((x, y) for x, p, q in a for y, r, s in b if p is not None and p < q and r < s and p < s and r < q)
+    assert values(joins.overlap_join(left, right, "a_lo", "a_hi", "b_lo", "b_hi", 7).select("x", "y")) == want and want
