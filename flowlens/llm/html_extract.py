@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,20 +57,32 @@ _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disclaimer|disqus|footer|gdpr|login|masthead|menu|modal|nav\w*|newsletter|notice|notification|overlay|pager|pagination|"
     r"popup|promo\w*|recommend\w*|related|reply|replies|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?=$|[\s_-])"
 )
+#: Words that may stand beside a furniture word in a name inside declared content: "related-posts" goes, "related-work" stays.
+_GENERIC = frozenset(
+    "area articles bar block bottom box button buttons container content embed footer form group header icons inline inner item items left links link list main module more nav outer page panel post posts right row section site slot "
+    "stories thread title toggle top unit widgets wrap wrapper".split()
+)
+#: Elements that end at their end tag, or hold nothing but themselves where it is missing.
+_MEDIA = frozenset("svg math iframe object canvas video audio noscript template".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)[_-]\S*")  # says what stands beside the element, not what it is
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
-def _attribute_furniture(attributes: str) -> int:
-    """FURNITURE for hidden elements and roles, _NAMED for classes and ids, else OTHER."""
+def _furniture_name(value: str) -> bool:
+    """Whether a class or id inside declared content names furniture as a whole: nothing but furniture words and generic ones."""
+    return any(_NAMES.search(token) and all(part in _GENERIC or part.isdigit() or _NAMES.fullmatch(part) for part in re.split("[-_]+", token) if part) for token in value.split())
+
+
+def _attribute_furniture(attributes: str, declared: bool = False) -> int:
+    """FURNITURE for hidden elements and roles, _NAMED for classes and ids (inside ``declared`` content whole names only), else OTHER."""
     found = OTHER
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _ROLES:
             return FURNITURE
-        if name in ("class", "id") and _NAMES.search(_LAYOUT.sub("", value)):
+        if name in ("class", "id") and (_furniture_name if declared else _NAMES.search)(_LAYOUT.sub("", value)):
             found = _NAMED
     return found
 
@@ -79,6 +92,8 @@ def page_lines(page: str) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     held: list[str] = []
     stack: list[tuple[str, int]] = []  # open elements and the mark of what stands in them
+    opened: Counter[str] = Counter()
+    endless: set[str] = set()
     mark, at = OTHER, 0
 
     def close() -> None:
@@ -88,6 +103,10 @@ def page_lines(page: str) -> list[tuple[int, str]]:
                 out.append((FURNITURE if mark == _NAMED else mark, text))
             held.clear()
 
+    def leave(depth: int) -> None:
+        opened.subtract(name for name, _ in stack[depth:])
+        del stack[depth:]
+
     while True:
         m = _TOKEN.search(page, at)
         held.append(page[at : m.start() if m else len(page)])
@@ -100,17 +119,19 @@ def page_lines(page: str) -> list[tuple[int, str]]:
         if m[1]:
             if name in _BLOCKS:
                 close()
-            for depth in range(len(stack) - 1, -1, -1):
+            for depth in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[depth][0] == name:
-                    del stack[depth:]
+                    leave(depth)
                     break
                 if stack[depth][0] in ("article", "main", "body") and name not in ("article", "main", "body", "html"):
                     break  # a stray end tag does not leave the content
             mark = stack[-1][1] if stack else OTHER
             continue
         if name in _SKIPPED:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at) if not m[3].endswith("/") else None
-            at = end.end() if end else at if name == "head" or m[3].endswith("/") else len(page)
+            end = re.compile(rf"</{name}\s*>", re.I).search(page, at) if not m[3].endswith("/") and name not in endless else None
+            if end is None and not m[3].endswith("/"):
+                endless.add(name)  # none from here on either
+            at = end.end() if end else at if name == "head" or name in _MEDIA or m[3].endswith("/") else len(page)
             continue
         if name == "br":
             held.append(" ")
@@ -118,11 +139,11 @@ def page_lines(page: str) -> list[tuple[int, str]]:
         if name in _BLOCKS:
             close()
             while stack and name in _CLOSED_BY.get(stack[-1][0], ()):
-                stack.pop()
-            if name in _CLOSED_BY["p"] and any(s == "p" for s, _ in stack):  # a block ends an open paragraph and what it holds
-                depth = max(i for i, (s, _) in enumerate(stack) if s == "p")
-                if all(s not in _BLOCKS for s, _ in stack[depth + 1 :]):
-                    del stack[depth:]
+                leave(len(stack) - 1)
+            # a block ends an open paragraph and what it holds
+            nearest = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in _BLOCKS), -1) if opened["p"] > 0 else -1
+            if nearest >= 0 and stack[nearest][0] == "p":
+                leave(nearest)
             mark = stack[-1][1] if stack else OTHER
         if name in _VOID or m[3].endswith("/"):
             continue
@@ -131,16 +152,16 @@ def page_lines(page: str) -> list[tuple[int, str]]:
             if mark in (OTHER, MAIN) or mark == _NAMED and _attribute_furniture(m[3]) == OTHER:
                 inside = MAIN
         elif inside != FURNITURE:
-            by = FURNITURE if name in _FURNITURE or name == "header" and mark != MAIN else _attribute_furniture(m[3]) if name not in ("body", "html") else OTHER
+            # a form may stand around a whole page: an article in it is content
+            by = _NAMED if name == "form" else FURNITURE if name in _FURNITURE or name == "header" and mark != MAIN else _attribute_furniture(m[3], mark == MAIN) if name not in ("body", "html") else OTHER
             if by != OTHER:
                 inside = FURNITURE if mark == MAIN else min(mark, by) if mark == _NAMED else by
         if name in _BLOCKS or inside != mark:
             if inside != mark:
                 close()
-            stack.append((name, inside))
             mark = inside
-        else:
-            stack.append((name, mark))
+        stack.append((name, mark))
+        opened[name] += 1
     close()
     return out
 

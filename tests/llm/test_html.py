@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -146,3 +147,33 @@ def test_against_brute_force(spark):
     assert got == plain_text(pages)
     alone = {r.page_id: r.main_text for r in h.main_text(df.where("page_id = 0")).collect()}
     assert alone[0] != got[0]  # without neighbours nothing is shared
+
+
+def kept(page):
+    return [text for mark, text in h.page_lines(page) if mark != h.FURNITURE]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<form id=aspnetForm><div>menu</div><article><p>A</p></article><footer>f</footer></form>", ["A"]),
+        ("<article><p>A</p><form><p>Name</p></form></article>", ["A"]),
+        ("<article><p>A</p><section id=related-work><p>Related work</p></section></article>", ["A", "Related work"]),
+        ("<article><div class=share-price><p>Up</p></div><p class=navigation-systems>GPS</p><div class=reply-all-bug>Mail</div></article>", ["Up", "GPS", "Mail"]),
+        ("<article><p>A</p><div class='related-posts'>R</div><ul class='social share-buttons'><li>S</ul><div class='post ad-slot-2'>Buy</div><section id=comments>C</section></article>", ["A"]),
+        ("<article><p>A</p><video src=x><p>Body</p></article>", ["A", "Body"]),
+        ("<article><p>A</p><object data=y><p>Body</p><object></article>", ["A", "Body"]),
+        ("<article><p>A</p><video src=x>no player</video><p>Body</p></article>", ["A", "Body"]),
+        ("<article><p>A</p><script>x<p>y</p></article>", ["A"]),
+        ("<article><p>one<b>two<div>three</div></b></article>", ["onetwo", "three"]),
+    ],
+)
+def test_pages_that_lost_their_article(page, want):
+    assert kept(page) == want
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<p><span>", "<span>x</b>", "<video>", "<div></span>", "<article><div>"])
+def test_deep_nesting_takes_linear_time(unit):
+    began = time.process_time()
+    h.page_lines(unit * 100_000 + "<p>end")
+    assert time.process_time() - began < 5
