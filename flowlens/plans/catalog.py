@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions import scalars as fn
-from flowlens.operators import coverage, faults, joins, profiles, sequences, sets
+from flowlens.operators import bitsets, coverage, faults, joins, profiles, sequences, sets
 from flowlens.operators.fixpoint import shared_folder
 from flowlens.plans import views
 from flowlens.plans.registry import Tables, query
@@ -382,6 +382,19 @@ def bitset(t: Tables) -> DataFrame:
     return sets.bit_counts(t.lineitem, "l_suppkey", "l_partkey")
 
 
+@query("""WITH s AS (SELECT l_suppkey AS owner, l_partkey AS item, bool_or(l_returnflag = 'R') AS a, bool_or(l_returnflag = 'A') AS b FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2)
+  SELECT owner, count(*)::BIGINT AS n_union, count(*) FILTER (WHERE a AND b)::BIGINT AS n_both, count(*) FILTER (WHERE a AND NOT b)::BIGINT AS n_left, count(*) FILTER (WHERE b AND NOT a)::BIGINT AS n_new, sum(CASE WHEN b AND NOT a THEN item END)::BIGINT AS new_items FROM s GROUP BY 1""")
+def bitset_ops(t: Tables) -> DataFrame:
+    """Sets of the parts that each supplier saw returned and accepted: united, met, reset, and tested while set."""
+    of = lambda flag: t.lineitem.where(F.col("l_returnflag") == flag).select(F.col("l_suppkey").alias("owner"), F.col("l_partkey").alias("item"))
+    a, b = bitsets.packed(of("R"), "owner", "item"), bitsets.packed(of("A"), "owner", "item")
+    both, new = bitsets.test_and_set(a, of("A"))
+    named = lambda df, name: bitsets.counts(df).withColumnRenamed("n", name)
+    out = named(both, "n_union").join(named(bitsets.intersection(a, b), "n_both"), "owner", "left").join(named(bitsets.difference(a, b), "n_left"), "owner", "left")
+    out = out.join(new.groupBy("owner").agg(F.count("*").alias("n_new"), F.sum("item").alias("new_items")), "owner", "left")
+    return out.fillna(0, ["n_both", "n_left", "n_new"])
+
+
 @query("""SELECT o_custkey, max(o_orderkey) AS top_key, max_by(o_orderpriority, o_orderkey) AS top_value, min_by(o_orderstatus, o_orderkey) AS added FROM orders GROUP BY 1""")
 def map_ops(t: Tables) -> DataFrame:
     """Persistent maps: adding, looking up, the largest element."""

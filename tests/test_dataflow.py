@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from flowlens.operators import constraints, dataflow, pointsto, taint
+from flowlens.operators import bitsets, constraints, dataflow, pointsto, taint
 
 
 def values(df):
@@ -117,3 +117,17 @@ def test_offsets(spark):
 def test_a_global_that_an_argument_reaches_escapes(spark):
     pointing = spark.createDataFrame([("a", "G"), ("G", "heap"), ("ptr", "local")], "var string, obj string")
     assert values(pointsto.escaped(pointing, spark.createDataFrame([("a",)], "var string"))) == [("G",), ("heap",)]
+
+
+def test_bit_sets(spark):
+    two = lambda rows: spark.createDataFrame(rows, "owner string, item bigint")
+    rows = [("v", 5), ("v", 5), ("v", 63), ("v", 64), ("v", -1), ("w", 2**40), ("v", None), (None, 3)]
+    v = bitsets.packed(two(rows), "owner", "item")
+    assert values(bitsets.members(v)) == [("v", -1), ("v", 5), ("v", 63), ("v", 64), ("w", 2**40)] and values(bitsets.counts(v)) == [("v", 4), ("w", 1)]
+    assert values(bitsets.tested(v, two([("v", 5), ("v", 17), ("v", -1), ("x", 5)]))) == [("v", -1, True), ("v", 5, True), ("v", 17, False), ("x", 5, False)]
+    less = bitsets.difference(v, bitsets.packed(two([("v", 5), ("v", 6), ("w", 2**40)]), "owner", "item"))
+    assert values(bitsets.members(less)) == [("v", -1), ("v", 63), ("v", 64)]
+    more, new = bitsets.test_and_set(less, two([("v", 17), ("v", 17), ("v", 63)]))
+    assert values(new) == [("v", 17)] and values(bitsets.test_and_set(more, two([("v", 17)]))[1]) == []
+    assert values(bitsets.members(bitsets.intersection(more, v))) == [("v", -1), ("v", 63), ("v", 64)]
+    assert bitsets.counts(bitsets.packed(two([]), "owner", "item")).count() == 0
