@@ -1,7 +1,5 @@
 """Scalar, list and bit functions as column expressions."""
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,20 +84,16 @@ def override(*levels: Column) -> Column:
     return F.coalesce(*reversed(levels))
 
 
-def _double_hash(values: pd.Series) -> pd.Series:
-    def one(raw):
-        if raw is None:
-            return None
-        with np.errstate(over="ignore"):
-            add = mul = np.uint64(0)
-            for b in np.frombuffer(bytes(raw), dtype=np.uint8).astype(np.uint64):
-                add = add * np.uint64(11) + b
-                mul = mul * np.uint64(7) ^ b
-        return f"{int(add)}{int(mul)}"
-
-    return values.map(one)
-
-
 def double_hash(items: Column) -> Column:
     """Additive and multiplicative hashes of bytes, wrapping at 64 bits, as two decimal numbers joined."""
-    return F.pandas_udf(_double_hash, "string")(items)
+    wide = "decimal(20,0)"
+    codes = F.transform(F.regexp_extract_all(F.hex(items), F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("int"))
+    wrapped = lambda x: F.pmod(x, F.lit(str(1 << 64)).cast("decimal(22,0)")).cast(wide)
+    add = F.aggregate(codes, F.lit(0).cast(wide), lambda h, b: wrapped(h * 11 + b))
+
+    def step(h: Column, b: Column) -> Column:
+        product = wrapped(h * 7)
+        low = F.pmod(product, F.lit(256)).cast("int")  # an exclusive or with a byte changes the last eight bits only
+        return (product - low + low.bitwiseXOR(b)).cast(wide)
+
+    return F.concat(add.cast("string"), F.aggregate(codes, F.lit(0).cast(wide), step).cast("string"))

@@ -565,3 +565,29 @@ def results_file(t: Tables) -> DataFrame:
     body = t.supplier.groupBy("s_nationkey").agg(F.array_join(F.collect_list(line), "\n").alias("lines")).select(F.concat(F.lit("head\nhead\n"), "lines").alias("value"), "s_nationkey")
     body.repartition("s_nationkey").write.option("lineSep", "\n").partitionBy("s_nationkey").text(path)
     return readers.read_results(t.spark, f"{path}/*").select(F.col("test").cast("bigint").alias("test"), "fails_at", "rank_raw", "total")
+
+
+@query("SELECT source, sum(len(string_split(text, chr(10))))::BIGINT AS n_lines FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def line_sum(t: Tables) -> DataFrame:
+    """Lines summed over the files of each source."""
+    return t.documents.where("text IS NOT NULL").groupBy("source").agg(F.sum(F.size(F.split("text", "\n"))).cast("bigint").alias("n_lines"))
+
+
+@query("SELECT l_orderkey, array_to_string(list_sort(list(l_partkey)), ' ') AS parts FROM lineitem GROUP BY 1")
+def sorted_list(t: Tables) -> DataFrame:
+    """The parts of each order as a sorted list, repeated ones included."""
+    return t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list("l_partkey")).cast("array<string>"), " ").alias("parts"))
+
+
+@query("SELECT p_partkey, abs(p_retailprice - round(p_retailprice)) <= greatest(0.3, abs(round(p_retailprice)) * 0.0004) AS same FROM part")
+def float_close(t: Tables) -> DataFrame:
+    """Prices that equal whole ones within an absolute or a relative tolerance."""
+    return t.part.select("p_partkey", fn.close(F.col("p_retailprice"), F.round("p_retailprice"), 0.3, 0.0004).alias("same"))
+
+
+@query("""WITH b AS (SELECT p_partkey, [ord(x)::HUGEINT FOR x IN string_split(p_name, '')] AS b FROM part)
+  SELECT p_partkey, list_reduce(b, lambda h, x: (h * 11 + x) % 18446744073709551616, 0::HUGEINT)::VARCHAR
+    || list_reduce(b, lambda h, x: (h * 7) % 18446744073709551616 - (h * 7) % 256 + xor(((h * 7) % 256)::INTEGER, x::INTEGER), 0::HUGEINT)::VARCHAR AS hash FROM b""")
+def unit_hash(t: Tables) -> DataFrame:
+    """Double hashes of byte units."""
+    return t.part.select("p_partkey", fn.double_hash(F.col("p_name").cast("binary")).alias("hash"))

@@ -12,6 +12,7 @@ from flowlens.operators.fixpoint import shared_folder
 from flowlens.plans import views
 from flowlens.plans.registry import Tables, query
 from flowlens.plans.views import with_views
+from flowlens.sources import sinks
 from flowlens.streaming import traces
 
 _CLOSURE = ", cl AS (SELECT src, dst FROM trade UNION SELECT cl.src, e.dst FROM cl JOIN trade e ON cl.dst = e.src)"
@@ -35,6 +36,22 @@ def reach(t: Tables) -> DataFrame:
     return graph.reach(views.trade(t), _nation(t, 0)).select("node")
 
 
+@query(with_views("trade", """, r AS (SELECT 0::BIGINT AS node UNION SELECT e.dst FROM r JOIN trade e ON r.node = e.src)
+  SELECT node, n_name AS callee FROM r JOIN nation ON node = n_nationkey WHERE contains(n_name, 'A')""", True))
+def call_search(t: Tables) -> DataFrame:
+    """Call nodes ahead of a start whose callee's name holds a text."""
+    named = t.nation.where(F.col("n_name").contains("A")).select(F.col("n_nationkey").cast("bigint").alias("node"), F.col("n_name").alias("callee"))
+    return graph.reach(views.trade(t), _nation(t, 0)).join(named, "node").select("node", "callee")
+
+
+@query(with_views("trade", "SELECT to_json({'node': n_nationkey::BIGINT, 'to': coalesce((SELECT list(dst ORDER BY dst) FROM trade WHERE src = n_nationkey), [])})::VARCHAR AS line FROM nation"))
+def graph_json(t: Tables) -> DataFrame:
+    """A graph as one line of JSON for each node, written and read back."""
+    at = f"{shared_folder(t.spark)}/json-{uuid.uuid4().hex}"
+    sinks.graph_json(_nodes(t), views.trade(t)).write.text(at)
+    return t.spark.read.text(at).select(F.col("value").alias("line"))
+
+
 @query(with_views("trade", ", r AS (SELECT 1::BIGINT AS node UNION SELECT e.src FROM r JOIN trade e ON r.node = e.dst) SELECT node FROM r", True))
 def reach_back(t: Tables) -> DataFrame:
     """Which nodes reach a demanded one."""
