@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -487,6 +488,14 @@ def dot_roundtrip(t: Tables) -> DataFrame:
     return readers.read_dot(sinks.dot_lines(views.trade(t)))[1]
 
 
+@query("SELECT s_suppkey::VARCHAR AS name, s_name || '|' || s_acctbal AS label FROM supplier")
+def dot_nodes(t: Tables) -> DataFrame:
+    """Nodes with their labels, written as DOT lines among edges and read again."""
+    rows = t.supplier.select(F.col("s_suppkey").alias("name"), F.concat(F.lit("{"), "s_name", F.lit("|"), F.col("s_acctbal").cast("string"), F.lit("}")).alias("label"))
+    edges = t.supplier.select(F.col("s_suppkey").alias("src"), F.col("s_nationkey").alias("dst"))
+    return readers.read_dot(sinks.dot_nodes(rows).union(sinks.dot_lines(edges)))[0]
+
+
 _MACRO = """CASE event_type WHEN 'signup' THEN '  MacroNameTok: M' || event_id WHEN 'click' THEN '  Range: ["f' || user_id || '.c:' || event_id || ':1", "x"]'
   WHEN 'view' THEN '  ConditionRange: ["c.c:1:1", "c.c:1:2"]' ELSE '  Range: ["(nonfile)", "(nonfile)"]' END"""
 
@@ -556,6 +565,31 @@ def profile_file(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path)
 
 
+@query("""SELECT (CASE WHEN l_orderkey % 4 < 2 THEN 64 ELSE 32 END)::INTEGER AS width, CASE WHEN l_orderkey % 2 = 0 THEN 'little' ELSE 'big' END AS "order", 'f' || l_orderkey AS fn,
+  (9223372036854775808::DECIMAL(20, 0) + l_orderkey)::DECIMAL(20, 0) AS hash, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)::BIGINT AS pos, l_partkey::DECIMAL(20, 0) AS v FROM lineitem""")
+def raw_profile_file(t: Tables) -> DataFrame:
+    """Orders as functions and their lines as counters, written as raw binary profiles of both widths and byte orders, and read again."""
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))["l_partkey"]
+    hashed = (F.lit("9223372036854775808").cast("decimal(20,0)") + F.col("l_orderkey").cast("decimal(20,0)")).cast("decimal(20,0)")
+    rows = t.lineitem.groupBy("l_orderkey").agg(lines.alias("counters")).select("l_orderkey", F.concat(F.lit("f"), F.col("l_orderkey").cast("string")).alias("fn"), hashed.alias("hash"), "counters")
+    out = []
+    for i, (width, order) in enumerate((w, o) for w in (64, 32) for o in ("little", "big")):
+        path = _file(t, "raw")
+        sinks.write_raw_profile(rows.where(F.col("l_orderkey") % 4 == i), path, width, order)
+        found = readers.read_raw_profiles(t.spark, path).where("error IS NULL")
+        out.append(found.select(F.lit(width).alias("width"), F.lit(order).alias("order"), "fn", "hash", F.posexplode("counters").alias("pos", "v")).withColumn("pos", (F.col("pos") + 1).cast("bigint")))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("SELECT s_nationkey AS nation, sum(strlen(s_name) + 1)::BIGINT AS n_bytes FROM supplier GROUP BY 1")
+def unit_files(t: Tables) -> DataFrame:
+    """Every file of a directory tree as bytes: names written as one folder for each nation."""
+    path = _file(t, "units")
+    t.supplier.select("s_nationkey", F.col("s_name").alias("value")).write.partitionBy("s_nationkey").text(path)
+    nation = F.regexp_extract("path", r"s_nationkey=(\d+)", 1).cast("int").alias("nation")
+    return readers.read_units(t.spark, f"{path}/*").groupBy(nation).agg(F.sum(F.octet_length("content")).cast("bigint").alias("n_bytes"))
+
+
 @query("""SELECT s_suppkey AS test, (s_suppkey % 9)::VARCHAR AS fails_at, CASE WHEN s_suppkey % 5 = 0 THEN '>' ELSE '' END || s_nationkey AS rank_raw, (s_nationkey + 1)::BIGINT AS total FROM supplier""")
 def results_file(t: Tables) -> DataFrame:
     """Tab-separated results after two header lines, written as one file for each nation and read again."""

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.operators.sequences import carry_forward
+from flowlens.sources import raw_profiles
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -86,50 +84,6 @@ def read_units(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def _raw_profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for path, raw in zip(batch["path"], batch["content"], strict=True):
-            for fn, key, counters, error in _raw_profile(bytes(raw)):
-                rows.append((path, fn, key, counters, error))
-        yield pd.DataFrame(rows, columns=["path", "fn", "hash", "counters", "error"])
-
-
-def _raw_profile(raw: bytes) -> list[tuple]:
-    """Records of one raw profile: a magic number that tells width and byte order, five header words (version,
-    records, counters, size of names, addresses of counters and names follow), records, counters, names."""
-    import struct
-
-    for order in "<>":
-        for wide, mark in ((True, 0x72), (False, 0x52)):
-            if len(raw) >= 8 and struct.unpack(order + "Q", raw[:8])[0] == int.from_bytes(bytes([255, 0x6C, 0x70, 0x72, 0x6F, 0x66, mark, 129]), "big"):
-                break
-        else:
-            continue
-        break
-    else:
-        return [(None, None, None, "bad magic")]
-    if len(raw) < 56:
-        return [(None, None, None, "truncated header")]
-    _, records, counts, names, counters_at, names_at = struct.unpack(order + "6Q", raw[8:56])
-    word, size = ("Q", 8) if wide else ("I", 4)
-    record = struct.Struct(order + "IIQ" + word * 2)
-    base = 56 + record.size * records
-    if len(raw) < base + 8 * counts + names:
-        return [(None, None, None, "truncated data")]
-    out = []
-    for i in range(records):
-        length, n, key, name_at, counter_at = record.unpack_from(raw, 56 + record.size * i)
-        first, text = (counter_at - counters_at) // 8, base + 8 * counts + name_at - names_at
-        if first < 0 or first + n > counts or text < 0 or text + length > len(raw):
-            out.append((None, None, None, "malformed record"))
-            continue
-        values = struct.unpack_from(f"{order}{n}Q", raw, base + 8 * first)
-        out.append((raw[text : text + length].decode("utf-8", "replace"), str(key), [str(v) for v in values], None))
-    return out
-
-
 def read_raw_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """(path, fn, hash, counters, error) of raw binary profiles; counters are unsigned and come as decimals."""
-    out = read_units(spark, path).mapInPandas(_raw_profiles, "path string, fn string, hash string, counters array<string>, error string")
-    return out.select("path", "fn", F.col("hash").cast("decimal(20,0)").alias("hash"), F.col("counters").cast("array<decimal(20,0)>").alias("counters"), "error")
+    """(path, fn, hash, counters, error) of raw binary profiles; numbers are unsigned and come as decimals."""
+    return raw_profiles.register(spark).read.format("rawprofile").load(path)

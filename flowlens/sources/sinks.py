@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.sources import raw_profiles
+
 
 def write_constraint_sets(sections: DataFrame, path: str) -> None:
     """The explicit and the implicit constraint set (which holds the explicit one) under two folders."""
@@ -21,6 +23,11 @@ def dot_lines(edges: DataFrame) -> DataFrame:
     return edges.select(F.format_string('"%s" -> "%s";', F.col("src").cast("string"), F.col("dst").cast("string")).alias("line"))
 
 
+def dot_nodes(nodes: DataFrame) -> DataFrame:
+    """(line): one DOT line for each of ``nodes(name, label)``."""
+    return nodes.select(F.format_string('"%s" [shape=record,label="%s"];', F.col("name").cast("string"), "label").alias("line"))
+
+
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(line): one JSON object for each node with its successors."""
     after = edges.groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_list("dst")).alias("to"))
@@ -35,6 +42,13 @@ def write_profile(counters: DataFrame, path: str) -> None:
     counters.write.mode("overwrite").parquet(path)
 
 
+def write_raw_profile(counters: DataFrame, path: str, width: int = 64, order: str = "little", mode: str = "overwrite") -> None:
+    """``counters(fn, hash, counters)`` as raw binary profiles of one width and byte order."""
+    rows = counters.select("fn", F.col("hash").cast("decimal(20,0)").alias("hash"), F.col("counters").cast("array<decimal(20,0)>").alias("counters"))
+    raw_profiles.register(counters.sparkSession)
+    rows.write.format("rawprofile").mode(mode).option("width", width).option("order", order).save(path)
+
+
 def write_points(curve: DataFrame, path: str) -> None:
     """``x y`` lines of a curve."""
     curve.orderBy("x").write.mode("overwrite").csv(path, sep=" ")
