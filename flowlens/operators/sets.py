@@ -52,3 +52,11 @@ def accessed_fields(accesses: DataFrame) -> DataFrame:
     shared = accesses.groupBy("field").agg((F.count_distinct("domain") > 1).alias("shared"))
     each = accesses.select("fn", "domain", "field").distinct().join(shared, "field")
     return each.groupBy("fn", "domain").agg(F.array_sort(F.collect_list("field")).alias("fields"), F.count_if("shared").alias("n_shared"))
+
+
+def wild_casts(casts: DataFrame, embeds: DataFrame, untyped: tuple[str, ...] = ("void",)) -> DataFrame:
+    """Those of ``casts(..., src, dst)`` between two different types of which neither is the other's first member
+    (``embeds(outer, first)``) and neither is untyped. A cast from or to an unknown (null) type is not judged."""
+    both = casts.where("src <> dst").where(~F.col("src").isin(*untyped) & ~F.col("dst").isin(*untyped))
+    pair = embeds.select("outer", "first").union(embeds.select("first", "outer")).distinct()
+    return both.join(pair, (F.col("src") == F.col("outer")) & (F.col("dst") == F.col("first")), "left_anti")

@@ -53,6 +53,18 @@ def report(sites: DataFrame, tainted: DataFrame, whitelist: DataFrame | None = N
     return out if whitelist is None else out.join(whitelist.select("elem_id"), "elem_id", "left_anti")
 
 
+def report_by_kind(sites: DataFrame, tainted: DataFrame, whitelist: DataFrame) -> DataFrame:
+    """``report`` where pointers and other values have whitelists of their own: an entry of ``whitelist(elem_id, pointer)`` exempts
+    those of ``sites(..., elem_id, pointer)`` that agree with it in both; a site of unknown kind is exempt under no entry."""
+    return sites.join(tainted.select("elem_id"), "elem_id", "left_semi").join(whitelist.select("elem_id", "pointer"), ["elem_id", "pointer"], "left_anti")
+
+
+def mediators(values: DataFrame, tainted: DataFrame) -> DataFrame:
+    """(fn, n_values): functions that hold values that depend on the input, and how many different ones, of ``values(fn, elem_id)``."""
+    held = values.join(tainted.select("elem_id"), "elem_id", "left_semi").select("fn", "elem_id").distinct()
+    return held.groupBy("fn").agg(F.count("*").alias("n_values"))
+
+
 def apply_summaries(calls: DataFrame, tree: DataFrame) -> DataFrame:
     """(node_id, access): memory copies write the fields of their destination and read those of their source.
 

@@ -12,7 +12,7 @@ from flowlens.functions import scalars as fn
 from flowlens.operators import bitsets, coverage, faults, joins, profiles, sequences, sets
 from flowlens.operators.fixpoint import shared_folder
 from flowlens.plans import views
-from flowlens.plans.registry import Tables, query
+from flowlens.plans.registry import Tables, query, requires
 from flowlens.plans.views import with_views
 from flowlens.sources import readers, sinks
 
@@ -66,6 +66,7 @@ def count_if(t: Tables) -> DataFrame:
 
 
 @query(with_views("trade", "SELECT src, dst, a.n_name AS src_name, b.n_name AS dst_name FROM trade JOIN nation a ON src = a.n_nationkey JOIN nation b ON dst = b.n_nationkey"))
+@requires("trade")
 def join_inner(t: Tables) -> DataFrame:
     names = t.nation.select(F.col("n_nationkey").cast("bigint").alias("k"), "n_name")
     out = views.trade(t).join(names.select(F.col("k").alias("src"), F.col("n_name").alias("src_name")), "src").join(names.select(F.col("k").alias("dst"), F.col("n_name").alias("dst_name")), "dst")
@@ -373,6 +374,15 @@ def shared_fields(t: Tables) -> DataFrame:
     return side("R").intersect(side("N"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem l
+  WHERE l_suppkey <> 0 AND NOT EXISTS (SELECT 1 FROM lineitem e WHERE e.l_quantity >= 45 AND e.l_partkey = l.l_partkey AND e.l_suppkey = l.l_suppkey)""")
+def wild_casts(t: Tables) -> DataFrame:
+    """Casts from a part to a supplier, where a large lot says that the part begins with that supplier; one supplier is untyped."""
+    part, supplier = F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    casts = t.lineitem.select("l_orderkey", "l_linenumber", part.alias("src"), supplier.alias("dst"))
+    return sets.wild_casts(casts, t.lineitem.where("l_quantity >= 45").select(part.alias("outer"), supplier.alias("first")), ("s0",))
+
+
 @query("""WITH s AS (SELECT o_custkey, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS members FROM orders GROUP BY 1) SELECT o_custkey, members, dense_rank() OVER (ORDER BY members)::BIGINT AS set_id FROM s""")
 def set_intern(t: Tables) -> DataFrame:
     return sets.intern(t.orders, "o_custkey", "o_orderpriority").select("o_custkey", F.array_join("members", ",").alias("members"), "set_id")
@@ -483,6 +493,7 @@ def policy_text(t: Tables) -> DataFrame:
 
 
 @query(with_views("trade", "SELECT src::VARCHAR AS src, dst::VARCHAR AS dst, 1::BIGINT AS n FROM trade"))
+@requires("trade")
 def dot_roundtrip(t: Tables) -> DataFrame:
     """Edges written as DOT lines and read again."""
     return readers.read_dot(sinks.dot_lines(views.trade(t)))[1]
@@ -533,6 +544,7 @@ def _file(t: Tables, name: str) -> str:
 
 
 @query(with_views("trade", "SELECT src, dst, (src - dst)::BIGINT AS \"offset\", 'copy' AS edge FROM trade"))
+@requires("trade")
 def points_file(t: Tables) -> DataFrame:
     """A points-to graph file, written and read again."""
     path = _file(t, "graph")

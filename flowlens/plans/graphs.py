@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowlens.operators import constraints as rules, dataflow, graph, pointsto, taint
 from flowlens.operators.fixpoint import shared_folder
 from flowlens.plans import views
-from flowlens.plans.registry import Tables, query
+from flowlens.plans.registry import Tables, analysis, query, requires
 from flowlens.plans.views import with_views
 from flowlens.sources import sinks
 from flowlens.streaming import traces
@@ -27,17 +27,20 @@ def _nation(t: Tables, *keys: int) -> DataFrame:
 
 
 @query(with_views("trade", _CLOSURE + " SELECT src, dst FROM cl", True))
+@requires("trade")
 def closure(t: Tables) -> DataFrame:
     return graph.closure(views.trade(t))
 
 
 @query(with_views("trade", ", r AS (SELECT 0::BIGINT AS node UNION SELECT e.dst FROM r JOIN trade e ON r.node = e.src) SELECT node FROM r", True))
+@requires("trade")
 def reach(t: Tables) -> DataFrame:
     return graph.reach(views.trade(t), _nation(t, 0)).select("node")
 
 
 @query(with_views("trade", """, r AS (SELECT 0::BIGINT AS node UNION SELECT e.dst FROM r JOIN trade e ON r.node = e.src)
   SELECT node, n_name AS callee FROM r JOIN nation ON node = n_nationkey WHERE contains(n_name, 'A')""", True))
+@requires("trade")
 def call_search(t: Tables) -> DataFrame:
     """Call nodes ahead of a start whose callee's name holds a text."""
     named = t.nation.where(F.col("n_name").contains("A")).select(F.col("n_nationkey").cast("bigint").alias("node"), F.col("n_name").alias("callee"))
@@ -45,6 +48,7 @@ def call_search(t: Tables) -> DataFrame:
 
 
 @query(with_views("trade", "SELECT to_json({'node': n_nationkey::BIGINT, 'to': coalesce((SELECT list(dst ORDER BY dst) FROM trade WHERE src = n_nationkey), [])})::VARCHAR AS line FROM nation"))
+@requires("trade")
 def graph_json(t: Tables) -> DataFrame:
     """A graph as one line of JSON for each node, written and read back."""
     at = f"{shared_folder(t.spark)}/json-{uuid.uuid4().hex}"
@@ -53,6 +57,7 @@ def graph_json(t: Tables) -> DataFrame:
 
 
 @query(with_views("trade", ", r AS (SELECT 1::BIGINT AS node UNION SELECT e.src FROM r JOIN trade e ON r.node = e.dst) SELECT node FROM r", True))
+@requires("trade")
 def reach_back(t: Tables) -> DataFrame:
     """Which nodes reach a demanded one."""
     return graph.reach(graph.reversed_edges(views.trade(t)), _nation(t, 1)).select("node")
@@ -60,6 +65,7 @@ def reach_back(t: Tables) -> DataFrame:
 
 @query(with_views("trade", _CLOSURE + """, p AS (SELECT a.n_nationkey::BIGINT AS src, (a.n_nationkey * 7 % 25)::BIGINT AS dst FROM nation a)
   SELECT src, dst FROM p WHERE src = dst OR EXISTS (SELECT 1 FROM cl WHERE cl.src = p.src AND cl.dst = p.dst)""", True))
+@requires("trade")
 def can_reach(t: Tables) -> DataFrame:
     """Which of the demanded pairs a path joins."""
     return graph.can_reach(views.trade(t), _nodes(t).select(F.col("node").alias("src"), (F.col("node") * 7 % 25).alias("dst")))
@@ -67,34 +73,40 @@ def can_reach(t: Tables) -> DataFrame:
 
 @query(with_views("trade", """, f AS (SELECT 2::BIGINT AS node UNION SELECT e.dst FROM f JOIN trade e ON f.node = e.src),
   b AS (SELECT 5::BIGINT AS node UNION SELECT e.src FROM b JOIN trade e ON b.node = e.dst) SELECT node FROM f INTERSECT SELECT node FROM b""", True))
+@requires("trade")
 def between(t: Tables) -> DataFrame:
     return graph.between(views.trade(t), _nation(t, 2), _nation(t, 5))
 
 
 @query(with_views("trade", """, p AS (SELECT [src, dst] AS path FROM trade WHERE src = 7 UNION ALL SELECT list_append(path, dst) FROM p JOIN trade ON path[len(path)] = src WHERE NOT list_contains(path, dst) AND len(path) < 4)
   SELECT array_to_string(path, '>') AS path FROM p WHERE path[len(path)] = 14""", True))
+@requires("trade")
 def simple_paths(t: Tables) -> DataFrame:
     return graph.simple_paths(views.trade(t), _nation(t, 7), _nation(t, 14), max_length=3).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
 @query(with_views("trade", _CLOSURE + """, n AS (SELECT src AS node FROM trade UNION SELECT dst FROM trade)
   SELECT node, least(node, coalesce((SELECT min(a.dst) FROM cl a JOIN cl b ON a.src = b.dst AND a.dst = b.src WHERE a.src = node), node))::BIGINT AS scc FROM n""", True))
+@requires("trade")
 def scc(t: Tables) -> DataFrame:
     return graph.strong_components(views.trade(t))
 
 
 @query(with_views("trade", "SELECT n_nationkey::BIGINT AS node FROM nation WHERE n_nationkey NOT IN (SELECT dst FROM trade)"))
+@requires("trade")
 def roots(t: Tables) -> DataFrame:
     return graph.roots(_nodes(t), views.trade(t))
 
 
 @query(with_views("trade", """, f AS (SELECT n_nationkey::BIGINT AS node, n_regionkey::BIGINT AS fact FROM nation UNION SELECT e.src, f.fact FROM f JOIN trade e ON f.node = e.dst) SELECT node, fact FROM f""", True))
+@requires("trade")
 def bottom_up(t: Tables) -> DataFrame:
     facts = t.nation.select(F.col("n_nationkey").cast("bigint").alias("node"), F.col("n_regionkey").cast("bigint").alias("fact"))
     return graph.bottom_up(views.trade(t), facts)
 
 
 @query(with_views("trade", """, f AS (SELECT n_nationkey::BIGINT AS node, n_regionkey::BIGINT AS fact FROM nation WHERE n_nationkey % 6 = 0 UNION SELECT e.dst, f.fact FROM f JOIN trade e ON f.node = e.src) SELECT node, fact FROM f""", True))
+@requires("trade")
 def top_down(t: Tables) -> DataFrame:
     """Facts of callers at all their callees."""
     facts = t.nation.where("n_nationkey % 6 = 0").select(F.col("n_nationkey").cast("bigint").alias("node"), F.col("n_regionkey").cast("bigint").alias("fact"))
@@ -112,11 +124,13 @@ def virtual_call(t: Tables) -> DataFrame:
 
 
 @query(with_views("trade", ", r AS (SELECT unnest([4, 9])::BIGINT AS node UNION SELECT e.dst FROM r JOIN trade e ON r.node = e.src) SELECT node FROM r", True))
+@requires("trade")
 def wrapper_fix(t: Tables) -> DataFrame:
     return graph.wrappers(views.trade(t), _nation(t, 4, 9)).select("node")
 
 
 @query(with_views("trade", _CLOSURE + " SELECT src, count(*)::BIGINT AS n_sinks FROM cl WHERE dst % 5 = 0 GROUP BY 1 HAVING count(*) >= 2", True))
+@requires("trade")
 def multi_sink(t: Tables) -> DataFrame:
     return graph.multi_sink(views.trade(t), _nodes(t), _nodes(t).where("node % 5 = 0"))
 
@@ -126,6 +140,7 @@ def multi_sink(t: Tables) -> DataFrame:
   st AS (SELECT k.name, k.label FROM k LEFT JOIN k s ON k.sole = s.name WHERE (k.n = 0 AND NOT k.m) OR (k.n = 1 AND s.n = 0 AND s.m)),
   r AS (SELECT label, name AS node FROM st UNION SELECT r.label, c.dst FROM r JOIN c ON r.node = c.src)
   SELECT DISTINCT label, 'CONST[' || node || ']' AS const_name FROM r WHERE node % 3 = 0""", True))
+@requires("trade")
 def violation(t: Tables) -> DataFrame:
     named = lambda c: F.when(F.col(c) % 3 == 0, F.concat(F.lit("CONST["), F.col(c).cast("string"), F.lit("]"))).otherwise(F.col(c).cast("string"))
     label = F.when(F.col("n_nationkey") % 4 == 0, F.concat(F.lit("*SummSource*"), "n_name")).otherwise(F.col("n_name"))
@@ -134,6 +149,7 @@ def violation(t: Tables) -> DataFrame:
 
 
 @query(with_views("flow", "SELECT lhs, rhs, kind, section FROM flow"))
+@requires("flow")
 def constraints(t: Tables) -> DataFrame:
     return views.flow(t).select("lhs", "rhs", "kind", "section")
 
@@ -149,33 +165,39 @@ _POINTS = """, f(k, a, b) USING KEY (k, a, b) AS (
   pts AS (SELECT a AS var, b AS obj FROM f WHERE k = 'p')"""
 
 
-def _pointing(t: Tables) -> DataFrame:
+@analysis
+@requires("stmt")
+def pointing(t: Tables) -> DataFrame:
+    """(var, obj): points-to sets of all statements."""
     s = views.stmt(t)
     of = lambda kind, dst, src: s.where(F.col("kind") == kind).select(F.col("dst").alias(dst), F.col("src").alias(src))
     return pointsto.points_to(of("addr", "var", "obj"), of("copy", "to", "from"), of("load", "to", "from"), of("store", "to", "from"))
 
 
 @query(with_views("stmt", _POINTS + " SELECT var, obj FROM pts", True))
+@requires("pointing")
 def points_to(t: Tables) -> DataFrame:
     """Inclusion-based points-to sets of address, copy, load and store statements."""
-    return _pointing(t)
+    return pointing(t)
 
 
 @query(with_views("stmt", _POINTS + """, q AS (SELECT DISTINCT dst AS a, src AS b FROM stmt WHERE dst < src)
   SELECT a, b, EXISTS (SELECT 1 FROM pts x JOIN pts y ON x.obj = y.obj WHERE x.var = a AND y.var = b) AS may_alias FROM q""", True))
+@requires("stmt", "pointing")
 def alias_query(t: Tables) -> DataFrame:
     """Whether the two variables of each statement may point to one location."""
     pairs = views.stmt(t).where("dst < src").select(F.col("dst").alias("a"), F.col("src").alias("b")).distinct()
-    apart = pointsto.must_not_alias(_pointing(t), pairs).withColumn("apart", F.lit(True))
+    apart = pointsto.must_not_alias(pointing(t), pairs).withColumn("apart", F.lit(True))
     return pairs.join(apart, ["a", "b"], "left").select("a", "b", F.col("apart").isNull().alias("may_alias"))
 
 
 @query(with_views("stmt", _POINTS + """, ext AS (SELECT c_custkey * 8 AS var FROM customer WHERE c_mktsegment = 'BUILDING'),
   e AS (SELECT obj FROM pts JOIN ext USING (var) UNION SELECT p.obj FROM e JOIN pts p ON p.var = e.obj) SELECT obj FROM e""", True))
+@requires("pointing")
 def escapes(t: Tables) -> DataFrame:
     """Locations that code outside can reach from the externally visible variables: the first of each function of one segment."""
     external = t.customer.where("c_mktsegment = 'BUILDING'").select((F.col("c_custkey") * 8).alias("var"))
-    return pointsto.escaped(_pointing(t), external)
+    return pointsto.escaped(pointing(t), external)
 
 
 @query("""SELECT DISTINCT 'i' || l_orderkey || '.' || l_linenumber AS node_id, CASE WHEN o_orderkey % 2 = 0 THEN 'DATA_WRITE' ELSE 'DATA_READ' END AS access FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'""")
@@ -189,6 +211,7 @@ def summary_apply(t: Tables) -> DataFrame:
 
 
 @query(with_views("trade", """, c AS (SELECT src::VARCHAR AS caller, dst::VARCHAR AS callee FROM trade UNION SELECT '< root >', n_nationkey::VARCHAR FROM nation) SELECT caller, array_to_string(list_sort(list(DISTINCT callee)), ' ') AS callees FROM c GROUP BY 1"""))
+@requires("trade")
 def adjacency(t: Tables) -> DataFrame:
     return graph.adjacency(_nodes(t).select(F.col("node").cast("string").alias("node")), views.trade(t).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")))
 
@@ -200,6 +223,20 @@ def _solved(edges: str, seed: str = "furniture") -> str:
     return f", x AS (SELECT elem_id FROM {seed} UNION SELECT rhs FROM x JOIN {edges} f ON x.elem_id = f.lhs)"
 
 
+@analysis
+@requires("flow")
+def tainted(t: Tables) -> DataFrame:
+    """(elem_id, depth): what the sources taint explicitly."""
+    return taint.least_solution(views.flow(t), views.furniture(t), ["default"])
+
+
+@analysis
+@requires("flow")
+def tainted_implicit(t: Tables) -> DataFrame:
+    """(elem_id, depth): what the sources taint explicitly or by a branch."""
+    return taint.least_solution(views.flow(t), views.furniture(t), ["default"], implicit=True)
+
+
 @query("""SELECT DISTINCT o_orderkey * 10 + l_linenumber AS elem_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE (o_orderpriority = '1-URGENT' AND l_linenumber BETWEEN 2 AND 4) OR o_orderpriority = '2-HIGH'""")
 def taint_seed(t: Tables) -> DataFrame:
     """Elements that configuration labels: some fields of some locations, all fields of others."""
@@ -210,25 +247,28 @@ def taint_seed(t: Tables) -> DataFrame:
 
 
 @query(with_views("flow furniture", _solved("flow") + " SELECT elem_id AS sink FROM x WHERE elem_id LIKE 'n%'", True))
+@requires("tainted_implicit")
 def taint_sink(t: Tables) -> DataFrame:
     """Labelled sinks that taint reaches."""
-    tainted = taint.least_solution(views.flow(t), views.furniture(t), implicit=True)
     sinks = t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("elem_id"))
-    return taint.report(sinks, tainted).select(F.col("elem_id").alias("sink"))
+    return taint.report(sinks, tainted_implicit(t)).select(F.col("elem_id").alias("sink"))
 
 
 @query(with_views("flow furniture", _solved("(SELECT * FROM flow WHERE section <> 'implicit')") + " SELECT elem_id FROM x", True))
+@requires("tainted")
 def taint_explicit(t: Tables) -> DataFrame:
-    return taint.least_solution(views.flow(t), views.furniture(t), ["default"]).select("elem_id")
+    return tainted(t).select("elem_id")
 
 
 @query(with_views("flow furniture", _solved("flow") + " SELECT elem_id FROM x", True))
+@requires("tainted_implicit")
 def taint_implicit(t: Tables) -> DataFrame:
-    return taint.least_solution(views.flow(t), views.furniture(t), ["default"], implicit=True).select("elem_id")
+    return tainted_implicit(t).select("elem_id")
 
 
 @query(with_views("flow", """, b AS (SELECT 'n3' AS elem_id UNION SELECT lhs FROM b JOIN (SELECT * FROM flow WHERE section <> 'implicit') f ON b.elem_id = f.rhs)
   SELECT DISTINCT lhs AS elem_id FROM flow WHERE lhs NOT IN (SELECT elem_id FROM b)""", True))
+@requires("flow")
 def taint_greatest(t: Tables) -> DataFrame:
     flow = views.flow(t)
     untainted = t.nation.where("n_nationkey = 3").select(F.lit("n3").alias("elem_id"))
@@ -236,22 +276,44 @@ def taint_greatest(t: Tables) -> DataFrame:
 
 
 @query(with_views("flow furniture whitelist", ", w AS (SELECT * FROM flow WHERE lhs NOT IN (SELECT elem_id FROM whitelist) AND rhs NOT IN (SELECT elem_id FROM whitelist))" + _solved("w") + " SELECT elem_id FROM x", True))
+@requires("flow")
 def taint_whitelist(t: Tables) -> DataFrame:
     """Constraints of whitelisted elements go before solving."""
     return taint.least_solution(taint.without_whitelist(views.flow(t), views.whitelist(t)), views.furniture(t), implicit=True).select("elem_id")
 
 
 @query(with_views("flow furniture whitelist", _solved("(SELECT * FROM flow WHERE section <> 'implicit')") + """ SELECT p_partkey AS branch_id FROM part WHERE p_size > 25 AND 'p' || p_partkey IN (SELECT elem_id FROM x) AND 'p' || p_partkey NOT IN (SELECT elem_id FROM whitelist)""", True))
+@requires("tainted")
 def vuln_branch(t: Tables) -> DataFrame:
     """Branches whose condition is tainted and not whitelisted."""
     branches = t.part.where("p_size > 25").select(F.col("p_partkey").alias("branch_id"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("elem_id"))
-    return taint.report(branches, taint.least_solution(views.flow(t), views.furniture(t)), views.whitelist(t)).select("branch_id")
+    return taint.report(branches, tainted(t), views.whitelist(t)).select("branch_id")
 
 
 @query(with_views("flow furniture", _solved("flow") + " SELECT o_orderkey AS inst_id FROM orders WHERE o_orderstatus = 'F' AND 'o' || o_orderkey IN (SELECT elem_id FROM x)", True))
+@requires("tainted_implicit")
 def vuln_inst(t: Tables) -> DataFrame:
     insts = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("inst_id"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("elem_id"))
-    return taint.report(insts, taint.least_solution(views.flow(t), views.furniture(t), implicit=True)).select("inst_id")
+    return taint.report(insts, tainted_implicit(t)).select("inst_id")
+
+
+@query(with_views("flow furniture", _solved("flow") + """, w AS (SELECT 'o' || o_orderkey AS elem_id, o_orderpriority = '2-HIGH' AS pointer FROM orders WHERE o_orderpriority IN ('2-HIGH', '3-MEDIUM'))
+  SELECT o_orderkey AS inst_id FROM orders o WHERE 'o' || o_orderkey IN (SELECT elem_id FROM x) AND NOT EXISTS (SELECT 1 FROM w WHERE w.elem_id = 'o' || o.o_orderkey AND w.pointer = (o.o_orderkey % 2 = 0))""", True))
+@requires("tainted_implicit")
+def vuln_by_kind(t: Tables) -> DataFrame:
+    """Tainted operands that the whitelist of their kind does not hold: even orders are pointers."""
+    elem = F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("elem_id")
+    sites = t.orders.select(F.col("o_orderkey").alias("inst_id"), elem, (F.col("o_orderkey") % 2 == 0).alias("pointer"))
+    listed = t.orders.where(F.col("o_orderpriority").isin("2-HIGH", "3-MEDIUM")).select(elem, (F.col("o_orderpriority") == "2-HIGH").alias("pointer"))
+    return taint.report_by_kind(sites, tainted_implicit(t), listed).select("inst_id")
+
+
+@query(with_views("flow furniture", _solved("(SELECT * FROM flow WHERE section <> 'implicit')") + " SELECT l_suppkey AS fn, count(DISTINCT l_partkey)::BIGINT AS n_values FROM lineitem WHERE 'p' || l_partkey IN (SELECT elem_id FROM x) GROUP BY 1", True))
+@requires("tainted")
+def mediators(t: Tables) -> DataFrame:
+    """Functions that hold input-dependent values: a supplier holds the parts that it delivers."""
+    held = t.lineitem.select(F.col("l_suppkey").alias("fn"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("elem_id"))
+    return taint.mediators(held, tainted(t))
 
 
 # --- data flow ------------------------------------------------------------------------------------------------
@@ -319,6 +381,7 @@ def context_reach(t: Tables) -> DataFrame:
   x AS (SELECT src AS lhs, dst AS rhs, 'default' AS section FROM stmt WHERE kind = 'copy' UNION SELECT p.obj, s.dst, 'default' FROM stmt s JOIN pts p ON p.var = s.src WHERE kind = 'load' UNION SELECT src, obj, 'default' FROM w
     UNION SELECT c.cond, s.dst, 'implicit' FROM stmt s JOIN c ON s.dst // 8 = c.block WHERE kind <> 'store' UNION SELECT c.cond, w.obj, 'implicit' FROM w JOIN c ON w.dst // 8 = c.block)
   SELECT lhs, rhs, 'default' AS kind, section FROM x WHERE lhs <> rhs""", True))
+@requires("stmt", "pointing")
 def constraint_gen(t: Tables) -> DataFrame:
     """Constraints of pointer statements: explicit ones through the points-to sets, implicit ones where a function of one segment branches
     on its first variable."""
@@ -327,7 +390,7 @@ def constraint_gen(t: Tables) -> DataFrame:
     pointer = F.when(F.col("kind") == "store", F.col("dst")).otherwise(F.col("src"))
     operands = s.select("inst", F.lit(0).alias("pos"), pointer.alias("value")).unionByName(s.where("kind = 'store'").select("inst", F.lit(1).alias("pos"), F.col("src").alias("value")))
     control = t.customer.where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("block"), (F.col("c_custkey") * 8).alias("cond"))
-    return rules.generate(insts, operands, _pointing(t), control=control)
+    return rules.generate(insts, operands, pointing(t), control=control)
 
 
 @query("""WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderkey % 2 * 8 END AS step, lead(o_orderkey) OVER w AS one, lead(o_orderkey, 2) OVER w AS two, min(o_orderkey) OVER (PARTITION BY o_custkey) AS root FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
@@ -354,12 +417,14 @@ def _entry(t: Tables, key: int = 0) -> DataFrame:
 @query(with_views("trade", """, r AS (SELECT 0::BIGINT AS n UNION SELECT dst FROM r JOIN trade ON n = src),
   w AS (SELECT d.n AS d, 0::BIGINT AS n FROM r d WHERE d.n <> 0 UNION SELECT w.d, e.dst FROM w JOIN trade e ON w.n = e.src WHERE e.dst <> w.d)
   SELECT r.n AS node, d.n AS dom FROM r, r d WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.d = d.n AND w.n = r.n)""", True))
+@requires("trade")
 def dominators(t: Tables) -> DataFrame:
     """A node is dominated by those without which the entry does not reach it."""
     return graph.dominators(_flow_graph(t), _entry(t)).select("node", "dom")
 
 
 @query()
+@requires("trade")
 def postorder(t: Tables) -> DataFrame:
     return graph.postorder(_flow_graph(t), _entry(t)).select("node", "post")
 
@@ -368,6 +433,7 @@ def postorder(t: Tables) -> DataFrame:
   w AS (SELECT d.n AS d, 1::BIGINT AS n FROM r d WHERE d.n <> 1 UNION SELECT w.d, e.src FROM w JOIN trade e ON w.n = e.dst WHERE e.src <> w.d),
   p AS (SELECT r.n AS node, d.n AS dom FROM r, r d WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.d = d.n AND w.n = r.n))
   SELECT DISTINCT e.src AS node, p.dom AS controls FROM trade e JOIN p ON e.dst = p.node WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.node = e.src AND q.dom = p.dom AND q.node <> q.dom)""", True))
+@requires("trade")
 def control_dep(t: Tables) -> DataFrame:
     return graph.control_dependence(_flow_graph(t), _entry(t, 1)).select("node", "controls")
 
@@ -421,3 +487,14 @@ def stream_dict(t: Tables) -> DataFrame:
     files = f"{t.folder}/events*"
     known = _appended(traces.node_dictionary(traces.read_events(t.spark, files)))
     return traces.encode_events(t.spark.read.schema(traces.EVENT).parquet(files), known)
+
+
+@query("SELECT 'user ' || user_id || ' failed at event ' || event_id AS line FROM events WHERE event_type = 'error'")
+def log_file(t: Tables) -> DataFrame:
+    """A stream's failures appended to a log that is emptied when it is opened."""
+    at = f"{shared_folder(t.spark)}/log-{uuid.uuid4().hex}"
+    sinks.LogFolder(t.spark, f"{at}/log").append(t.nation.select(F.col("n_name").alias("line")), 0)
+    log = sinks.LogFolder(t.spark, f"{at}/log")
+    failures = traces.read_events(t.spark, f"{t.folder}/events*").where("event_type = 'error'")
+    log.follow(failures.select(F.format_string("user %d failed at event %d", "user_id", "event_id").alias("line")), f"{at}/state").awaitTermination()
+    return log.lines().select("line")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.plans.registry import Tables
+from flowlens.plans.registry import Tables, analysis
 
 
+@analysis
 def trade(t: Tables) -> DataFrame:
     """(src, dst): which nation's customers bought large, discounted lots from which nation's suppliers."""
     big = t.lineitem.where("l_quantity >= 50 AND l_discount >= 0.10").select("l_orderkey", "l_suppkey")
@@ -29,6 +30,7 @@ def lines(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).select("doc_id", F.col("n").cast("bigint").alias("line_no"), "line")
 
 
+@analysis
 def stmt(t: Tables) -> DataFrame:
     """(kind, dst, src): pointer statements; each customer is a function with eight variables, each line of an order one
     statement of it: dst = &src, dst = src, dst = *src, *dst = src."""
@@ -52,6 +54,7 @@ def cov(t: Tables) -> DataFrame:
     return t.part.join(hit, "p_partkey", "left").select(F.col("p_brand").alias("file"), F.col("p_type").alias("fn"), F.col("p_partkey").alias("region"), F.coalesce("hit", F.lit(False)).alias("covered"))
 
 
+@analysis
 def flow(t: Tables) -> DataFrame:
     """(lhs, rhs, kind, section): a layered graph customer > order > part > supplier > nation > region."""
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from flowlens.sources import raw_profiles
 
@@ -34,8 +35,32 @@ def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(after, "node", "left").select(F.to_json(F.struct("node", F.coalesce("to", F.array()).alias("to"))).alias("line"))
 
 
-def append_log(lines: DataFrame, path: str) -> None:
-    lines.write.mode("append").text(path)
+class LogFolder:
+    """A log of lines that starts empty. Each batch is a folder of its own, written over what an earlier attempt of that batch
+    left there: a batch that is repeated counts once, and a stream needs no memory of what it has written."""
+
+    def __init__(self, spark: SparkSession, path: str, truncate: bool = True):
+        """``truncate=False`` goes on with what is there, as a stream does that is started again."""
+        self.spark, self.path = spark, path
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if truncate:
+            files.delete(where, True)
+        files.mkdirs(where)
+
+    def append(self, lines: DataFrame, batch: int) -> None:
+        """One batch of ``lines(line)``; lines that are null are left out."""
+        lines.where("line IS NOT NULL").select("line").write.mode("overwrite").text(f"{self.path}/batch={batch}")
+
+    def follow(self, lines: DataFrame, state: str) -> StreamingQuery:
+        """Appends what a stream of ``lines(line)`` gives until its input ends; ``state`` is a folder of the stream's own."""
+        return lines.writeStream.foreachBatch(self.append).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+    def lines(self) -> DataFrame:
+        """(batch, line)."""
+        rows = self.spark.read.text(self.path)
+        batch = F.col("batch").cast("bigint") if "batch" in rows.columns else F.lit(None).cast("bigint")
+        return rows.select(batch.alias("batch"), F.col("value").alias("line"))
 
 
 def write_profile(counters: DataFrame, path: str) -> None:

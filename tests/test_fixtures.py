@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 
 from flowlens.functions import scalars as fn
-from flowlens.operators import coverage, faults, graph, joins, pointsto, profiles, sequences, taint
+from flowlens.operators import coverage, faults, graph, joins, pointsto, profiles, sequences, sets, taint
 from flowlens.operators.fixpoint import RoundLimitError
 from flowlens.sources import readers, sinks
 from pyspark.sql import functions as F
@@ -253,13 +253,42 @@ def test_files(spark, tmp_path):
     marked = spark.createDataFrame([("x <: y", True, True), ("z <: w", False, True)], "line string, explicit boolean, implicit boolean")
     sinks.write_constraint_sets(marked, str(tmp_path / "out"))
     assert [spark.read.text(str(tmp_path / "out" / k)).count() for k in ("explicit", "implicit")] == [1, 2]
-    sinks.append_log(marked.select("line"), str(tmp_path / "log"))
-    sinks.append_log(marked.select("line"), str(tmp_path / "log"))
-    assert spark.read.text(str(tmp_path / "log")).count() == 4
     got = sinks.graph_json(nodes(spark, [1, 2]), edges(spark, [(1, 2)])).collect()
     assert sorted(r.line for r in got) == ['{"node":1,"to":[2]}', '{"node":2,"to":[]}']
 
 
+def test_log(spark, tmp_path):
+    """Truncated when made; a repeated batch counts once; a stream goes on where it stopped."""
+    line = lambda *xs: spark.createDataFrame([(x,) for x in xs], "line string")
+    at = str(tmp_path / "log")
+    assert values(sinks.LogFolder(spark, at).lines()) == []
+    sinks.LogFolder(spark, at).append(line("old"), 7)
+    log = sinks.LogFolder(spark, at)
+    log.append(line("a", "b", "a", None), 0)
+    log.append(line("", "c"), 1)
+    log.append(line("", "c"), 1)
+    assert values(log.lines()) == [(0, "a"), (0, "a"), (0, "b"), (1, ""), (1, "c")]
+    (tmp_path / "in").mkdir()
+    for number in range(2):
+        (tmp_path / "in" / f"{number}.txt").write_text(f"line {number}\n")
+        log = sinks.LogFolder(spark, str(tmp_path / "streamed"), truncate=number == 0)
+        log.follow(spark.readStream.schema("line string").text(str(tmp_path / "in")), str(tmp_path / "state")).awaitTermination()
+    assert values(log.lines()) == [(0, "line 0"), (1, "line 1")]
+
+
+def test_reports_by_kind_and_mediators(spark):
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    tainted = df([("a",), ("b",), ("c",)], "elem_id string")
+    sites = df([(1, "a", True), (2, "a", False), (3, "b", False), (4, "x", False), (5, None, True), (6, "c", None)], "site int, elem_id string, pointer boolean")
+    listed = df([("a", True), ("b", True), ("c", False), (None, True)], "elem_id string, pointer boolean")
+    assert values(taint.report_by_kind(sites, tainted, listed).select("site")) == [(2,), (3,), (6,)]
+    held = df([("f", "a"), ("f", "a"), ("f", "b"), ("g", "x"), (None, "a"), ("h", None)], "fn string, elem_id string")
+    assert {tuple(r) for r in taint.mediators(held, tainted).collect()} == {(None, 1), ("f", 2)}
+    casts = df([("f", 1, "A", "B"), ("f", 2, "A", "A"), ("f", 3, "void", "A"), ("g", 4, "B", "A"), ("g", 5, "A", None), ("f", 6, "C", "A")], "fn string, inst int, src string, dst string")
+    embeds = df([("A", "C"), ("C", "B")], "outer string, first string")
+    assert values(sets.wild_casts(casts, embeds).select("inst")) == [(1,), (4,)]
+
+
 def test_overlap_join_counts_each_pair_once(spark):
     rng = random.Random(4)
     a, b = ([(i, lo := rng.randrange(100), lo + rng.randrange(0, 30)) for i in range(40)] for _ in range(2))
