@@ -292,6 +292,19 @@ def samp_merge(t: Tables) -> DataFrame:
     return profiles.merge_calls(once.unionByName(once))
 
 
+@query(with_views("prof", """, h AS (SELECT fn, sum(v)::BIGINT AS total, max(v)::BIGINT AS head FROM prof GROUP BY 1)
+  SELECT encoding, fn, total, head, pos AS line, hash AS disc, v AS n FROM prof JOIN h USING (fn), (VALUES ('text'), ('columns')) e(encoding)"""))
+def samp_file(t: Tables) -> DataFrame:
+    """Sample profiles written as text, a file for each function, and as columns, and read again."""
+    text, columns = _file(t, "samples"), _file(t, "samples")
+    lines = _sample_text(t).withColumnRenamed("file", "fn").repartition("fn").sortWithinPartitions("fn", "line_no")
+    lines.select("fn", F.col("line").alias("value")).write.partitionBy("fn").text(text)
+    found = profiles.parse_samples(readers.read_lines(t.spark, f"{text}/*"), ["file"]).where("error IS NULL")
+    sinks.write_profile(found.select("fn", "total", "head", "line", "disc", "n"), columns)
+    kept = t.spark.read.parquet(columns).withColumn("encoding", F.lit("columns"))
+    return found.select(F.lit("text").alias("encoding"), "fn", "total", "head", "line", "disc", "n").unionByName(kept)
+
+
 # --- coverage and faults --------------------------------------------------------------------------------------
 
 
@@ -604,13 +617,14 @@ def unit_files(t: Tables) -> DataFrame:
 
 @query("""SELECT s_suppkey AS test, (s_suppkey % 9)::VARCHAR AS fails_at, CASE WHEN s_suppkey % 5 = 0 THEN '>' ELSE '' END || s_nationkey AS rank_raw, (s_nationkey + 1)::BIGINT AS total FROM supplier""")
 def results_file(t: Tables) -> DataFrame:
-    """Tab-separated results after two header lines, written as one file for each nation and read again."""
+    """Tab-separated results after two header lines, written as files of at most 100,000 lines of one nation and read again."""
     path = _file(t, "results")
     rank = F.concat(F.when(F.col("s_suppkey") % 5 == 0, ">").otherwise(""), F.col("s_nationkey").cast("string"))
     line = F.concat_ws("\t", "s_suppkey", F.col("s_suppkey") % 9, rank, F.col("s_nationkey") + 1)
-    body = t.supplier.groupBy("s_nationkey").agg(F.array_join(F.collect_list(line), "\n").alias("lines")).select(F.concat(F.lit("head\nhead\n"), "lines").alias("value"), "s_nationkey")
-    body.repartition("s_nationkey").write.option("lineSep", "\n").partitionBy("s_nationkey").text(path)
-    return readers.read_results(t.spark, f"{path}/*").select(F.col("test").cast("bigint").alias("test"), "fails_at", "rank_raw", "total")
+    body = t.supplier.groupBy("s_nationkey", F.expr("s_suppkey div 100000").alias("piece")).agg(F.array_join(F.collect_list(line), "\n").alias("lines"))
+    body = body.select(F.concat(F.lit("head\nhead\n"), "lines").alias("value"), "s_nationkey", "piece")
+    body.repartition("s_nationkey", "piece").write.option("lineSep", "\n").partitionBy("s_nationkey", "piece").text(path)
+    return readers.read_results(t.spark, f"{path}/*/*").select(F.col("test").cast("bigint").alias("test"), "fails_at", "rank_raw", "total")
 
 
 @query("SELECT source, sum(len(string_split(text, chr(10))))::BIGINT AS n_lines FROM documents WHERE text IS NOT NULL GROUP BY 1")
