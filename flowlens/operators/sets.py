@@ -36,9 +36,10 @@ def intern(members: DataFrame, owner: str, item: str) -> DataFrame:
 
 
 def bit_counts(facts: DataFrame, owner: str, item: str) -> DataFrame:
-    """(owner, n): different items of each owner, by bitmaps of 32768 places."""
-    maps = facts.groupBy(owner, F.bitmap_bucket_number(item).alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(item)).alias("_m"))
-    return maps.groupBy(owner).agg(F.sum(F.bitmap_count("_m")).cast("bigint").alias("n"))
+    """(owner, n): different items of each owner, by words of 64 places, so a set of few members that lie far apart stays small."""
+    rows = facts.select(owner, F.col(item).cast("bigint").alias("_item"))
+    words = rows.groupBy(owner, F.shiftright("_item", 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_item & 63 AS int))")).alias("_m"))
+    return words.groupBy(owner).agg(F.sum(F.coalesce(F.bit_count("_m"), F.lit(0))).cast("bigint").alias("n"))
 
 
 def first_failure(outcomes: DataFrame, index: str, failed: str, by: list[str]) -> DataFrame:
