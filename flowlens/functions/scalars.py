@@ -1,5 +1,7 @@
 """Scalar, list and bit functions as column expressions."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,16 +86,26 @@ def override(*levels: Column) -> Column:
     return F.coalesce(*reversed(levels))
 
 
-def double_hash(items: Column) -> Column:
-    """Additive and multiplicative hashes of bytes, wrapping at 64 bits, as two decimal numbers joined."""
-    wide = "decimal(20,0)"
-    codes = F.transform(F.regexp_extract_all(F.hex(items), F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("int"))
-    wrapped = lambda x: F.pmod(x, F.lit(str(1 << 64)).cast("decimal(22,0)")).cast(wide)
-    add = F.aggregate(codes, F.lit(0).cast(wide), lambda h, b: wrapped(h * 11 + b))
+def _double_hashes(items: pd.Series) -> pd.Series:
+    """One step of all items at a time, the longest first; unsigned numbers wrap at 64 bits by themselves."""
+    out = pd.Series([None] * len(items), dtype=object)
+    known = np.flatnonzero(items.notna().to_numpy())
+    codes = [np.frombuffer(b, np.uint8) for b in items.iloc[known]]
+    size = np.array([len(c) for c in codes], np.int64)
+    order = np.argsort(-size, kind="stable")
+    size, flat = size[order], np.concatenate([np.zeros(0, np.uint8), *(codes[i] for i in order)])
+    start, add, mul = np.cumsum(size) - size, np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
+    left = len(size)
+    for at in range(int(size[0]) if len(size) else 0):
+        while size[left - 1] <= at:
+            left -= 1
+        b = flat[start[:left] + at].astype(np.uint64)
+        add[:left] = add[:left] * np.uint64(11) + b
+        mul[:left] = mul[:left] * np.uint64(7) ^ b
+    out.iloc[known[order]] = [f"{a}{m}" for a, m in zip(add.tolist(), mul.tolist(), strict=True)]
+    return out
 
-    def step(h: Column, b: Column) -> Column:
-        product = wrapped(h * 7)
-        low = F.pmod(product, F.lit(256)).cast("int")  # an exclusive or with a byte changes the last eight bits only
-        return (product - low + low.bitwiseXOR(b)).cast(wide)
 
-    return F.concat(add.cast("string"), F.aggregate(codes, F.lit(0).cast(wide), step).cast("string"))
+def double_hash(items: Column) -> Column:
+    """Additive and multiplicative hashes of bytes, wrapping at 64 bits, as two decimal numbers joined."""
+    return F.pandas_udf(_double_hashes, "string")(items)
