@@ -34,14 +34,16 @@ def generate(
     held = pointing.select("var", "obj")
     if elements is not None:
         held = held.join(elements, "obj", "left").select("var", F.coalesce("elem", "obj").alias("obj"))
-    held = cut(held.distinct())
-    use = insts.select("inst", "op", "result", "block", "fn").join(operands, "inst")
-    first, second = use.where("pos = 0"), operands.where("pos = 1").select("inst", F.col("value").alias("given"))
-    stored = first.where("op = 'store'").join(held, F.col("value") == held["var"])
+    rounds = Rounds(insts.sparkSession)
+    held, _ = rounds.write(held.distinct())
+    use, _ = rounds.write(insts.select("inst", "op", "result", "block", "fn").join(operands, "inst"))
+    first, second = use.where("pos = 0"), use.where("pos = 1 AND op = 'store'").select("inst", F.col("value").alias("given"))
+    # a store meets its value before the locations of its pointer multiply it; one without a value still counts for its block
+    stored = first.where("op = 'store'").join(second, "inst", "left").join(held, F.col("value") == held["var"]).select("block", "given", "obj")
     explicit = [
         use.where(F.col("op").isin(*VALUE_OPS)).select(F.col("value").alias("lhs"), F.col("result").alias("rhs")),
         first.where("op = 'load'").join(held, F.col("value") == held["var"]).select(F.col("obj").alias("lhs"), F.col("result").alias("rhs")),
-        stored.join(second, "inst").select(F.col("given").alias("lhs"), F.col("obj").alias("rhs")),
+        stored.select(F.col("given").alias("lhs"), F.col("obj").alias("rhs")),
     ]
     calls = use.where("op = 'call'")
     known = None
