@@ -5,7 +5,7 @@ Every operation is a grouping or a join on (owner, word), so one huge set is dea
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _KEYS = ["owner", "word"]
@@ -21,6 +21,22 @@ def packed(facts: DataFrame, owner: str, item: str) -> DataFrame:
     return rows.groupBy("owner", F.shiftright("item", 6).alias("word")).agg(F.bit_or(_bit("item")).alias("bits"))
 
 
+def side_by_side(facts: DataFrame, owner: str, item: str, **which: Column) -> DataFrame:
+    """(owner, word, <name>...): one set for each name, of the facts for which its condition holds, found in one grouping; 0 where a set
+    has no member in a word that another has."""
+    rows = facts.select(F.col(owner).alias("owner"), F.col(item).cast("bigint").alias("item"), *[c.alias(f"_{name}") for name, c in which.items()])
+    rows = rows.where("owner IS NOT NULL AND item IS NOT NULL AND (" + " OR ".join(f"_{name}" for name in which) + ")")
+    sets = [F.coalesce(F.bit_or(F.when(F.col(f"_{name}"), _bit("item"))), F.lit(0).cast("bigint")).alias(name) for name in which]
+    return rows.groupBy("owner", F.shiftright("item", 6).alias("word")).agg(*sets)
+
+
+def total(word: Column, bits: Column) -> Column:
+    """The sum of a word's members: a place's k-th binary digit is set in every second run of 2^k places."""
+    digits = [sum(1 << i for i in range(64) if i >> k & 1) for k in range(6)]
+    places = sum((F.bit_count(bits.bitwiseAND(F.lit(d - (1 << 64) if d >> 63 else d).cast("bigint"))) * (1 << k) for k, d in enumerate(digits)), F.lit(0))
+    return F.when(bits != 0, word * 64 * F.bit_count(bits) + places)
+
+
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).groupBy(*_KEYS).agg(F.bit_or("bits").alias("bits"))
 

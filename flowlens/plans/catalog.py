@@ -410,13 +410,12 @@ def bitset(t: Tables) -> DataFrame:
   SELECT owner, count(*)::BIGINT AS n_union, count(*) FILTER (WHERE a AND b)::BIGINT AS n_both, count(*) FILTER (WHERE a AND NOT b)::BIGINT AS n_left, count(*) FILTER (WHERE b AND NOT a)::BIGINT AS n_new, sum(CASE WHEN b AND NOT a THEN item END)::BIGINT AS new_items FROM s GROUP BY 1""")
 def bitset_ops(t: Tables) -> DataFrame:
     """Sets of the parts that each supplier saw returned and accepted: united, met, reset, and tested while set."""
-    of = lambda flag: t.lineitem.where(F.col("l_returnflag") == flag).select(F.col("l_suppkey").alias("owner"), F.col("l_partkey").alias("item"))
-    a, b = bitsets.packed(of("R"), "owner", "item"), bitsets.packed(of("A"), "owner", "item")
-    both, new = bitsets.test_and_set(a, of("A"))
-    named = lambda df, name: bitsets.counts(df).withColumnRenamed("n", name)
-    out = named(both, "n_union").join(named(bitsets.intersection(a, b), "n_both"), "owner", "left").join(named(bitsets.difference(a, b), "n_left"), "owner", "left")
-    out = out.join(new.groupBy("owner").agg(F.count("*").alias("n_new"), F.sum("item").alias("new_items")), "owner", "left")
-    return out.fillna(0, ["n_both", "n_left", "n_new"])
+    a, b = F.col("a"), F.col("b")
+    sets = bitsets.side_by_side(t.lineitem, "l_suppkey", "l_partkey", a=F.col("l_returnflag") == "R", b=F.col("l_returnflag") == "A")
+    new = b.bitwiseAND(F.bitwise_not(a))
+    counted = {"n_union": a.bitwiseOR(b), "n_both": a.bitwiseAND(b), "n_left": a.bitwiseAND(F.bitwise_not(b)), "n_new": new}
+    sums = [F.sum(F.bit_count(bits)).cast("bigint").alias(name) for name, bits in counted.items()]
+    return sets.groupBy("owner").agg(*sums, F.sum(bitsets.total(F.col("word"), new)).alias("new_items"))
 
 
 @query("""SELECT o_custkey, max(o_orderkey) AS top_key, max_by(o_orderpriority, o_orderkey) AS top_value, min_by(o_orderstatus, o_orderkey) AS added FROM orders GROUP BY 1""")

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlens.functions import scalars as fn
-from flowlens.operators import graph, pointsto, sets
+from flowlens.operators import bitsets, graph, pointsto, sets
+from flowlens.plans import catalog, graphs, registry  # noqa: F401  the first two register their queries
 
 
 def plan(df):
@@ -79,3 +80,15 @@ def test_aliases_are_met_by_words(spark):
     assert values(pointsto.must_not_alias(pts, pairs)) == sorted([(1, 3), (2, 3), (4, 1), (5, 1)], key=repr)
     named = lambda df: df.select(*[F.concat(F.lit("n"), F.col(c).cast("string")).alias(c) for c in df.columns])
     assert pointsto.must_not_alias(named(pts), named(pairs)).count() == 4
+
+
+def test_bit_sets_side_by_side(spark):
+    rows = [("x", i, k) for i, k in [(-65, "a"), (-1, "b"), (0, "b"), (5, "a"), (5, "b"), (63, "b"), (64, "a"), (2**40 + 63, "b"), (9, "c"), (7, None), (None, "a")]] + [(None, 3, "a"), ("y", 1, "c"), ("z", -3, "a")]
+    df = bitsets.side_by_side(spark.createDataFrame(rows, "o string, i long, k string"), "o", "i", a=F.col("k") == "a", b=F.col("k") == "b")
+    got = df.groupBy("owner").agg(*[F.sum(F.bit_count(c)) for c in "ab"], *[F.sum(bitsets.total(F.col("word"), F.col(c))) for c in "ab"])
+    assert values(got) == [("x", 3, 5, 4, 67 + 2**40 + 63), ("z", 1, 0, -3, None)]
+    assert "Join" not in plan(got)
+
+
+def test_a_query_alone_writes_what_it_needs_twice():
+    assert registry._shared(["constraint_gen"]) == {"stmt": {"constraint_gen", "pointing"}} and registry._shared(["points_to"]) == {}
