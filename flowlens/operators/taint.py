@@ -15,10 +15,9 @@ from flowlens.operators.joins import overlap_join
 def label_elements(config: DataFrame, fields: DataFrame) -> DataFrame:
     """(elem_id): elements of labelled locations: ``config(loc_id, off_lo, off_hi)`` labels the bytes of a field, or
     the whole location where both are null."""
-    whole = config.where("off_lo IS NULL").select("loc_id").distinct().join(fields, "loc_id").select("elem_id")
-    ranged = config.where("off_lo IS NOT NULL").select("loc_id", F.col("off_lo").alias("want_lo"), F.col("off_hi").alias("want_hi"))
-    part = ranged.join(fields, "loc_id").where("off_lo < want_hi AND want_lo < off_hi").select("elem_id")
-    return whole.union(part).distinct()
+    wanted = config.select("loc_id", F.col("off_lo").alias("want_lo"), F.col("off_hi").alias("want_hi")).distinct()
+    # one join for both, as fields are the large side
+    return fields.join(wanted, "loc_id").where("want_lo IS NULL OR (off_lo < want_hi AND want_lo < off_hi)").select("elem_id").distinct()
 
 
 def flow_edges(constraints: DataFrame, kinds: list[str] | None = None, implicit: bool = False) -> DataFrame:

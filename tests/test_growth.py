@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlens.functions import scalars as fn
-from flowlens.operators import bitsets, graph, pointsto, sets
+from flowlens.operators import bitsets, graph, pointsto, sets, taint
 from flowlens.plans import catalog, graphs, registry  # noqa: F401  the first two register their queries
 
 
@@ -92,3 +92,11 @@ def test_bit_sets_side_by_side(spark):
 
 def test_a_query_alone_writes_what_it_needs_twice():
     assert registry._shared(["constraint_gen"]) == {"stmt": {"constraint_gen", "pointing"}} and registry._shared(["points_to"]) == {}
+
+
+def test_labels_join_fields_once(spark):
+    config = spark.createDataFrame([(1, 2, 5), (1, 2, 5), (2, None, None), (2, 0, 1), (3, 9, 12)], "loc_id long, off_lo int, off_hi int")
+    fields = spark.createDataFrame([(1, 1, 2, 11), (1, 4, 5, 14), (1, 5, 6, 15), (2, 7, 8, 27), (2, None, None, 28), (3, 1, 2, 31), (4, 1, 2, 41)], "loc_id long, off_lo int, off_hi int, elem_id long")
+    df = taint.label_elements(config, fields)
+    assert values(df) == [(14,), (27,), (28,)]
+    assert plan(df).count("Join") == 1
