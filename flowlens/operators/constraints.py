@@ -79,16 +79,18 @@ def pointer_offsets(roots: DataFrame, steps: DataFrame) -> DataFrame:
     rounds = Rounds(steps.sparkSession)
     steps = cut(steps.where("src IS NOT NULL AND dst IS NOT NULL").distinct())
     start = roots.where("root IS NOT NULL").select("root", F.col("root").alias("node"), F.lit(0).cast("bigint").alias("offset")).distinct()
-    fresh, n = rounds.write(start)
-    values = fresh
+    table, n = rounds.write(start)
+    values = fresh = table
     while n:
         moved = fresh.join(steps.withColumnRenamed("offset", "by"), fresh.node == steps.src).select("root", F.col("dst").alias("node"), (F.col("offset") + F.col("by")).alias("to"))
         told = moved.groupBy("root", "node").agg(F.min("to").alias("a"), F.max("to").alias("b"), F.count_if(F.col("to").isNull()).alias("lost"))
-        both = told.join(values.withColumn("seen", F.lit(True)), ["root", "node"], "left")
+        both = values.withColumn("seen", F.lit(True)).join(told, ["root", "node"], "full")
         sure = (F.col("lost") == 0) & (F.col("a") == F.col("b"))
         stays = F.coalesce(F.col("seen"), F.lit(False)) & (F.col("offset").isNull() | (sure & F.coalesce(F.col("a") == F.col("offset"), F.lit(False))))
-        changed, n = rounds.write(both.where(~stays).select("root", "node", F.when(F.col("seen").isNull() & sure, F.col("a")).alias("offset")))
-        merged, _ = rounds.write(values.join(changed.select("root", "node"), ["root", "node"], "left_anti").unionByName(changed))
-        rounds.drop(values, fresh)
-        values, fresh = merged, changed
+        changed = F.col("lost").isNotNull() & ~stays
+        value = F.when(~changed, F.col("offset")).otherwise(F.when(F.col("seen").isNull() & sure, F.col("a")))
+        merged, _ = rounds.write(both.select("root", "node", value.alias("offset"), changed.alias("changed")))
+        rounds.drop(table)
+        table, values, fresh = merged, merged.drop("changed"), merged.where("changed").drop("changed")
+        n = not fresh.isEmpty()
     return values
