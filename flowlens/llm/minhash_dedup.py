@@ -7,9 +7,11 @@ shift of k for coordinate k. Coordinates are banded; documents that share a band
 every link is confirmed on the full sets of shingle hashes (64 bits, each mixed from hashes of its words).
 
 * Equal sets are one class first, so groups of copies cost one member.
-* In a round each bucket has a leader (in the first round the member that shares most buckets with others,
-  as originals do with their copies), and each member is compared with one of its leaders. What is linked
-  becomes one component, and buckets inside one component close.
+* In a round each bucket has a leader. In the first it is the member that shares most buckets with others, and each
+  member is compared with one of its leaders. In the second it is the member whose shingles are held by most others:
+  of an original and its closest copies, which share the same buckets, that is the original, and only it
+  may be similar enough to copies with many edits. There each member is compared with one leader of each component
+  that it meets. What is linked becomes one component, and buckets inside one component close.
 * What then remains in open buckets meets by an exact prefix filter: shingles are ordered from rare to
   frequent, and two sets that are similar enough share one among the first of each. In a crowd of documents
   that hold one passage, or of copies edited too much to be linked, the first shingles are those of the
@@ -187,6 +189,20 @@ def _slots(size: int):
     return run
 
 
+def _common(size: int, frequency: np.ndarray):
+    """(rep, common): the mean logarithm of the number of sets that hold a shingle of the set."""
+    weight = np.log2(np.maximum(frequency, 1)).astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            means = []
+            for part in tb.text_slices(batch.column(1)):
+                means += [float(weight[(own % np.uint64(SLOTS)).astype(np.int64)].mean()) for own in shingle_sets(part, size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(means, pa.float64())], names=["rep", "common"])
+
+    return run
+
+
 def _prefixes(size: int, percent: int, frequency: np.ndarray):
     """(token, rep, label, n, at, short): the first shingles of each set, rare ones first."""
 
@@ -246,24 +262,41 @@ class _Open:
         self.members = self.tables.write(now.select("rep", F.coalesce("low", "label").alias("label")))
         self.tables.drop(before, moved)
 
+    def frequency(self, texts: DataFrame) -> np.ndarray:
+        """How many of ``texts(rep, label, text)`` hold shingles of each counter."""
+        counts = texts.mapInArrow(_slots(self.shingle), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
+        frequency = np.zeros(SLOTS, dtype=np.uint32)
+        frequency[np.asarray(counts["slot"].combine_chunks())] = np.minimum(np.asarray(counts["n"].combine_chunks()), np.iinfo(np.uint32).max)
+        return frequency
+
+    def texts_of(self, opened: DataFrame) -> DataFrame:
+        reps = opened.select("rep", "label").distinct()
+        return self.tables.write(reps.join(self.texts.withColumnRenamed("id", "rep"), "rep").select("rep", "label", "text"))
+
     def meet_leaders(self, turn: int) -> None:
-        """Each member of an open bucket is compared with one leader."""
+        """Each member of an open bucket is compared with one leader, or with one of each other component that leads its buckets."""
         opened = self.tables.write(self.open_buckets())
-        order = F.struct(F.lit(0).alias("hits") if turn else F.col("hits"), F.xxhash64(F.col("rep"), F.lit(turn)))
-        lead = opened.groupBy("key").agg(F.max_by("rep", order).alias("b"), F.max_by("label", order).alias("lb"))
-        met = opened.join(lead, "key").where("label <> lb").groupBy("rep", "b").agg(F.count("*").alias("n"), F.first("label").alias("la"), F.first("lb").alias("lb"))
-        best = met.groupBy(F.col("rep").alias("a")).agg(F.max_by(F.struct("b", "la", "lb"), F.struct("n", "b")).alias("x")).select("a", "x.b", "x.la", "x.lb")
-        pairs = self.tables.write(self.bounded(best))
+        ranked, texts = opened.withColumn("rank", F.col("hits").cast("double") if turn == 0 else F.lit(0.0)), []
+        if turn == 1:
+            texts = [self.texts_of(opened)]
+            common = texts[0].select("rep", "text").mapInArrow(_common(self.shingle, self.frequency(texts[0])), "rep bigint, common double")
+            ranked = opened.join(common, "rep").withColumnRenamed("common", "rank")
+        order = F.struct("rank", F.xxhash64(F.col("rep"), F.lit(turn)))
+        lead = ranked.groupBy("key").agg(F.max_by("rep", order).alias("b"), F.max_by("label", order).alias("lb"))
+        met = opened.join(lead, "key").where("label <> lb").groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("n"), F.first("label").alias("la"), F.first("lb").alias("lb"))
+        if turn == 1:
+            near = self.bounded(met.select("a", "b", "la", "lb"))
+            best = near.groupBy("a", "lb").agg(F.min_by(F.struct("b", "la"), F.struct("apart", "b")).alias("x")).select("a", "x.b", "x.la", "lb")
+        else:
+            best = self.bounded(met.groupBy("a").agg(F.max_by(F.struct("b", "la", "lb"), F.struct("n", "b")).alias("x")).select("a", "x.b", "x.la", "x.lb"))
+        pairs = self.tables.write(best)
         self.absorb(pairs)
-        self.tables.drop(opened, pairs)
+        self.tables.drop(opened, pairs, *texts)
 
     def meet_by_prefix(self) -> None:
         """All pairs of different components that are left in open buckets and may be linked."""
-        reps = self.open_buckets().select("rep", "label").distinct()
-        texts = self.tables.write(reps.join(self.texts.withColumnRenamed("id", "rep"), "rep").select("rep", "label", "text"))
-        counts = texts.mapInArrow(_slots(self.shingle), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
-        frequency = np.zeros(SLOTS, dtype=np.uint32)
-        frequency[np.asarray(counts["slot"].combine_chunks())] = np.minimum(np.asarray(counts["n"].combine_chunks()), np.iinfo(np.uint32).max)
+        texts = self.texts_of(self.open_buckets())
+        frequency = self.frequency(texts)
         first = texts.mapInArrow(_prefixes(self.shingle, self.percent, frequency), "token bigint, rep bigint, label bigint, n int, at int, short boolean")
         larger = first.select("token", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("ia"))
         smaller = first.where("short").select("token", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("at").alias("ib"))

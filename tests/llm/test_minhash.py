@@ -142,3 +142,21 @@ def test_lower_similarity_finds_all_pairs(spark):
     rows = [(2 * i + side, " ".join(f"{i}w{k}" if k < 153 else f"{i}s{side}w{k}" for k in range(200))) for i in range(60) for side in (0, 1)]
     got = m.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=1, percent=60).collect()
     assert all(r.component_id == r.doc_id // 2 * 2 for r in got) and len(got) == 120
+
+
+def test_edited_copies_meet_their_original_before_the_prefix_filter(spark, monkeypatch):
+    base = [f"b{i}" for i in range(150)]
+    text = lambda edits, *more: " ".join([f"x{w}" if i in edits else w for i, w in enumerate(base)] + list(more))
+    closest = [text((), f"y{i}") for i in range(40)]
+    marks = [m.signature(own, 128) for own in m.shingle_sets(next(m.tb.text_slices(pa.array([text(()), *closest]))), 4)]
+    same = [c for c, mark in zip(closest, marks[1:], strict=True) if (mark == marks[0]).all()]  # in all buckets of the original
+    assert len(same) >= 5
+    rng = random.Random(2)
+    # four edits: 131 of 163 shingles are shared with the original, 131 of 164 with those closest to it
+    far = [rng.sample(range(4 + 36 * k, 38 + 36 * k), 1)[0] for _ in range(60) for k in range(4)]
+    rows = [(1000, text(())), *enumerate(same), *((100 + i, text(far[4 * i : 4 * i + 4])) for i in range(60))]
+    still = []
+    monkeypatch.setattr(m._Open, "meet_by_prefix", lambda self, f=m._Open.meet_by_prefix: still.append(self.open_buckets().select("label").distinct().count()) or f(self))
+    got = m.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=4, percent=80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain(rows, 4) and len({r.component_id for r in got}) == 1
+    assert still == [0]  # nothing is left for pairs that grow with the square of the copies
