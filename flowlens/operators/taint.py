@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from flowlens.operators.graph import reach, reversed_edges
 from flowlens.operators.joins import overlap_join
 
+#: Held values that meet in one task.
+ROWS = 1 << 19
+
 
 def label_elements(config: DataFrame, fields: DataFrame) -> DataFrame:
     """(elem_id): elements of labelled locations: ``config(loc_id, off_lo, off_hi)`` labels the bytes of a field, or
@@ -59,8 +62,12 @@ def report_by_kind(sites: DataFrame, tainted: DataFrame, whitelist: DataFrame) -
 
 
 def mediators(values: DataFrame, tainted: DataFrame) -> DataFrame:
-    """(fn, n_values): functions that hold values that depend on the input, and how many different ones, of ``values(fn, elem_id)``."""
-    held = values.join(tainted.select("elem_id"), "elem_id", "left_semi").select("fn", "elem_id").distinct()
+    """(fn, n_values): functions that hold values that depend on the input, and how many different ones, of ``values(fn, elem_id)``.
+
+    Values are dealt once, by element, in parts of about ROWS rows; they are joined, and repeated ones dropped, where they lie.
+    """
+    n = max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), values.count() // ROWS + 1)
+    held = values.repartition(n, "elem_id").join(tainted.select("elem_id").repartition(n, "elem_id"), "elem_id", "left_semi").select("fn", "elem_id").distinct()
     return held.groupBy("fn").agg(F.count("*").alias("n_values"))
 
 

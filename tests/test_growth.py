@@ -100,3 +100,12 @@ def test_labels_join_fields_once(spark):
     df = taint.label_elements(config, fields)
     assert values(df) == [(14,), (27,), (28,)]
     assert plan(df).count("Join") == 1
+
+
+def test_held_values_meet_in_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(taint, "ROWS", 100)
+    held = spark.range(1200).select((F.col("id") % 7).alias("fn"), F.concat(F.lit("p"), F.col("id") % 300).alias("elem_id"))
+    tainted = spark.range(0, 600, 3).select(F.concat(F.lit("p"), "id").alias("elem_id"))
+    df = taint.mediators(held, tainted)
+    assert values(df) == [(f, len({i % 300 for i in range(1200) if i % 7 == f and i % 3 == 0})) for f in range(7)]
+    assert plan(df).count("RepartitionByExpression [elem_id") == 2 and ", 13" in plan(df)
