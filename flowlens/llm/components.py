@@ -2,7 +2,7 @@
 
 Each round turns the links of every node towards its smallest neighbour, with grouped minima and joins
 only, so a node of very many links is partially aggregated and its join side can be split. Links and
-labels never leave Spark; the driver sees one count and one sum for each round.
+labels never leave Spark; the driver sees one count for each round, of the nodes that are not settled.
 """
 
 from __future__ import annotations
@@ -22,14 +22,21 @@ def components(links: DataFrame, tables: Tables | None = None) -> DataFrame:
     return nodes.union(links.select("b", "b").distinct())
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether each node a has one link and is no other node's b: then b is the smallest of the component."""
+    up, seen = F.lit(1).alias("up"), Observation()
+    ends = links.select(F.col("a").alias("node"), up, F.lit(0).alias("down")).union(links.select("b", F.lit(0), F.lit(1)))
+    odd = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0")
+    odd.observe(seen, F.count("*").alias("n")).write.format("noop").mode("overwrite").save()
+    return not seen.get["n"]
+
+
 def contracted(links: DataFrame, tables: Tables) -> DataFrame:
     """A table (a, b) of all nodes a that are not the smallest of their component, b."""
-    links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    seen = Observation()
-    links, before = tables.write(links.observe(seen, F.count("*").alias("n"))), None
-    if not seen.get["n"]:
-        return links
+    links = tables.write(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     for _ in range(ROUNDS):
+        if _settled(links):
+            return links
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
         # each larger neighbour of a node moves to the node's smallest
@@ -37,12 +44,7 @@ def contracted(links: DataFrame, tables: Tables) -> DataFrame:
         # each node's smaller neighbours, and the node, move to the smallest of them
         low = larger.groupBy("a").agg(F.min("b").alias("low"))
         smaller = larger.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("x"))
-        seen = Observation()
-        turned = smaller.select("x.a", "x.b").where("a <> b").distinct()
-        turned = tables.write(turned.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1000003).alias("sum")))
+        turned = tables.write(smaller.select("x.a", "x.b").where("a <> b").distinct())
         tables.drop(links)
-        links, now = turned, seen.get
-        if now == before:
-            return links
-        before = now
+        links = turned
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")

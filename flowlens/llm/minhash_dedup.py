@@ -244,12 +244,11 @@ class _Open:
         known = pairs.join(left, "a").join(right, "b").where(sizes).select("a", "b", "la", "lb", apart.alias("apart"), (F.col("na") + F.col("nb")).alias("both"))
         return known.where(F.col("apart") * (100 + self.percent) <= F.col("both") * (100 - self.percent)).select("a", "b", "la", "lb", "apart")
 
-    def absorb(self, pairs: DataFrame) -> None:
-        """Confirms a table of pairs on the texts, and joins the components of those linked. ``b`` leads."""
+    def absorb(self, pairs: DataFrame, text: DataFrame) -> None:
+        """Confirms a table of pairs on their texts (id, text), and joins the components of those linked. ``b`` leads."""
         chunks = F.ceil(F.count("*") / CHUNK).cast("bigint").alias("chunks")
         leads = pairs.groupBy("b").agg(chunks)
         mine = pairs.join(leads, "b").select("b", F.pmod(F.xxhash64("a"), "chunks").alias("chunk"), "a", "la", "lb")
-        text = self.texts.select("id", "text")
         members = mine.join(text.withColumnRenamed("id", "a"), "a").select("b", "chunk", "a", "la", "lb", "text")
         own = leads.join(text.withColumnRenamed("id", "b"), "b")
         none = F.lit(None).cast("bigint")
@@ -290,7 +289,7 @@ class _Open:
         else:
             best = self.bounded(met.groupBy("a").agg(F.max_by(F.struct("b", "la", "lb"), F.struct("n", "b")).alias("x")).select("a", "x.b", "x.la", "x.lb"))
         pairs = self.tables.write(best)
-        self.absorb(pairs)
+        self.absorb(pairs, texts[0].select(F.col("rep").alias("id"), "text") if texts else self.texts)
         self.tables.drop(opened, pairs, *texts)
 
     def meet_by_prefix(self) -> None:
@@ -305,14 +304,14 @@ class _Open:
         reach = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (100 + self.percent) >= (F.col("na") + F.col("nb")) * self.percent
         near = larger.join(smaller, (larger["token"] == smaller["token"]) & fits & reach).select("a", "b", "la", "lb").distinct()
         pairs = self.tables.write(self.bounded(near))
-        self.tables.drop(texts)
+        text = texts.select(F.col("rep").alias("id"), "text")
         one = pairs.groupBy("a", "lb").agg(F.min_by(F.struct("b", "la"), F.struct("apart", "b")).alias("x")).select("a", "x.b", "x.la", "lb")
-        self.absorb(one)
+        self.absorb(one, text)
         label = self.members.select("rep", "label")
         left = pairs.select("a", "b").join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").where("la <> lb")
         rest = self.tables.write(left)
-        self.absorb(rest)
-        self.tables.drop(pairs, rest)
+        self.absorb(rest, text)
+        self.tables.drop(texts, pairs, rest)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = SIMILARITY, rounds: int = ROUNDS, hash_col: str | None = None) -> DataFrame:
@@ -341,16 +340,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = keyed.join(crowded, "key")
     hits = shared.groupBy("rep").agg(F.sum("size").alias("hits"))
     buckets = tables.write(shared.select("key", "rep").join(hits, "rep"))
-    texts = tables.write(source.join(buckets.select(F.col("rep").alias("id")).distinct(), "id"))
-    left = _Open(tables, buckets, texts, classes.select(F.col("rep").alias("id"), "n_shingles", "bitmap"), shingle, percent)
+    # texts stay where they are: only those of pairs and of open buckets move
+    left = _Open(tables, buckets, source, classes.select(F.col("rep").alias("id"), "n_shingles", "bitmap"), shingle, percent)
     for turn in range(rounds):
         left.meet_leaders(turn)
     left.meet_by_prefix()
-    tables.drop(buckets, texts)
+    tables.drop(buckets)
     placed = marks.join(classes.select("f1", "f2", "n_shingles", "rep"), ["f1", "f2", "n_shingles"], "left").join(left.members, "rep", "left")
     out = placed.withColumn("low", F.coalesce("label", "rep", "id")).select("id", "tag", "n_shingles", "low", (F.col("id") == F.col("low")).alias("kept"))
     if known is not None:
         out = out.join(known.withColumnRenamed("node", "id"), "id").drop("id").join(known.select(F.col("node").alias("low"), F.col("name").alias("low_name")), "low")
         out = out.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("n_rows")))).select(F.col("name").alias("id"), "tag", "n_shingles", F.col("low_name").alias("low"), "kept")
+    out = tables.write(out)  # narrow rows; the signatures and numbered texts need not stay
+    tables.drop(marks, classes, left.members, *([numbered] if known is not None else []))
     named = [F.when(F.col(c) != NO_ID, F.col(c)).alias(n) for c, n in (("id", id_col), ("low", "component_id"))]
     return out.select(named[0], "n_shingles", named[1], "kept", *([F.col("tag").alias(hash_col)] if hash_col else []))

@@ -6,7 +6,8 @@ import pytest
 from tests_llm_brute import WORD
 
 from flowlens.llm import minhash_dedup as m
-from flowlens.llm.components import components
+from flowlens.llm.components import components, contracted
+from flowlens.llm.lineage import Tables
 
 
 def shingles(text, k):
@@ -160,3 +161,26 @@ def test_edited_copies_meet_their_original_before_the_prefix_filter(spark, monke
     got = m.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=4, percent=80).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain(rows, 4) and len({r.component_id for r in got}) == 1
     assert still == [0]  # nothing is left for pairs that grow with the square of the copies
+
+
+def test_settled_links_are_not_contracted_again(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(Tables, "write", lambda self, df, f=Tables.write: written.append(1) or f(self, df))
+    stars = spark.createDataFrame([(i, i % 3) for i in range(3, 40)] + [(2, 30)], "a bigint, b bigint")
+    assert len(contracted(stars.where("a <> 2"), Tables(spark)).collect()) == 37 and len(written) == 1
+    assert {tuple(r) for r in contracted(stars, Tables(spark)).collect()} == {(i, 0 if i % 3 != 1 else 1) for i in range(2, 40)}
+    assert contracted(stars.where("a < 0"), Tables(spark)).count() == 0
+
+
+def test_later_rounds_read_only_texts_of_open_buckets_and_signatures_go(spark, monkeypatch):
+    rng, sizes, written = random.Random(3), [], []
+    monkeypatch.setattr(Tables, "write", lambda self, df, f=Tables.write: written.append(df.columns) or f(self, df))
+    alone = [[rng.randrange(10**6) for _ in range(60)] for _ in range(30)]
+    docs = [(2 * i + c, " ".join(map(str, base + [c]))) for i, base in enumerate(alone) for c in (0, 1)]  # linked in the first round
+    monkeypatch.setattr(m._Open, "absorb", lambda self, pairs, text, f=m._Open.absorb: sizes.append(text.count()) or f(self, pairs, text))
+    out = m.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert {r.doc_id: r.component_id for r in out.collect()} == {d: d - d % 2 for d, _ in docs}
+    assert sizes[0] == 60 and sizes[1:] == [0, 0, 0]
+    assert [c for c in written if "text" in c] == [["rep", "label", "text"]] * 2  # of open buckets only
+    kept = {f.rpartition("/")[0] for f in out.inputFiles()}
+    assert len(kept) == 1 and spark.read.parquet(*kept).columns == ["id", "tag", "n_shingles", "low", "kept"]
