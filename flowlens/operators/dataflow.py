@@ -51,7 +51,15 @@ def summaries(flow: DataFrame, calls: DataFrame, returns: DataFrame) -> DataFram
     Paths within functions and summaries of calls feed each other: a round joins the new paths with all edges and the
     new summaries with all paths.
     """
-    flow, calls, returns = (cut(df) for df in (clean(flow), calls.select("site", "src", "dst").distinct(), returns.select("site", "src", "dst").distinct()))
+    return _summaries(cut(clean(flow)), _sites(calls), _sites(returns))
+
+
+def _sites(bound: DataFrame) -> DataFrame:
+    return cut(bound.select("site", "src", "dst").distinct())
+
+
+def _summaries(flow: DataFrame, calls: DataFrame, returns: DataFrame) -> DataFrame:
+    """``summaries`` of tables that are cut and distinct."""
     rounds = Rounds(flow.sparkSession)
     paths, n_paths = rounds.write(calls.select(F.col("dst").alias("entry"), F.col("dst").alias("node")).where("node IS NOT NULL").distinct())
     sums, n_sums = rounds.write(flow.where("false"))
@@ -79,9 +87,10 @@ def context_reach(flow: DataFrame, calls: DataFrame, returns: DataFrame, sources
     into functions that do not return on the path. ``site`` names the call by which the path last went into one, one row for each (the call-stack tag of a report);
     it is null outside.
     """
-    inner = cut(clean(flow).unionByName(summaries(flow, calls, returns)).distinct())
+    flow, calls, returns = cut(clean(flow)), _sites(calls), _sites(returns)  # computed once, though every round reads the calls
+    inner = cut(flow.unionByName(_summaries(flow, calls, returns)).distinct())
     up = reach(inner.unionByName(returns.select("src", "dst")), sources).select("node")
-    into = calls.select(F.col("site").alias("s"), "src", "dst").distinct()
+    into = calls.select(F.col("site").alias("s"), "src", "dst")
     start = up.join(into, up.node == into.src).select(F.col("dst").alias("node"), F.col("s").alias("site")).where("node IS NOT NULL")
     stay = lambda new: new.join(inner, new.node == inner.src).select(F.col("dst").alias("node"), "site")
     call = lambda new: new.join(into, new.node == into.src).select(F.col("dst").alias("node"), F.col("s").alias("site"))

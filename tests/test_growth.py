@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlens.functions import scalars as fn
-from flowlens.operators import bitsets, graph, pointsto, sets, taint
+from flowlens.operators import bitsets, dataflow, graph, pointsto, sets, taint
 from flowlens.plans import catalog, graphs, registry  # noqa: F401  the first two register their queries
 
 
@@ -109,3 +109,21 @@ def test_held_values_meet_in_parts_of_bounded_size(spark, monkeypatch):
     df = taint.mediators(held, tainted)
     assert values(df) == [(f, len({i % 300 for i in range(1200) if i % 7 == f and i % 3 == 0})) for f in range(7)]
     assert plan(df).count("RepartitionByExpression [elem_id") == 2 and ", 13" in plan(df)
+
+
+def test_calls_and_returns_are_computed_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        def run(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        return spark.createDataFrame(rows, "site long, src string, dst string").coalesce(1).mapInArrow(run, "site long, src string, dst string")
+
+    flow = spark.createDataFrame([("f", "r")], "src string, dst string")
+    sources = spark.createDataFrame([("a",)], "node string")
+    df = dataflow.context_reach(flow, counted([(1, "a", "f"), (2, "b", "f")]), counted([(1, "r", "x"), (2, "r", "y")]), sources)
+    assert values(df) == sorted([("a", None), ("x", None), ("f", 1), ("r", 1)], key=repr)
+    assert read.value == 4
