@@ -22,6 +22,8 @@ every link is confirmed on the full sets of shingle hashes (64 bits, each mixed
 * Only pairs inside one component, which cannot change the result, are never compared. A leader's text
   travels once for each ``CHUNK`` of its members. Sets too small to reach the similarity with any other set
   are not compared. Tables of a round are deleted in the next one.
+* Before a join deals texts, a bitmap of the ids that it asks for, broadcast in words of 64 bits, drops the others where
+  they are read. Ids that fall on the same bits let a text through that the join then drops; none is lost.
 
 ``plan`` derives the bands from the similarity: as if coordinates were independent, a pair just at it shares no
 band with probability 5e-8 at most (at 0.8: 32 bands of 4). Nothing else can lose a link.
@@ -56,6 +58,7 @@ BANDS_MISS = 5e-8
 BITS = 1024  # of a bitmap of parities
 SLOTS = 1 << 20  # counters of shingles, for their order only
 CHUNK = 256
+SIEVE = 1 << 24  # bits that tell which texts a join asks for
 
 _SIGNATURE = "id bigint, tag bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>, bitmap array<bigint>"
 
@@ -244,6 +247,13 @@ class _Open:
         known = pairs.join(left, "a").join(right, "b").where(sizes).select("a", "b", "la", "lb", apart.alias("apart"), (F.col("na") + F.col("nb")).alias("both"))
         return known.where(F.col("apart") * (100 + self.percent) <= F.col("both") * (100 - self.percent)).select("a", "b", "la", "lb", "apart")
 
+    def sieved(self, ids: DataFrame) -> DataFrame:
+        """(id, text) of all documents of ``ids(id)``, and of few others."""
+        word, bit = F.pmod(F.xxhash64("id"), F.lit(SIEVE // 64)), F.pmod(F.shiftrightunsigned(F.xxhash64("id"), 40), F.lit(64))
+        asked = ids.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.cast("int")).alias("bit"))
+        words = F.broadcast(asked.groupBy("word").agg(F.bit_or("bit").alias("bits")))
+        return self.texts.join(words, word == words["word"]).where(F.getbit("bits", bit.cast("int")) == 1).select("id", "text")
+
     def absorb(self, pairs: DataFrame, text: DataFrame) -> None:
         """Confirms a table of pairs on their texts (id, text), and joins the components of those linked. ``b`` leads."""
         chunks = F.ceil(F.count("*") / CHUNK).cast("bigint").alias("chunks")
@@ -269,8 +279,11 @@ class _Open:
         return frequency
 
     def texts_of(self, opened: DataFrame) -> DataFrame:
-        reps = opened.select("rep", "label").distinct()
-        return self.tables.write(reps.join(self.texts.withColumnRenamed("id", "rep"), "rep").select("rep", "label", "text"))
+        reps = self.tables.write(opened.select("rep", "label").distinct())
+        texts = self.sieved(reps.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep")
+        out = self.tables.write(reps.join(texts, "rep").select("rep", "label", "text"))
+        self.tables.drop(reps)
+        return out
 
     def meet_leaders(self, turn: int) -> None:
         """Each member of an open bucket is compared with one leader, or with one of each other component that leads its buckets."""
@@ -289,7 +302,7 @@ class _Open:
         else:
             best = self.bounded(met.groupBy("a").agg(F.max_by(F.struct("b", "la", "lb"), F.struct("n", "b")).alias("x")).select("a", "x.b", "x.la", "x.lb"))
         pairs = self.tables.write(best)
-        self.absorb(pairs, texts[0].select(F.col("rep").alias("id"), "text") if texts else self.texts)
+        self.absorb(pairs, texts[0].select(F.col("rep").alias("id"), "text") if texts else self.sieved(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
         self.tables.drop(opened, pairs, *texts)
 
     def meet_by_prefix(self) -> None:
@@ -340,7 +353,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = keyed.join(crowded, "key")
     hits = shared.groupBy("rep").agg(F.sum("size").alias("hits"))
     buckets = tables.write(shared.select("key", "rep").join(hits, "rep"))
-    # texts stay where they are: only those of pairs and of open buckets move
+    # texts stay where they are: only those of pairs and of open buckets move (``sieved``)
     left = _Open(tables, buckets, source, classes.select(F.col("rep").alias("id"), "n_shingles", "bitmap"), shingle, percent)
     for turn in range(rounds):
         left.meet_leaders(turn)

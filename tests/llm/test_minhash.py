@@ -184,3 +184,21 @@ def test_later_rounds_read_only_texts_of_open_buckets_and_signatures_go(spark, m
     assert [c for c in written if "text" in c] == [["rep", "label", "text"]] * 2  # of open buckets only
     kept = {f.rpartition("/")[0] for f in out.inputFiles()}
     assert len(kept) == 1 and spark.read.parquet(*kept).columns == ["id", "tag", "n_shingles", "low", "kept"]
+
+
+def test_texts_that_no_join_asks_for_are_not_dealt(spark):
+    """One pair of near copies among long texts: with no small side to broadcast, the others stay where they are read."""
+    rng, written = random.Random(3), lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    docs = [(i, " ".join(f"{rng.getrandbits(64):x}" for _ in range(1000))) for i in range(300)]
+    docs.append((300, docs[7][1] + " end"))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4).localCheckpoint()
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        rows = m.near_duplicates(df).where("NOT kept").collect()
+        dealt = written() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert [(r.doc_id, r.component_id) for r in rows] == [(300, 7)]
+    assert dealt < sum(len(t) for _, t in docs) / 5
