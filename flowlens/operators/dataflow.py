@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.operators.fixpoint import Known, Rounds, cut, semi_naive
+from flowlens.operators.fixpoint import Dealt, Known, Rounds, cut, dealt_rounds, semi_naive
 from flowlens.operators.graph import clean, reach
 
 
@@ -38,9 +38,19 @@ def reaching_definitions(flow: DataFrame, defs: DataFrame, uses: DataFrame) -> D
     inside = defined.join(used, ["block", "loc", "segment"]).where("pos < use_pos").select(F.col("id").alias("def_id"), "use_id")
     made = defined.join(last, ["block", "loc", "segment"]).select(F.col("id").alias("def_id"), "loc", F.col("block").alias("src"))
     kills = last.where("segment > 0").select("block", "loc")
-    step = lambda new: new.join(kills, ["block", "loc"], "left_anti").join(flow, F.col("block") == flow.src).select("def_id", "loc", F.col("dst").alias("block"))
-    entries = semi_naive(made.join(flow, "src").select("def_id", "loc", F.col("dst").alias("block")), step, ["def_id", "loc", "block"])
-    across = entries.join(used.where("segment = 0"), ["block", "loc"]).select("def_id", "use_id")
+    # each round reads kills, flow and all facts so far: all lie dealt as its joins want them, and only new facts travel
+    keys, first = ["def_id", "loc", "block"], Rounds(flow.sparkSession)
+    seed, n_seed = first.write(made.join(flow, "src").select("def_id", "loc", F.col("dst").alias("block")))
+    facts, killing, flowing = (Dealt(flow.sparkSession, by, 1 + n_seed // Dealt.ROWS) for by in (keys, ["block", "loc"], ["src"]))
+    try:
+        kills, flow = killing.write(killing.deal(kills))[0], flowing.write(flowing.deal(flow))[0]
+        step = lambda new: new.join(kills, ["block", "loc"], "left_anti").join(flow, F.col("block") == flow.src).select("def_id", "loc", F.col("dst").alias("block"))
+        entries = dealt_rounds(seed, step, keys, facts)
+        across, _ = first.write(entries.join(used.where("segment = 0"), ["block", "loc"]).select("def_id", "use_id"))
+    finally:
+        for rounds in (facts, killing, flowing):
+            rounds.drop_all()
+    first.drop(seed)
     return inside.unionByName(across).distinct()
 
 

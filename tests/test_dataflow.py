@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from flowlens.operators import bitsets, constraints, dataflow, pointsto, taint
+from flowlens.operators import bitsets, constraints, dataflow, fixpoint, pointsto, taint
 
 
 def values(df):
@@ -131,3 +132,20 @@ def test_bit_sets(spark):
     assert values(new) == [("v", 17)] and values(bitsets.test_and_set(more, two([("v", 17)]))[1]) == []
     assert values(bitsets.members(bitsets.intersection(more, v))) == [("v", -1), ("v", 63), ("v", 64)]
     assert bitsets.counts(bitsets.packed(two([]), "owner", "item")).count() == 0
+
+
+def test_reaching_definitions_in_buckets(spark, monkeypatch):
+    """Facts, kills and flow lie in several buckets; names and structs are keys as good as numbers; no table is left."""
+    monkeypatch.setattr(fixpoint.Dealt, "ROWS", 5)
+    rng = random.Random(7)
+    flow = [(rng.randrange(9), rng.randrange(9)) for _ in range(13)]
+    places = [(b, p) for b in range(9) for p in range(6)]
+    defs = [(b, p, rng.choice("xyz"), 100 + i, rng.random() < 0.7) for i, (b, p) in enumerate(rng.sample(places, 22))]
+    uses = [(b, p, rng.choice("xyz"), 500 + i) for i, (b, p) in enumerate(rng.sample(places, 25))]
+    name = lambda df, *cols: df.withColumns({c: F.concat(F.lit("b"), F.col(c).cast("string")) for c in cols}).withColumns({c: F.struct(F.col(c)) for c in df.columns if c == "id"})
+    got = dataflow.reaching_definitions(
+        name(spark.createDataFrame(flow, "src int, dst int"), "src", "dst"), name(spark.createDataFrame(defs, "block int, pos int, loc string, id int, strong boolean"), "block"),
+        name(spark.createDataFrame(uses, "block int, pos int, loc string, id int"), "block"),
+    )
+    assert values(got.select("def_id.id", "use_id.id")) == plain_reaching(flow, defs, uses)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("round_")]

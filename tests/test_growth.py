@@ -127,3 +127,22 @@ def test_calls_and_returns_are_computed_once(spark):
     df = dataflow.context_reach(flow, counted([(1, "a", "f"), (2, "b", "f")]), counted([(1, "r", "x"), (2, "r", "y")]), sources)
     assert values(df) == sorted([("a", None), ("x", None), ("f", 1), ("r", 1)], key=repr)
     assert read.value == 4
+
+
+def test_facts_that_reach_far_are_dealt_as_they_are_found(spark):
+    """Definitions that go through a chain of blocks: a round deals what it finds, not all that was found before."""
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    n, length = 3000, 14
+    defs = spark.range(n).select(F.lit(0).alias("block"), F.lit(0).alias("pos"), "id", F.xxhash64("id").alias("loc"), F.lit(True).alias("strong"))
+    uses = spark.range(n).select(F.lit(length).alias("block"), F.lit(0).alias("pos"), (F.col("id") + n).alias("id"), F.xxhash64("id").alias("loc"))
+    flow = spark.range(length).select(F.col("id").cast("int").alias("src"), (F.col("id") + 1).cast("int").alias("dst"))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        df = dataflow.reaching_definitions(flow, defs, uses)
+        assert df.where("def_id + 3000 = use_id").count() == df.count() == n
+        dealt = written() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert dealt < 80 * n * length
